@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tracemill.llm.visual_form import visual_form
-from tracemill.runtime import table
+from tracemill.runtime import interim_table, table
 
 
 def visual_form_of(text: Column | str) -> Column:
@@ -31,17 +31,17 @@ def look_alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null texts pair with nothing. Rows with equal texts don't pair with each
     other; a repeated id counts once. Extra columns are ignored. Texts travel as
-    two 16-byte digests, and only forms with more than one text are joined; the
-    pairs of such a form are the result itself and can't be fewer.
+    two 16-byte digests, written once; only forms with more than one text are
+    joined, and the pairs of such a form are the result itself.
     """
     digest = lambda c: F.unhex(F.md5(c))
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
     keyed = src.select("_id", digest(F.col("_text")).alias("_t"), visual_form_of("_text").alias("_v")).select("_id", "_t", digest(F.col("_v")).alias("_f"))
-    texts = keyed.groupBy("_f", "_t").agg(F.collect_set("_id").alias("_ids"))
+    keyed = interim_table(keyed, "forms")
     several = keyed.groupBy("_f").agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).where("lo != hi").select("_f")
-    classes = texts.join(several, "_f", "left_semi")
-    left = classes.select("_f", F.col("_t").alias("ta"), F.explode("_ids").alias("a"))
-    right = classes.select("_f", F.col("_t").alias("tb"), F.explode("_ids").alias("b"))
+    rows = keyed.join(several, "_f", "left_semi")
+    left = rows.select("_f", F.col("_t").alias("ta"), F.col("_id").alias("a"))
+    right = rows.select("_f", F.col("_t").alias("tb"), F.col("_id").alias("b"))
     pairs = left.join(right, "_f").where("ta != tb and a < b")
     return pairs.select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b")).distinct()
 

@@ -14,6 +14,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Invisible characters.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
@@ -100,7 +101,7 @@ def from_code_points(cps: np.ndarray, offs: np.ndarray, mask: pa.Array | None =
     out = pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(np.ascontiguousarray(at, np.int64).tobytes()), pa.py_buffer(body))
     out = out.cast(pa.string())
     if mask is not None:
-        out = pa.compute.if_else(mask, pa.scalar(None, pa.string()), out)
+        out = pc.if_else(mask, pa.scalar(None, pa.string()), out)
     return out
 
 
@@ -164,7 +165,7 @@ def unify(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, pa.Array]]:
     """Slices of about limit bytes, one text at least, each with its first row."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
     if not len(sizes):
         return
     group = np.cumsum(sizes.astype(np.int64)) // limit
@@ -177,5 +178,5 @@ def visual_form(texts: pa.Array) -> pa.Array:
     """The visual form of each text; null stays null, and empty stays empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    done = [from_code_points(*unify(*to_code_points(part)), pa.compute.is_null(part)) for _, part in blocks(texts)]
+    done = [from_code_points(*unify(*to_code_points(part)), pc.is_null(part)) for _, part in blocks(texts)]
     return pa.concat_arrays(done) if done else pa.array([], pa.string())
