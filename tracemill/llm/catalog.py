@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("p1_cut", "p3_splits", "p4_near", "p5_consensus", "p6_cap", "p7_tokens", "p8_leakage", "p9_visual")
+MODULES = ("p1_cut", "p2_answers", "p3_splits", "p4_near", "p5_consensus", "p6_cap", "p7_tokens", "p8_leakage", "p9_visual")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
