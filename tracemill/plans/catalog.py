@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that each hold QUERIES and SQL.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("q_text",)
 
 
 def queries() -> dict[str, Query]:
