@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import BLANK, strip
+from tracemill.runtime import compute_once
 
 # Where an answer is looked for, in order of trust.
 ANSWER_PLACES = (
@@ -57,18 +58,6 @@ def clean_candidate(answer: Column) -> Column:
     )
 
 
-def final_answer(text: Column) -> Column:
-    """The answer a trace ends on: the last match of the first place that gives a usable one, else the last number."""
-    t = strip_artifacts(text)
-    return F.coalesce(*(clean_candidate(last_match(t, p)) for p in ANSWER_PLACES), last_number(t))
-
-
-def marked_answer(text: Column) -> Column:
-    """The number after the first #### of the raw text, else final_answer."""
-    mark = F.nullif(F.regexp_extract(text, r"####\s*(-?[\d,]+(?:\.\d+)?)", 1), F.lit(""))
-    return F.coalesce(F.replace(mark, F.lit(","), F.lit("")), final_answer(text))
-
-
 def normalize_answer(answer: Column) -> Column:
     """Without currency, trailing unit, grouping and LaTeX."""
     a = F.regexp_replace(strip_artifacts(answer), "[$£€]", "")
@@ -90,26 +79,6 @@ def parse_numeric(value: Column) -> Column:
     return F.when(n.contains("/"), F.when(F.size(parts) == 2, F.try_divide(parse_float(parts[0]), parse_float(F.try_element_at(parts, F.lit(2)))))).otherwise(parse_float(n))
 
 
-def numeric_equal(predicted: Column, expected: Column, tolerance: float = 1e-6) -> Column:
-    """Whether two answers are numbers within the relative tolerance, absolute where the expected is 0."""
-    p, e = parse_numeric(predicted), parse_numeric(expected)
-    near = F.when(e == 0, F.abs(p) < tolerance).otherwise(F.abs(p - e) / F.abs(e) < tolerance)
-    return F.coalesce(near, F.lit(False))
-
-
-def numeric_confidence(predicted: Column, expected: Column) -> Column:
-    p, e = parse_numeric(predicted), parse_numeric(expected)
-    off = F.greatest(F.lit(0.0), 1 - F.abs(p - e) / F.greatest(F.abs(e), F.lit(1.0)))
-    return F.when(p.isNull() | e.isNull(), 0.0).when(numeric_equal(predicted, expected), 1.0).otherwise(off)
-
-
-def verify_marked(predicted: Column, expected: Column) -> Column:
-    """correct, incorrect or parse_error by the marked answers, to a thousandth."""
-    p = parse_float(F.replace(F.coalesce(marked_answer(predicted), predicted), F.lit(","), F.lit("")))
-    e = parse_float(F.replace(F.coalesce(marked_answer(expected), expected), F.lit(","), F.lit("")))
-    return F.when(p.isNull() | e.isNull(), "parse_error").when(F.abs(p - e) < 0.001, "correct").otherwise("incorrect")
-
-
 def assignments(value: Column) -> Column:
     """map of x=1, y=2, or null if any part is no numeric assignment."""
     parts = F.filter(F.transform(F.split(F.btrim(normalize_answer(value), F.lit("()[]{}")), r"[,\n;]+"), strip), lambda s: s != "")
@@ -131,3 +100,28 @@ def vote_answer(text: Column) -> Column:
     number = r"(-?[\d,]+(?:\.\d+)?)"
     found = F.coalesce(last_match(text, r"####\s*" + number), last_match(text, r"(?i)answer is[:\s]*\$?" + number))
     return F.replace(found, F.lit(","), F.lit(""))
+
+
+def with_final_answer(df: DataFrame, source: str, answer: str, marked: str) -> DataFrame:
+    """df with the final and the marked answer of a text column; each step is evaluated once per row."""
+    df = compute_once(df, {"_t": strip_artifacts(F.col(source))})
+    df = compute_once(df, {f"_p{k}": last_match(F.col("_t"), p) for k, p in enumerate(ANSWER_PLACES)})
+    df = compute_once(df, {f"_c{k}": clean_candidate(F.col(f"_p{k}")) for k in range(len(ANSWER_PLACES))})
+    found = F.coalesce(*(F.col(f"_c{k}") for k in range(len(ANSWER_PLACES))), last_number(F.col("_t")))
+    mark = F.replace(F.nullif(F.regexp_extract(source, r"####\s*(-?[\d,]+(?:\.\d+)?)", 1), F.lit("")), F.lit(","), F.lit(""))
+    df = compute_once(df, {answer: found, "_m": mark}).withColumn(marked, F.coalesce("_m", answer))
+    return df.drop("_t", "_m", *(f"_{x}{k}" for k in range(len(ANSWER_PLACES)) for x in "pc"))
+
+
+def with_number(df: DataFrame, source: str, number: str) -> DataFrame:
+    """df with the number an answer column stands for."""
+    df = compute_once(df, {"_n": normalize_answer(F.col(source))})
+    n = F.col("_n")
+    parts = F.split(n, "/")
+    value = F.when(n.contains("/"), F.when(F.size(parts) == 2, F.try_divide(parse_float(parts[0]), parse_float(F.try_element_at(parts, F.lit(2)))))).otherwise(parse_float(n))
+    return compute_once(df, {number: value}).drop("_n")
+
+
+def near(p: Column, e: Column, tolerance: float = 1e-6) -> Column:
+    """Whether two numbers agree, relatively, or absolutely where the second is 0; false for null."""
+    return F.coalesce(F.when(e == 0, F.abs(p) < tolerance).otherwise(F.abs(p - e) / F.abs(e) < tolerance), F.lit(False))

@@ -33,16 +33,23 @@ def quality_filter_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_extract(spark: SparkSession, d: str) -> DataFrame:
-    t = traces_view(spark, d)
+    t = A.with_final_answer(traces_view(spark, d).select("ord", "reasoning"), "reasoning", "answer", "marked")
     r = F.col("reasoning")
-    return t.select("ord", A.final_answer(r).alias("answer"), A.marked_answer(r).alias("marked"), A.vote_answer(r).alias("vote"), A.last_number(r).alias("last_number"))
+    return t.select("ord", "answer", "marked", A.vote_answer(r).alias("vote"), A.last_number(r).alias("last_number"))
 
 
 def verify_numeric(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "problems").select(F.col("id").alias("problem_id"), "answer")
-    t = traces_view(spark, d).join(p, "problem_id")
-    a = F.coalesce("final_answer", F.lit(""))
-    return t.select("ord", A.verify_marked(F.col("reasoning"), F.coalesce("answer", F.lit(""))).alias("status"), A.numeric_equal(a, F.col("answer")).alias("equal"), F.round(A.numeric_confidence(a, F.col("answer")), 6).alias("confidence"))
+    """Status by the marked answers to a thousandth; equality and confidence of the final answers as numbers."""
+    plain = lambda c, other: A.parse_float(F.replace(F.coalesce(c, other), F.lit(","), F.lit("")))
+    gold = table(spark, d, "problems").select(F.col("id").alias("problem_id"), "answer", F.coalesce("answer", F.lit("")).alias("gold"))
+    gold = A.with_number(A.with_final_answer(gold, "gold", "gold_answer", "gold_marked"), "answer", "g")
+    gold = gold.select("problem_id", "g", plain("gold_marked", "gold").alias("gm"))
+    t = traces_view(spark, d).select("ord", "problem_id", "reasoning", F.coalesce("final_answer", F.lit("")).alias("fa"))
+    t = A.with_number(A.with_final_answer(t, "reasoning", "answer", "marked"), "fa", "pf").withColumn("pm", plain("marked", "reasoning")).join(gold, "problem_id")
+    status = F.when(F.col("pm").isNull() | F.col("gm").isNull(), "parse_error").when(F.abs(F.col("pm") - F.col("gm")) < 0.001, "correct").otherwise("incorrect")
+    equal = A.near(F.col("pf"), F.col("g"))
+    sure = F.when(F.col("pf").isNull() | F.col("g").isNull(), 0.0).when(equal, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("pf") - F.col("g")) / F.greatest(F.abs("g"), F.lit(1.0))))
+    return t.select("ord", status.alias("status"), equal.alias("equal"), F.round(sure, 6).alias("confidence"))
 
 
 def hash_keys(spark: SparkSession, d: str) -> DataFrame:
