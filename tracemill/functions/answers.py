@@ -43,21 +43,6 @@ def last_number(text: Column) -> Column:
     return F.replace(last_match(bare, f"({NUMBER})"), F.lit(","), F.lit(""))
 
 
-def clean_candidate(answer: Column) -> Column:
-    """A usable answer of a raw match, or null."""
-    c = F.btrim(strip_artifacts(answer), F.lit(EDGE))
-    c = strip(F.regexp_replace(c, r"(?i)^(?:the\s+)?(?:final\s+)?answer(?:\s+is)?[:\s-]*", ""))
-    c = strip(F.regexp_replace(c, r"^#+\s*", ""))
-    number = last_number(c)
-    return (
-        F.when(answer.isNull() | (c == "") | c.rlike(r"^[|#:\-]+$"), None)
-        .when(c.contains("=") & c.rlike("[a-zA-Z_]"), c)
-        .when(number.isNotNull(), number)
-        .when(F.size(F.split(c, " ")) > 8, None)
-        .otherwise(c)
-    )
-
-
 def normalize_answer(answer: Column) -> Column:
     """Without currency, trailing unit, grouping and LaTeX."""
     a = F.regexp_replace(strip_artifacts(answer), "[$£€]", "")
@@ -103,14 +88,29 @@ def vote_answer(text: Column) -> Column:
 
 
 def with_final_answer(df: DataFrame, source: str, answer: str, marked: str) -> DataFrame:
-    """df with the final and the marked answer of a text column; each step is evaluated once per row."""
+    """df with the answer a text column ends on, and the number after its first #### where there is one.
+
+    The answer is the last match of the first place that gives a usable one,
+    else the last number. A match is usable if something is left of it without
+    frames, edges and headings: an assignment as it is, else its last number,
+    else up to eight words. Each step is evaluated once per row.
+    """
+    ks = range(len(ANSWER_PLACES))
     df = compute_once(df, {"_t": strip_artifacts(F.col(source))})
     df = compute_once(df, {f"_p{k}": last_match(F.col("_t"), p) for k, p in enumerate(ANSWER_PLACES)})
-    df = compute_once(df, {f"_c{k}": clean_candidate(F.col(f"_p{k}")) for k in range(len(ANSWER_PLACES))})
-    found = F.coalesce(*(F.col(f"_c{k}") for k in range(len(ANSWER_PLACES))), last_number(F.col("_t")))
+    df = compute_once(df, {f"_a{k}": F.btrim(strip(F.col(f"_p{k}")), F.lit(EDGE)) for k in ks})
+    heading = lambda c: strip(F.regexp_replace(c, r"(?i)^(?:the\s+)?(?:final\s+)?answer(?:\s+is)?[:\s-]*", ""))
+    df = compute_once(df, {f"_b{k}": strip(F.regexp_replace(heading(F.col(f"_a{k}")), r"^#+\s*", "")) for k in ks})
+    number = lambda c: F.replace(last_match(F.regexp_replace(c, r"\\text\{[^}]*\}", " "), f"({NUMBER})"), F.lit(","), F.lit(""))
+    df = compute_once(df, {f"_n{k}": number(F.col(f"_b{k}")) for k in ks} | {"_n": number(F.col("_t"))})
+
+    def usable(k: int) -> Column:
+        b, n = F.col(f"_b{k}"), F.col(f"_n{k}")
+        return F.when((b == "") | b.rlike(r"^[|#:\-]+$"), None).when(b.contains("=") & b.rlike("[a-zA-Z_]"), b).when(n.isNotNull(), n).when(F.size(F.split(b, " ")) <= 8, b)
+
     mark = F.replace(F.nullif(F.regexp_extract(source, r"####\s*(-?[\d,]+(?:\.\d+)?)", 1), F.lit("")), F.lit(","), F.lit(""))
-    df = compute_once(df, {answer: found, "_m": mark}).withColumn(marked, F.coalesce("_m", answer))
-    return df.drop("_t", "_m", *(f"_{x}{k}" for k in range(len(ANSWER_PLACES)) for x in "pc"))
+    df = compute_once(df, {answer: F.coalesce(*map(usable, ks), "_n"), "_m": mark}).withColumn(marked, F.coalesce("_m", answer))
+    return df.drop("_t", "_m", "_n", *(f"_{x}{k}" for k in ks for x in "pabn"))
 
 
 def with_number(df: DataFrame, source: str, number: str) -> DataFrame:

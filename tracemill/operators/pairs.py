@@ -53,13 +53,18 @@ def pair_quality(diversity: Column) -> Column:
     return 0.38 * diversity + 0.22 * gap + 0.14 * aligned + 0.10 * disagree + ends + bonus + 0.12 * F.least(F.col("r_confidence"), F.lit(0.75))
 
 
+def millionths(x: Column) -> Column:
+    """Rounded to six decimals by plain arithmetic, so that ranks don't hang on the last bit."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
 def judged_pairs(feats: DataFrame) -> DataFrame:
     """All pairs with diversity, quality and the first reason to reject them."""
     cols = ("set", "steps", "mode", "answer_key", "has_answer", "confidence", "text_key")
     slim = feats.withColumns({"set": F.array_distinct("words"), "text_key": F.md5("text")}).select("problem_id", "ord", "is_correct", *cols)
     pairs = cross(slim, F.col("confidence") >= 0.5, *cols)
-    pairs = pairs.withColumn("diversity", F.round(1 - X.jaccard(F.col("c_set"), F.col("r_set")), 6)).drop("c_set", "r_set")
-    pairs = pairs.withColumn("quality", F.round(pair_quality(F.col("diversity")), 6))
+    pairs = pairs.withColumn("diversity", millionths(1 - X.jaccard(F.col("c_set"), F.col("r_set")))).drop("c_set", "r_set")
+    pairs = pairs.withColumn("quality", millionths(pair_quality(F.col("diversity"))))
     loose = (F.col("c_steps") > 0) & (F.col("r_steps") / F.greatest(F.col("c_steps"), F.lit(1)) < 0.5) & F.col("r_mode").isin("trivial_short", "missing_final_answer", "repetitive")
     reason = F.when(F.col("diversity") < 0.2, "low_diversity").when(F.col("c_answer_key") == F.col("r_answer_key"), "same_answer").when(loose, "unstructured_negative").when(F.col("quality") < 0.05, "low_quality")
     return pairs.withColumn("reject", reason)

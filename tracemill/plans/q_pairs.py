@@ -98,8 +98,8 @@ def _jac(a: str, b: str) -> str:
 
 _BONUS = "CASE r.mode " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in pairs.BONUS.items()) + " ELSE 0.0 END"
 _JUDGED = f"""j0 AS MATERIALIZED (SELECT c.problem_id, c.ord AS co, r.ord AS ro, c.confidence AS cc, r.confidence AS rc, c.steps AS cs, r.steps AS rs, c.answer_key AS ca, r.answer_key AS ra, c.tk, r.mode, r.has_answer AS rh, {_BONUS} AS bonus,
-    round(1 - {_jac("c.wset", "r.wset")}, 6) AS diversity FROM kept c JOIN kept r ON c.problem_id = r.problem_id AND c.is_correct AND NOT r.is_correct AND c.confidence >= 0.5),
-j1 AS (SELECT *, round(0.38 * diversity + 0.22 * greatest(0.0, cc - rc) + 0.14 * least(rs, cs) / greatest(cs, 1) + 0.10 * CASE WHEN ra <> ca THEN 1.0 ELSE 0.0 END + CASE WHEN rh THEN 0.08 ELSE -0.08 END + bonus + 0.12 * least(rc, 0.75), 6) AS quality FROM j0),
+    floor((1 - {_jac("c.wset", "r.wset")}) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS diversity FROM kept c JOIN kept r ON c.problem_id = r.problem_id AND c.is_correct AND NOT r.is_correct AND c.confidence >= 0.5),
+j1 AS (SELECT *, floor((0.38::DOUBLE * diversity + 0.22::DOUBLE * greatest(0.0::DOUBLE, cc - rc) + 0.14::DOUBLE * (least(rs, cs) / greatest(cs, 1)) + 0.10::DOUBLE * CASE WHEN ra <> ca THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN rh THEN 0.08::DOUBLE ELSE -0.08::DOUBLE END + bonus::DOUBLE + 0.12::DOUBLE * least(rc, 0.75::DOUBLE)) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS quality FROM j0),
 judged AS (SELECT *, CASE WHEN diversity < 0.2 THEN 'low_diversity' WHEN ca = ra THEN 'same_answer' WHEN cs > 0 AND rs / greatest(cs, 1) < 0.5 AND mode IN ('trivial_short', 'missing_final_answer', 'repetitive') THEN 'unstructured_negative' WHEN quality < 0.05 THEN 'low_quality' END AS reject FROM j1)"""
 _BEST = "ORDER BY quality DESC, diversity DESC, cc DESC, co, rc DESC, ro"
 _SMART = f"""s1 AS (SELECT *, row_number() OVER (PARTITION BY problem_id, mode {_BEST}) AS k1 FROM judged WHERE reject IS NULL), s2 AS (SELECT *, row_number() OVER (PARTITION BY problem_id, tk {_BEST}) AS k2 FROM s1 WHERE k1 <= 2),
