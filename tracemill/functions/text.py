@@ -125,7 +125,7 @@ def step_coherence(text: Column) -> Column:
 
 def length_penalty(length: Column, median: Column) -> Column:
     """1 up to twice the median, then down to 0.5 at four times and 0 at six times."""
-    ratio = length / median
+    ratio = F.try_divide(length, median)
     return F.when((median <= 0) | (length <= 0) | (ratio <= 2), 1.0).when(ratio >= 6, 0.0).when(ratio <= 4, 1.0 - 0.5 * (ratio - 2.0) / 2.0).otherwise(0.5 - 0.5 * (ratio - 4.0) / 2.0)
 
 
