@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as X
+from tracemill.runtime import compute_once
 
 SALTS = 16
 # What a kind of failure adds to a pair's quality.
@@ -26,12 +27,17 @@ def cross(traces: DataFrame, chosen: Column | None = None, *columns: str) -> Dat
     return good.join(bad, ["problem_id", "salt"]).drop("salt")
 
 
+def _with_likeness(pairs: DataFrame) -> DataFrame:
+    """Pairs with the likeness of c_set and r_set, met once each, and whether either is empty; the sets are dropped."""
+    counted = compute_once(pairs, {"common": F.size(F.array_intersect("c_set", "r_set")), "all": F.size("c_set") + F.size("r_set"), "empty": (F.size("c_set") == 0) | (F.size("r_set") == 0)}).drop("c_set", "r_set")
+    return counted.withColumn("likeness", F.when(F.col("empty"), 0.0).otherwise(F.col("common") / (F.col("all") - F.col("common")))).drop("common", "all")
+
+
 def diverse_pairs(traces: DataFrame, least: float = 0.1) -> DataFrame:
     """All pairs whose word sets differ by at least least; a side without words has diversity 0."""
-    sets = traces.withColumn("set", F.array_distinct(X.words(F.col("reasoning")))).select("problem_id", "ord", "is_correct", "set")
-    pairs = cross(sets, None, "set")
-    empty = (F.size("c_set") == 0) | (F.size("r_set") == 0)
-    pairs = pairs.withColumn("diversity", F.when(empty, 0.0).otherwise(1 - X.jaccard(F.col("c_set"), F.col("r_set"))))
+    sets = compute_once(traces, {"set": F.array_distinct(F.transform(X.words(F.col("reasoning")), lambda w: F.xxhash64(w)))}).select("problem_id", "ord", "is_correct", "set")
+    pairs = _with_likeness(cross(sets, None, "set"))
+    pairs = pairs.withColumn("diversity", F.when(F.col("empty"), 0.0).otherwise(1 - F.col("likeness")))
     return pairs.where(F.col("diversity") >= least).select("problem_id", F.col("c_ord").alias("chosen"), F.col("r_ord").alias("rejected"), "diversity")
 
 
@@ -61,10 +67,12 @@ def millionths(x: Column) -> Column:
 def judged_pairs(feats: DataFrame) -> DataFrame:
     """All pairs with diversity, quality and the first reason to reject them."""
     cols = ("set", "steps", "mode", "answer_key", "has_answer", "confidence", "text_key")
-    slim = feats.withColumns({"set": F.array_distinct("words"), "text_key": F.md5("text")}).select("problem_id", "ord", "is_correct", *cols)
+    words = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))
+    slim = compute_once(feats.withColumn("text_key", F.md5("text")), {"set": words}).select("problem_id", "ord", "is_correct", *cols)
     pairs = cross(slim, F.col("confidence") >= 0.5, *cols)
-    pairs = pairs.withColumn("diversity", millionths(1 - X.jaccard(F.col("c_set"), F.col("r_set")))).drop("c_set", "r_set")
-    pairs = pairs.withColumn("quality", millionths(pair_quality(F.col("diversity"))))
+    pairs = _with_likeness(pairs)
+    pairs = compute_once(pairs, {"diversity": millionths(1 - F.col("likeness"))}).drop("likeness")
+    pairs = compute_once(pairs, {"quality": millionths(pair_quality(F.col("diversity")))})
     loose = (F.col("c_steps") > 0) & (F.col("r_steps") / F.greatest(F.col("c_steps"), F.lit(1)) < 0.5) & F.col("r_mode").isin("trivial_short", "missing_final_answer", "repetitive")
     reason = F.when(F.col("diversity") < 0.2, "low_diversity").when(F.col("c_answer_key") == F.col("r_answer_key"), "same_answer").when(loose, "unstructured_negative").when(F.col("quality") < 0.05, "low_quality")
     return pairs.withColumn("reject", reason)
@@ -82,10 +90,18 @@ def smart_pairs(feats: DataFrame, per_type: int = 2, per_chosen: int = 2, per_pr
 
 
 def ordered_pairs(traces: DataFrame, per_problem: int = 3, total: int | None = None) -> DataFrame:
-    """Pairs in order of arrival, so many per problem and in all; one per pair_id, the first."""
-    key = X.pair_id(F.col("problem_id"), F.col("c_reasoning"), F.col("r_reasoning"))
-    pairs = cross(traces.select("problem_id", "ord", "is_correct", "reasoning"), None, "reasoning").select("problem_id", "c_ord", "r_ord", key.alias("pair_id"))
-    once = pairs.withColumn("k", F.row_number().over(Window.partitionBy("pair_id").orderBy("c_ord", "r_ord"))).where("k = 1")
-    capped = once.withColumn("k", F.row_number().over(Window.partitionBy("problem_id").orderBy("c_ord", "r_ord"))).where(F.col("k") <= per_problem)
-    capped = capped if total is None else capped.orderBy("c_ord", "r_ord").limit(total)
-    return capped.select("problem_id", F.col("c_ord").alias("chosen"), F.col("r_ord").alias("rejected"), "pair_id")
+    """Pairs in order of arrival, so many per problem and in all; one per pair_id, the first.
+
+    A pair_id stands for a problem and two canonical texts, so the first pair of
+    an id joins the first traces with these texts; and the first pairs of a
+    problem lie among its first texts of either kind. Nothing else is joined.
+    """
+    texts = traces.where("problem_id is not null").select("problem_id", "is_correct", "ord", X.dedup_hash(F.col("reasoning")).alias("h")).groupBy("problem_id", "is_correct", "h").agg(F.min("ord").alias("ord"))
+    place = F.row_number().over(Window.partitionBy("problem_id", "is_correct").orderBy("ord"))
+    first = texts.withColumn("k", place).where(F.col("k") <= per_problem).select("ord")
+    few = traces.select("problem_id", "ord", "is_correct", "reasoning").join(first, "ord", "left_semi")
+    good = few.where("is_correct").select("problem_id", F.col("ord").alias("c_ord"), F.col("reasoning").alias("c_reasoning"))
+    bad = few.where("not is_correct").select("problem_id", F.col("ord").alias("r_ord"), F.col("reasoning").alias("r_reasoning"))
+    pairs = good.join(bad, "problem_id").withColumn("k", F.row_number().over(Window.partitionBy("problem_id").orderBy("c_ord", "r_ord"))).where(F.col("k") <= per_problem)
+    pairs = pairs if total is None else pairs.orderBy("c_ord", "r_ord").limit(total)
+    return pairs.select("problem_id", F.col("c_ord").alias("chosen"), F.col("r_ord").alias("rejected"), X.pair_id(F.col("problem_id"), F.col("c_reasoning"), F.col("r_reasoning")).alias("pair_id"))
