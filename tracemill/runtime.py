@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -69,13 +70,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_FOLDERS: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder by the session's file system, if the session still runs."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session has ended before; its owner clears the folder
+        pass
+
+
 def interim_table(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet to the shared folder and read it back.
 
     Cheaper on disk than a checkpoint for wide rows, and survives lost executors.
+    The application's tables are removed when its driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/interim/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/interim/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
