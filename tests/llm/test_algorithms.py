@@ -60,6 +60,32 @@ def test_crowded_bucket_links_all():
     assert {x for p in pairs for x in p} == set(range(500))
 
 
+def test_crowded_bucket_keeps_satellites(spark):
+    random.seed(3)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(150):
+        copy = list(base)
+        copy[random.randrange(100)] = f"c{k}"
+        far = list(copy)
+        for n, at in enumerate(random.sample(range(100), 7)):
+            far[at] = f"s{k}x{n}"
+        rows += [(len(rows), " ".join(copy)), (len(rows) + 1, " ".join(far))]
+    expected = _groups({i: p4.word_set(t) for i, t in rows})
+    got = {r.path_id: r.group for r in p4.near_groups(spark.createDataFrame(rows, "path_id long, reasoning string")).collect()}
+    assert len(expected) == 300 and got == expected
+
+
+def test_blocks_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(p4, "BLOCK", 40)
+    rng = np.random.default_rng(6)
+    sketches = rng.integers(-(1 << 62), 1 << 62, (100, 2))
+    rows = [(7, k, int(s[0]), int(s[1])) for k, s in enumerate(np.concatenate([sketches, sketches]))] + [(8, 1000 + k, 5, 5) for k in range(70)]
+    labels = spark.createDataFrame([(k, 0) for k in (3, 103)] + [(1000 + k, 1000) for k in range(70)], "node long, label long")
+    got = p4.crowded_pairs(spark.createDataFrame(rows, "key long, id long, s0 long, s1 long"), labels, p4.LIKENESS).collect()
+    assert sorted((r.a, r.b) for r in got) == [(k, 100 + k) for k in range(100) if k != 3]
+
+
 def test_pruning_keeps_like_pairs():
     rng = np.random.default_rng(2)
     n = 4000

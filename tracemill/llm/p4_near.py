@@ -24,8 +24,8 @@ BANDS, ROWS = 16, 8
 MISS, DOUBT = 1e-4, 1e-2
 #: Bits of the sketch compared at a time.
 BATCH = 32
-#: Buckets up to this size compare all their rows, larger ones by leaders.
-CROWD = 64
+#: Buckets up to this size compare all their rows at once, larger ones by leaders first, then across groups in blocks of so many rows.
+CROWD, BLOCK = 64, 2048
 KEPT_WORDS = 1_000_000
 _words = re.compile(r"[^\W_]+").findall
 
@@ -108,7 +108,7 @@ def may_be_alike(x: np.ndarray, y: np.ndarray, likeness: float, miss: float) ->
 
 
 class Bucket:
-    """Links candidates of one crowded bucket, row block by row block.
+    """First candidates of one crowded bucket, row block by row block; block_pairs gives the rest.
 
     A row that is almost certainly like a leader is paired with it alone;
     another is compared with all leaders and becomes one. Memory is that of the
@@ -128,7 +128,7 @@ class Bucket:
             for lead in range(done, len(self.ids)):  # leaders that the rest hasn't met
                 if not len(rest):
                     return
-                agree = 128 - np.bitwise_count(sketches[rest] ^ self.sketches[lead]).sum(1)
+                agree = 128 - np.bitwise_count((sketches[rest] ^ self.sketches[lead]).view(np.uint64)).sum(1, dtype=np.int64)
                 sure = agree >= self.sure
                 if sure.any():
                     yield np.full(int(sure.sum()), self.ids[lead]), ids[rest[sure]]
@@ -143,14 +143,23 @@ class Bucket:
             self.ids, self.sketches = np.append(self.ids, ids[new]), np.vstack([self.sketches, sketches[new]])
 
 
-def bucket_pairs(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a < b) of rows key, id, s0, s1 that come in order of key."""
+def bucket_pairs(batches: Iterator[pa.RecordBatch], likeness: float, crowds: bool = False) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (a < b) of rows key, id, s0, s1 that come in order of key.
+
+    With crowds there are the columns s0, s1 as well, null in pairs, and the rows
+    of crowded buckets are given too, with the key as a and the id as b.
+    """
 
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         lo, hi = np.minimum(a, b), np.maximum(a, b)
         ok = lo < hi
         both = np.unique(np.stack([lo[ok], hi[ok]], 1), axis=0)
-        return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+        none = {c: pa.nulls(len(both), pa.int64()) for c in ("s0", "s1")} if crowds else {}
+        return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])} | none)
+
+    def members(key: np.ndarray, ids: np.ndarray, sk: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if crowds:
+            yield pa.RecordBatch.from_pydict({"a": pa.array(key), "b": pa.array(ids), "s0": pa.array(sk[:, 0].copy()), "s1": pa.array(sk[:, 1].copy())})
 
     def small(key: np.ndarray, ids: np.ndarray, sk: np.ndarray) -> Iterator[pa.RecordBatch]:
         left, right = [], []
@@ -180,6 +189,7 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator
         sizes = np.diff(np.append(starts, len(key)))
         if crowd is not None and key[0] == crowd_key:
             n = int(sizes[0])
+            yield from members(key[:n], ids[:n], sk[:n])
             for a, b in crowd.add(ids[:n], sk[:n]):
                 yield out(a, b)
             if n == len(key):
@@ -190,6 +200,7 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator
         for j in np.flatnonzero(sizes > CROWD):
             lo, hi = int(starts[j]), int(starts[j] + sizes[j])
             crowd, crowd_key = Bucket(likeness), key[lo]
+            yield from members(key[lo:hi], ids[lo:hi], sk[lo:hi])
             for a, b in crowd.add(ids[lo:hi], sk[lo:hi]):
                 yield out(a, b)
             if hi < len(key):
@@ -204,6 +215,41 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator
         yield from small(tail[0], tail[1], np.stack(tail[2:4], 1))
 
 
+def block_pairs(rows: pa.Table, likeness: float) -> pa.Table:
+    """Candidate pairs of two blocks i, j of a crowded bucket, or of one if i = j, without pairs that have one label already.
+
+    Rows are i, j, part, id, label, s0, s1.
+    """
+    i, j, part, ids, label = (rows.column(c).to_numpy() for c in ("i", "j", "part", "id", "label"))
+    sk = np.stack([rows.column("s0").to_numpy(), rows.column("s1").to_numpy()], 1)
+    enough = int(np.argmax(posterior(128, likeness) >= MISS))
+    x = np.flatnonzero(part == i)
+    y = x if i[0] == j[0] else np.flatnonzero(part == j)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k, row in enumerate(x):
+        rest = y[k + 1 :] if i[0] == j[0] else y
+        rest = rest[label[rest] != label[row]]
+        rest = rest[128 - np.bitwise_count((sk[rest] ^ sk[row]).view(np.uint64)).sum(1, dtype=np.int64) >= enough]
+        if len(rest):
+            rest = rest[may_be_alike(np.broadcast_to(sk[row], (len(rest), 2)).copy(), sk[rest], likeness, MISS)]
+            left.append(np.minimum(ids[rest], ids[row]))
+            right.append(np.maximum(ids[rest], ids[row]))
+    return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+
+def crowded_pairs(crowds: DataFrame, labels: DataFrame, likeness: float) -> DataFrame:
+    """Candidate pairs (a, b) of rows key, id, s0, s1 of crowded buckets that labels (node, label) hasn't joined yet.
+
+    A bucket whose rows have one label is done; the others are dealt into blocks
+    by id and every block meets every other.
+    """
+    rows = crowds.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "s0", "s1", F.coalesce("label", "id").alias("label"))
+    mixed = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "parts")
+    dealt = rows.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "label", "s0", "s1")
+    return met.groupBy("key", "i", "j").applyInArrow(lambda t: block_pairs(t, likeness), "a long, b long").distinct()
+
+
 def likeness_of(a: Column | str, b: Column | str) -> Column:
     """Common words by all words of two texts; null if either is null, 0 if neither has a word."""
 
@@ -231,6 +277,8 @@ def near_groups(df: DataFrame, id_col: str = "path_id", text_col: str = "reasoni
     Records with one set of words become one class first. Classes meet in
     buckets of MinHash bands; sketches prune pairs batch by batch, with a chance
     of MISS to lose a like pair; the texts of the survivors are compared exactly.
+    A crowded bucket is grouped by its leaders first; then all its pairs that
+    are not in one group by that are tested in the same way.
     """
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     names = ["id", "h0", "h1", "s0", "s1", *(f"k{j}" for j in range(BANDS))]
@@ -252,12 +300,19 @@ def near_groups(df: DataFrame, id_col: str = "path_id", text_col: str = "reasoni
     classes = signed.groupBy("h0", "h1").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in names[3:]))
     rows = classes.select(F.explode(F.array(*names[5:])).alias("key"), "id", "s0", "s1")
     ordered = rows.repartition("key").sortWithinPartitions("key")
-    pairs = ordered.mapInArrow(lambda batches: bucket_pairs(batches, likeness), "a long, b long").distinct()
+    met = interim_table(ordered.mapInArrow(lambda batches: bucket_pairs(batches, likeness, True), "a long, b long, s0 long, s1 long"), "met")
     texts = src.select("id", "text")
-    one = pairs.join(texts.withColumnRenamed("text", "ta"), F.col("a") == F.col("id")).drop("id")
-    two = one.join(texts.withColumnRenamed("text", "tb"), F.col("b") == F.col("id")).drop("id")
-    links = two.where(likeness_of("ta", "tb") > likeness).select("a", "b")
-    labels = component_labels(links)
+
+    def links(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(texts.withColumnRenamed("text", "ta"), F.col("a") == F.col("id")).drop("id")
+        two = one.join(texts.withColumnRenamed("text", "tb"), F.col("b") == F.col("id")).drop("id")
+        return two.where(likeness_of("ta", "tb") > likeness).select("a", "b")
+
+    labels = component_labels(links(met.where("s0 is null").select("a", "b").distinct()))
+    crowds = met.where("s0 is not null").select(F.col("a").alias("key"), F.col("b").alias("id"), "s0", "s1")
+    if not crowds.isEmpty():
+        found = links(crowded_pairs(crowds, labels, likeness))
+        labels = component_labels(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(found))
     members = signed.select("id", "h0", "h1").join(signed.groupBy("h0", "h1").agg(F.min("id").alias("rep"), F.max("id").alias("last")), ["h0", "h1"])
     grouped = members.join(labels, F.col("rep") == F.col("node"), "left").where("label is not null or rep < last")
     return grouped.select("id", F.coalesce("label", "rep").alias("group")).distinct().select(F.col("id").alias(id_col), "group")
