@@ -36,6 +36,16 @@ def test_cut_fields(spark):
     assert cut_fields(spark.createDataFrame([], PATHS)).count() == 0
 
 
+def test_cuts_that_many_rows_share(spark):
+    whole = "We add the two bags. The pile grows by 3 and we reach 8. So the final count is 8 figs."
+    rows = [(k, whole, None) for k in range(90)]
+    rows += [(100 + k, "We add the two bags. The pile grows by", None) for k in range(9)]
+    rows += [(200 + k, f"Ann has {k} bags. We add the two bags. The pile grows by 3 and we", None) for k in range(9)]
+    rows += [(300 + k, f"Ann has {k} bags and 3 boxes.\nGrand total: 8 figs", None) for k in range(9)]
+    got = {r.path_id for r in cut_fields(spark.createDataFrame(rows, "path_id long, reasoning string, final_answer string")).collect()}
+    assert got == {i for i, *_ in rows if 100 <= i < 300}
+
+
 PROMPT = "There are 12 figs in the shed of Ann and the cook takes 5 of them. How many figs are left with Ann?"
 
 

@@ -11,8 +11,10 @@ from tracemill.runtime import interim_table, table
 #: A text of statements lacks its last stop only by exception; a final answer stands without one by rule.
 SEEN_TEXT, SEEN_ANSWER = 3, 30
 USUAL_TEXT, USUAL_ANSWER = 0.6, 0.002
-#: An end without a stop counts as a form of its own if so large a part of all texts, and so many, have it.
+#: An end without a stop counts as a form of its own if so large a part of all different texts, and so many, have it,
+#: and if its words, wherever they occur, stand before a stop or an end so often. A cut that falls on one place of a template is rarer than that.
 FORM, LEAST_FORM = 0.002, 5
+FORM_ENDS = 0.1
 STOP = "¶"
 
 # What may stand in place of the rest of a cut text.
@@ -33,18 +35,18 @@ COUNTS = rf"""
 
 #: A text's end is all that decides; what needs the whole text (open fences and dollars) is counted over it.
 FIELDS = rf"""
-    SELECT id, f.* FROM @texts@ LATERAL VIEW inline(array(
+    SELECT id, xxhash64(t) AS text_hash, f.* FROM @texts@ LATERAL VIEW inline(array(
         struct('reasoning' AS field, right(t, 400) AS tail, (length(t) - length(replace(t, '```', ''))) % 2 = 1 AS fence, (length(t) - length(replace(t, '$', ''))) % 2 = 1 AS dollar, '' AS other),
         struct('final_answer' AS field, right(a, 400) AS tail, false AS fence, false AS dollar, right(coalesce(t, ''), 400) AS other))) f AS field, tail, fence, dollar, other
 """
 
 ENDS = rf"""
-    WITH trimmed AS (SELECT id, field, fence, dollar, other, length(regexp_extract(tail, r'\s*{MARK}\s*$', 0)) AS mark, tail FROM @fields@ WHERE tail rlike r'\S'),
-    bodies AS (SELECT id, field, fence, dollar, other, mark > 0 AS marked, regexp_replace(left(tail, length(tail) - mark), r'\s+$', '') AS body FROM trimmed),
-    seen AS (SELECT id, field, fence, dollar, other, marked, body, v.* FROM bodies
+    WITH trimmed AS (SELECT id, text_hash, field, fence, dollar, other, length(regexp_extract(tail, r'\s*{MARK}\s*$', 0)) AS mark, tail FROM @fields@ WHERE tail rlike r'\S'),
+    bodies AS (SELECT id, text_hash, field, fence, dollar, other, mark > 0 AS marked, regexp_replace(left(tail, length(tail) - mark), r'\s+$', '') AS body FROM trimmed),
+    seen AS (SELECT id, text_hash, field, fence, dollar, other, marked, body, v.* FROM bodies
              LATERAL VIEW inline(array(struct(substring_index(body, char(10), -1) AS line, {WORDS.replace("@text@", TIDY)} AS w))) v AS line, w WHERE body != ''),
     judged AS (
-        SELECT id, field, body, v.* FROM seen LATERAL VIEW inline(array(struct(
+        SELECT id, text_hash, field, body, v.* FROM seen LATERAL VIEW inline(array(struct(
                marked OR fence
                OR body rlike r'<<[^>]*>?$'
                OR line rlike r'^\s*(?:\d+\.|(?i:step) \d+:?|[-*•])\s*$'
@@ -57,7 +59,7 @@ ENDS = rf"""
                hash(w[size(w) - 1]) AS w3, hash(CASE WHEN size(w) > 1 THEN w[size(w) - 2] ELSE '' END) AS w2, hash(CASE WHEN size(w) > 2 THEN w[size(w) - 3] ELSE '' END) AS w1,
                CASE WHEN field = 'final_answer' AND instr(other, body) > 0 THEN regexp_extract(substring_index(other, body, -1), r'^[^.\n]*', 0) END AS rest
         ))) v AS plain_cut, stopped, value, w3, w2, w1, rest)
-    SELECT id, field, plain_cut, stopped, value, rest, body rlike r'\p{{L}}$' AS by_letter, w1, w3, shiftleft(CAST(w3 AS BIGINT), 32) | (CAST(w2 AS BIGINT) & 4294967295L) AS k2 FROM judged
+    SELECT id, text_hash, field, plain_cut, stopped, value, rest, body rlike r'\p{{L}}$' AS by_letter, w1, w3, shiftleft(CAST(w3 AS BIGINT), 32) | (CAST(w2 AS BIGINT) & 4294967295L) AS k2 FROM judged
 """
 
 #: A value is cut only inside its word; a statement that the reasoning goes on with is cut; the rest is left to the trigrams.
@@ -70,13 +72,13 @@ SETTLED = r"""
 """
 
 DECIDE = f"""
-    WITH total AS (SELECT count(*) AS n FROM @texts@ WHERE field = 'reasoning'),
-    forms AS (SELECT k2, w1, count(*) >= greatest({LEAST_FORM}, {FORM} * first(total.n)) AS form FROM @open@ JOIN total WHERE field = 'reasoning' GROUP BY k2, w1),
+    WITH total AS (SELECT count(DISTINCT text_hash) AS n FROM @texts@ WHERE field = 'reasoning'),
+    forms AS (SELECT k2, w1, ends FROM (SELECT k2, w1, count(DISTINCT text_hash) AS ends FROM @open@ WHERE field = 'reasoning' GROUP BY k2, w1) e JOIN total WHERE ends >= greatest({LEAST_FORM}, {FORM} * total.n)),
     tri AS (SELECT k2, w1, shiftright(seen, 32) AS stops, seen & 4294967295L AS inner_n FROM @counts@),
     bi AS (SELECT k2, sum(stops) AS stops, sum(inner_n) AS inner_n FROM tri GROUP BY k2),
     uni AS (SELECT w3, sum(stops) AS stops, sum(inner_n) AS inner_n FROM (SELECT CAST(shiftright(k2, 32) AS INT) AS w3, stops, inner_n FROM bi) GROUP BY w3)
     SELECT o.id, o.field,
-           CASE WHEN f.form THEN false
+           CASE WHEN f.ends + coalesce(t.stops, 0) >= {FORM_ENDS} * (f.ends + coalesce(t.stops + t.inner_n, 0)) THEN false
                 WHEN coalesce(t.stops + t.inner_n, 0) >= least_seen THEN t.stops < usual * (t.stops + t.inner_n)
                 WHEN coalesce(b.stops + b.inner_n, 0) >= least_seen THEN b.stops < usual * (b.stops + b.inner_n)
                 WHEN coalesce(u.stops + u.inner_n, 0) >= least_seen THEN u.stops < usual * (u.stops + u.inner_n)
@@ -103,8 +105,9 @@ def cut_fields(paths: DataFrame, id_col: str = "path_id", text_col: str = "reaso
     Word trigrams of all texts are counted where a word follows and where a
     statement ends. A value without a stop is cut if its last trigram, or where
     that is rare its last two words or its last word, is hardly ever followed by
-    a stop, or was never seen whole. Ends without a stop that many texts have
-    (an answer line, a closing fence) count as stops. Before that, values with a
+    a stop, or was never seen whole. Ends without a stop that many
+    different texts have (an answer line, a closing fence) count as stops, unless
+    more words follow them nearly always. Before that, values with a
     mark of the cut or an open delimiter are cut, and values with a stop are
     not; a final answer is held against the closing statement of its reasoning.
 
@@ -115,7 +118,7 @@ def cut_fields(paths: DataFrame, id_col: str = "path_id", text_col: str = "reaso
     spark = paths.sparkSession
     src = paths.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(answer_col).cast("string").alias("a"))
     fields = _sql(spark, FIELDS, texts=src)
-    ends = interim_table(_sql(spark, f"SELECT id, field, {SETTLED} AS settled, w1, w3, k2 FROM ({ENDS})", fields=fields), "ends")
+    ends = interim_table(_sql(spark, f"SELECT id, text_hash, field, {SETTLED} AS settled, w1, w3, k2 FROM ({ENDS})", fields=fields), "ends")
     open_ = ends.where("settled IS NULL")
     counts = _sql(spark, COUNTS, texts=src.select(F.col("t").alias("text")).where("text is not null"))
     counts = interim_table(counts, "trigrams")
