@@ -1,5 +1,7 @@
 """Single operators on small inputs with known results."""
 
+import statistics
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +153,14 @@ def test_training(spark):
     assert [(r.i, r.label) for r in training.step_labels(s).orderBy("i").collect()] == [(0, 1), (1, 0), (2, 0)]
 
 
+def test_running_median_of_all_so_far(spark):
+    rows = [(k, "pq"[k % 2], None if k % 11 == 3 else (k * 37) % 101) for k in range(120)]
+    got = {r.ord: r.median for r in training.running_median(spark.createDataFrame(rows, "ord long, part string, n int")).collect()}
+    for k, p, _ in rows:
+        far = [n for o, q, n in rows if q == p and o <= k and n is not None]
+        assert got[k] == (int(statistics.median(far)) if far else None)
+
+
 def test_hooks(spark):
     p = spark.createDataFrame([("a", "x"), ("b", None)], "problem_id string, problem string")
     got = hooks.generate(p, lambda t, n: [t.upper()] * n, 2).collect()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +47,30 @@ def best_checkpoint(history: DataFrame, least: float) -> DataFrame:
     return history.where("score is not null").groupBy("run").agg(F.aggregate(ordered, start, merge).alias("b")).select("run", "b.score", "b.step", "b.since")
 
 
+def running_median(rows: DataFrame) -> DataFrame:
+    """Rows (ord, part, n) with the median of all n of the part so far, in order of ord, rounded down; null n are passed over.
+
+    A fold over sorted rows, with the lower and the upper half in heaps.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, low, high = object(), [], []
+        for frame in frames:
+            medians = []
+            for p, n in zip(frame["part"], frame["n"].tolist()):
+                if p != part:
+                    part, low, high = p, [], []
+                if not pd.isna(n):
+                    heapq.heappush(high, -heapq.heappushpop(low, -int(n)))
+                    if len(high) > len(low):
+                        heapq.heappush(low, -heapq.heappop(high))
+                medians.append(None if not low else -low[0] if len(low) > len(high) else (high[0] - low[0]) // 2)
+            yield frame.assign(median=pd.array(medians, dtype="Int64"))
+
+    typed = rows.select(F.col("ord").cast("long"), F.col("part").cast("string"), F.col("n").cast("long"))
+    return typed.repartition("part").sortWithinPartitions("part", "ord").mapInPandas(run, "ord long, part string, n long, median long")
+
+
 def equation_label(step: Column) -> Column:
     """1 if the step's only a op b = c holds, 0 if not, null if there is none."""
     pattern = r"(-?\d+(?:\.\d+)?)\s*([-+*/])\s*(-?\d+(?:\.\d+)?)\s*=\s*(-?\d+(?:\.\d+)?)"

@@ -95,13 +95,19 @@ def scaling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def running_median_penalty(spark: SparkSession, d: str) -> DataFrame:
-    """Length penalty against the median of the first lengths of a problem, in order of arrival."""
+    """Length penalty against the median of the last 20 lengths of a problem, in order of arrival."""
     t = traces_view(spark, d).select("ord", "problem_id", F.length("reasoning").alias("n"))
     w = Window.partitionBy("problem_id").orderBy("ord").rowsBetween(-19, Window.currentRow)
     m = t.withColumn("median", F.floor(F.percentile("n", 0.5).over(w)))
     return m.select("ord", "median", F.round(X.length_penalty(F.col("n"), F.col("median")), 6).alias("penalty"))
 
 
+def running_median_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Length penalty against the median of all lengths of a problem so far, in order of arrival."""
+    t = traces_view(spark, d).select("ord", F.col("problem_id").alias("part"), F.length("reasoning").alias("n"))
+    return training.running_median(t).select("ord", "median", F.round(X.length_penalty(F.col("n"), F.col("median")), 6).alias("penalty"))
+
+
 def summary_diff(spark: SparkSession, d: str) -> DataFrame:
     """Counts per source of one split against another; only sources that both have."""
     p = table(spark, d, "problems").groupBy("source_dataset", "source_split").agg(F.count(F.lit(1)).alias("n"))
@@ -166,7 +172,7 @@ def message_envelope(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (grpo_groups, grpo_advantages, step_labels, step_pairs, seed_aggregate, training_summary, best_checkpoint, throughput, nearest_rank, scaling, running_median_penalty, summary_diff, chat_render, replicate, prefix_match, prefix_schedule, batches, train_eval_split, message_envelope)
+    for f in (grpo_groups, grpo_advantages, step_labels, step_pairs, seed_aggregate, training_summary, best_checkpoint, throughput, nearest_rank, scaling, running_median_penalty, running_median_whole, summary_diff, chat_render, replicate, prefix_match, prefix_schedule, batches, train_eval_split, message_envelope)
 }
 
 _PAIRS = "prs AS MATERIALIZED (SELECT provenance.pair_id AS ord, any_value(pair.prompt) AS prompt, coalesce(any_value(pair.chosen), '') AS chosen, coalesce(any_value(pair.rejected), '') AS rejected, any_value(pair.expected_answer) AS expected FROM dpo_pairs_v1 GROUP BY 1)"
@@ -194,6 +200,7 @@ SQL = {
     "nearest_rank": "WITH r AS (SELECT o_orderstatus, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) SELECT o_orderstatus AS status, n, round(o_totalprice, 4) AS p95 FROM r WHERE k - 1 = round_even(0.95 * (n - 1), 0)",
     "scaling": "WITH g AS (SELECT s_nationkey, sum(l_quantity) AS samples, count(DISTINCT s_suppkey) AS workers FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1), b AS (SELECT samples AS base, workers AS bw FROM g ORDER BY samples, workers LIMIT 1) SELECT s_nationkey, workers, round(samples / base, 6) AS speedup, round(100 * samples / base * bw / workers, 4) AS efficiency FROM g, b",
     "running_median_penalty": f"WITH {TRACES}, t AS (SELECT ord, problem_id, length(reasoning) AS n FROM traces), m AS (SELECT ord, n, floor(quantile_cont(n, 0.5) OVER (PARTITION BY problem_id ORDER BY ord ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) AS median FROM t) SELECT ord, CAST(median AS BIGINT) AS median, round(CASE WHEN median <= 0 OR n <= 0 OR n / median <= 2 THEN 1.0 WHEN n / median >= 6 THEN 0.0 WHEN n / median <= 4 THEN 1.0 - 0.5 * (n / median - 2.0) / 2.0 ELSE 0.5 - 0.5 * (n / median - 4.0) / 2.0 END, 6) AS penalty FROM m",
+    "running_median_whole": f"WITH {TRACES}, t AS (SELECT ord, problem_id, length(reasoning) AS n FROM traces), m AS (SELECT ord, n, floor(quantile_cont(n, 0.5) OVER (PARTITION BY problem_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS median FROM t) SELECT ord, CAST(median AS BIGINT) AS median, round(CASE WHEN median <= 0 OR n <= 0 OR n / median <= 2 THEN 1.0 WHEN n / median >= 6 THEN 0.0 WHEN n / median <= 4 THEN 1.0 - 0.5 * (n / median - 2.0) / 2.0 ELSE 0.5 - 0.5 * (n / median - 4.0) / 2.0 END, 6) AS penalty FROM m",
     "summary_diff": "WITH p AS (SELECT source_dataset, source_split, count(*) AS n FROM problems GROUP BY 1, 2) SELECT a.source_dataset, a.n AS current, b.n AS previous, a.n - b.n AS delta FROM p a JOIN p b ON a.source_dataset = b.source_dataset AND a.source_split = 'train' AND b.source_split = 'test'",
     "chat_render": "WITH c AS (SELECT id, '<|system|>' || chr(10) || CASE WHEN entry_point IS NOT NULL THEN 'You write correct code.' ELSE 'You reason step by step.' END || chr(10) || '<|user|>' || chr(10) || coalesce(problem, '') || chr(10) || '<|assistant|>' || chr(10) AS chat FROM problems) SELECT id, md5(chat) AS chat_md5, length(chat) AS n_chars FROM c",
     "replicate": "SELECT id, CAST(k AS INT) AS k FROM problems, range(4) r(k)",
