@@ -12,6 +12,7 @@ from tracemill.functions import text as X
 from tracemill.operators import agreement, dedup, hooks, pairs, perturb, robustness, search, training, voting
 from tracemill.operators.components import component_labels
 from tracemill.operators.ranking import place_in_group
+from tracemill.plans import q_custom
 from tracemill.sources import readers, sinks
 from tracemill.streaming import messages, pipelines
 
@@ -173,10 +174,21 @@ def test_hooks(spark):
     assert cache.get([1, 2, 3, 4]) == 3
     cache.put([5, 6, 7, 8])
     assert cache.evicted == 1 and cache.get([1]) == 0
+    long = hooks.PrefixCache(20_000)
+    for k in range(4):
+        long.put([k, *range(5000)])
+    assert long.get([3, *range(6000)]) == 5001 and long.get([0, *range(5000)]) == 0 and long.evicted == 1
     assert search.beam("p", lambda p, t, n: ["a", "b"], lambda p, t: t.count("b"), lambda t: len(t) == 3) == "bbb"
     assert one(spark, "SyntaxError: x", hooks.failure_class).status == "compile_error"
 
 
+def test_cache_takes_whole_problems(spark, tmp_path):
+    text = "one two three four five six seven eight"
+    rows = [("a", text), ("b", text + " nine"), ("c", "one two three four five six SEVEN eight ten"), ("d", "one two three four five six other")]
+    spark.createDataFrame(rows, "id string, problem string").write.parquet(str(tmp_path / "problems.parquet"))
+    assert [(r.hits, r.misses, r.evicted) for r in q_custom.lru_cache(spark, str(tmp_path)).collect()] == [(2, 2, 0)]
+
+
 def test_messages_and_stream(spark, tmp_path):
     rows = spark.createDataFrame([("k1", 1), ("k2", None)], "key string, n int").select("key", F.struct("n").alias("data"))
     sent = messages.envelope(rows, "t", "kind", F.lit(1.5)).unionByName(spark.createDataFrame([("t", "k3", "not-json")], "topic string, key string, value string"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 import time
-from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections import Counter, OrderedDict
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,12 +74,21 @@ class PrefixCache:
     def __init__(self, room: int, policy: str = "lru") -> None:
         self.room, self.policy = room, policy
         self.held: OrderedDict[tuple[int, ...], int] = OrderedDict()
+        self.marks: Counter[tuple[int, int]] = Counter()
         self.used = self.hits = self.misses = self.evicted = 0
 
+    @staticmethod
+    def _marks(tokens: Iterable[int]) -> Iterator[tuple[int, int]]:
+        """Length and rolling hash of every prefix; equal marks are checked by the tokens."""
+        h = 0
+        for n, token in enumerate(tokens, 1):
+            h = (h * 1_000_003 + token + 1) % 2_305_843_009_213_693_951
+            yield n, h
+
     def get(self, tokens: list[int]) -> int:
-        for n in range(len(tokens), 0, -1):
-            key = tuple(tokens[:n])
-            if key in self.held:
+        for mark in reversed(list(self._marks(tokens))):
+            n = mark[0]
+            if mark in self.marks and (key := tuple(tokens[:n])) in self.held:
                 self.held[key] += 1
                 self.held.move_to_end(key)
                 self.hits += 1
@@ -89,27 +98,41 @@ class PrefixCache:
 
     def put(self, tokens: list[int]) -> None:
         key = tuple(tokens)
-        if key in self.held or len(key) > self.room:
+        if not key or key in self.held or len(key) > self.room:
             return
         while self.used + len(key) > self.room:
             gone = next(iter(self.held)) if self.policy == "lru" else min(self.held, key=self.held.__getitem__)
             self.used -= len(gone)
             del self.held[gone]
+            *_, mark = self._marks(gone)
+            self.marks[mark] -= 1
+            if not self.marks[mark]:
+                del self.marks[mark]
             self.evicted += 1
         self.held[key] = 1
+        *_, mark = self._marks(key)
+        self.marks[mark] += 1
         self.used += len(key)
 
 
 def simulate_cache(requests: DataFrame, room: int, policy: str = "lru", shards: int = 8) -> DataFrame:
     """Hits, misses and evictions of requests (ord, tokens) on caches sharded by the first token."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        cache = PrefixCache(room, policy)
-        for tokens in frame.sort_values("ord")["tokens"]:
-            tokens = list(tokens)
-            if cache.get(tokens) < len(tokens):
-                cache.put(tokens)
-        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "hits": [cache.hits], "misses": [cache.misses], "evicted": [cache.evicted]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = lambda: pd.DataFrame({"shard": [shard], "hits": [cache.hits], "misses": [cache.misses], "evicted": [cache.evicted]})
+        cache = shard = None
+        for frame in frames:
+            for at, tokens in zip(frame["shard"].tolist(), frame["tokens"]):
+                if at != shard:
+                    if cache is not None:
+                        yield row()
+                    cache, shard = PrefixCache(room, policy), at
+                tokens = tokens.tolist()
+                if cache.get(tokens) < len(tokens):
+                    cache.put(tokens)
+        if cache is not None:
+            yield row()
 
     sharded = requests.where(F.size("tokens") > 0).withColumn("shard", F.pmod(F.col("tokens")[0], F.lit(shards)).cast("int"))
-    return sharded.groupBy("shard").applyInPandas(run, "shard int, hits long, misses long, evicted long")
+    ordered = sharded.select("shard", "ord", "tokens").repartition("shard").sortWithinPartitions("shard", "ord")
+    return ordered.mapInPandas(run, "shard int, hits long, misses long, evicted long")
