@@ -12,7 +12,7 @@ from tracemill.functions import text as X
 from tracemill.operators import agreement, dedup, hooks, pairs, perturb, robustness, search, training, voting
 from tracemill.operators.components import component_labels
 from tracemill.operators.ranking import place_in_group
-from tracemill.plans import q_custom
+from tracemill.plans import q_custom, q_train
 from tracemill.sources import readers, sinks
 from tracemill.streaming import messages, pipelines
 
@@ -189,6 +189,13 @@ def test_cache_takes_whole_problems(spark, tmp_path):
     assert [(r.hits, r.misses, r.evicted) for r in q_custom.lru_cache(spark, str(tmp_path)).collect()] == [(2, 2, 0)]
 
 
+def test_prefix_of_more_than_32_words(spark, tmp_path):
+    text = " ".join(f"w{k}" for k in range(92))
+    spark.createDataFrame([(1, text), (2, text + " end"), (3, "w0 w1 x"), (4, "x"), (5, text[:text.index(" w40")] + " other"), (6, " ".join(text.split()[:32]))], "item_id long, item_text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    spark.createDataFrame([("a", text + " and more"), ("b", None), ("c", "w0 w1")], "id string, problem string").write.parquet(str(tmp_path / "problems.parquet"))
+    assert {r.item_id: r.n_words for r in q_train.prefix_match(spark, str(tmp_path)).collect()} == {1: 92, 2: 92, 3: 2, 4: 0, 5: 40, 6: 32}
+
+
 def test_messages_and_stream(spark, tmp_path):
     rows = spark.createDataFrame([("k1", 1), ("k2", None)], "key string, n int").select("key", F.struct("n").alias("data"))
     sent = messages.envelope(rows, "t", "kind", F.lit(1.5)).unionByName(spark.createDataFrame([("t", "k3", "not-json")], "topic string, key string, value string"))

@@ -130,13 +130,26 @@ def replicate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prefix_match(spark: SparkSession, d: str) -> DataFrame:
-    """For each evaluation item, the longest run of first words that a problem begins with, up to 32."""
+    """For each evaluation item, the longest run of first words that a problem begins with.
+
+    Heads of up to 32 words are met first; what agrees in all of them goes on
+    with a chain of digests over its other words.
+    """
     most = 32
-    items = compute_once(table(spark, d, "eval_items").select("item_id", "item_text"), {"w": F.slice(X.words(F.col("item_text")), 1, most)})
-    problems = compute_once(table(spark, d, "problems").select("id", F.coalesce("problem", F.lit("")).alias("problem")), {"w": F.slice(X.words(F.col("problem")), 1, most)})
+    all_items = compute_once(table(spark, d, "eval_items").select("item_id", "item_text"), {"all": X.words(F.col("item_text"))}).select("item_id", "all", F.slice("all", 1, most).alias("w"))
+    all_problems = compute_once(table(spark, d, "problems").select("id", F.coalesce("problem", F.lit("")).alias("problem")), {"all": X.words(F.col("problem"))}).select("id", "all", F.slice("all", 1, most).alias("w"))
+    items, problems = all_items.select("item_id", "w"), all_problems.select("id", "w")
     heads = lambda df, key: df.where(F.size("w") > 0).select(key, F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"), "w").select(key, "n", F.md5(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ")).alias("h"))
     seen = heads(problems, "id").select("n", "h").distinct()
     hit = heads(items, "item_id").join(seen, ["n", "h"]).groupBy("item_id").agg(F.max("n").alias("n"))
+    head = F.md5(F.array_join("w", " "))
+    long = lambda df, key: df.where(F.size("all") > most).select(key, "all", head.alias("head"))
+    chain = F.aggregate(F.slice("all", F.lit(most + 1), F.greatest(F.size("all") - most, F.lit(1))), F.array("head"), lambda acc, x: F.concat(acc, F.array(F.md5(F.concat(F.element_at(acc, -1), x)))))
+    chained = lambda df, key: df.select(key, F.posexplode(chain).alias("k", "h")).where("k > 0")
+    more_items = long(all_items, "item_id")
+    more_problems = long(all_problems, "id").join(more_items.select("head").distinct(), "head", "left_semi")
+    more = chained(more_items, "item_id").join(chained(more_problems, "id").select("k", "h").distinct(), ["k", "h"]).groupBy("item_id").agg((F.max("k") + most).alias("n"))
+    hit = hit.unionByName(more).groupBy("item_id").agg(F.max("n").alias("n"))
     return items.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_words"))
 
 
