@@ -13,6 +13,7 @@ from tracemill.operators import agreement, dedup, hooks, pairs, perturb, robustn
 from tracemill.operators.components import component_labels
 from tracemill.operators.ranking import place_in_group
 from tracemill.plans import q_custom, q_train
+from tracemill.runtime import table
 from tracemill.sources import readers, sinks
 from tracemill.streaming import messages, pipelines
 
@@ -189,6 +190,12 @@ def test_cache_takes_whole_problems(spark, tmp_path):
     assert [(r.hits, r.misses, r.evicted) for r in q_custom.lru_cache(spark, str(tmp_path)).collect()] == [(2, 2, 0)]
 
 
+def test_stage_keeps_all_events(spark, sf):
+    want = table(spark, sf, "events").where("value > 10").select("event_id")
+    got = q_custom.stream_stage(spark, sf).select("event_id")
+    assert want.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_prefix_of_more_than_32_words(spark, tmp_path):
     text = " ".join(f"w{k}" for k in range(92))
     spark.createDataFrame([(1, text), (2, text + " end"), (3, "w0 w1 x"), (4, "x"), (5, text[:text.index(" w40")] + " other"), (6, " ".join(text.split()[:32]))], "item_id long, item_text string").write.parquet(str(tmp_path / "eval_items.parquet"))

@@ -97,10 +97,11 @@ def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_stage(spark: SparkSession, d: str) -> DataFrame:
-    """Trace messages opened, verified and forwarded; what fails is dropped."""
+    """Trace messages opened, verified and forwarded; broken messages sent beside them are dropped."""
     src = _events_stream(spark, d)
     sent = messages.envelope(src.select(F.col("user_id").cast("string").alias("key"), F.struct("event_id", "value").alias("data")), "reasoning-raw", "raw_reasoning", F.lit(0.0))
-    bad = sent.withColumn("value", F.when(F.length("value") % 7 == 0, F.lit("{broken")).otherwise(F.col("value")))
+    broken = F.when(F.length("value") % 7 == 0, F.array("value", F.lit("{broken"))).otherwise(F.array("value"))
+    bad = sent.select("topic", "key", F.explode(broken).alias("value"))
     kept = pipelines.stage(bad, "event_id long, value double", lambda x: x.where("value > 10"))
     return _streamed(spark, kept)
 
