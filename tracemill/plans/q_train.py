@@ -173,7 +173,7 @@ def train_eval_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def message_envelope(spark: SparkSession, d: str) -> DataFrame:
-    """Traces and pairs as keyed messages of three topics, written as JSON and read back."""
+    """Traces as keyed messages of two topics, written as JSON and read back; training_messages has the pairs."""
     from tracemill.streaming.messages import envelope, open_envelope
 
     t = table(spark, d, "reasoning_paths").dropDuplicates(["path_id"])
@@ -183,9 +183,18 @@ def message_envelope(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("topic", "type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("n_keys"), F.count("data.final_answer").alias("n_answers"), F.sum("data.path_id").alias("id_sum"))
 
 
+def training_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs as keyed messages of the topic for training, written as JSON and read back."""
+    from tracemill.streaming.messages import TOPICS, envelope, open_envelope
+
+    sent = envelope(_pairs(spark, d).select(F.col("ord").alias("key"), F.struct("prompt", "chosen", "rejected").alias("data")), TOPICS["training_sample"], "training_sample")
+    back = open_envelope(sent, "prompt string, chosen string, rejected string")
+    return back.groupBy("topic", "type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("n_keys"), F.count("data.prompt").alias("n_prompts"), F.sum(F.length("data.chosen") + F.length("data.rejected")).alias("n_chars"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (grpo_groups, grpo_advantages, step_labels, step_pairs, seed_aggregate, training_summary, best_checkpoint, throughput, nearest_rank, scaling, running_median_penalty, running_median_whole, summary_diff, chat_render, replicate, prefix_match, prefix_schedule, batches, train_eval_split, message_envelope)
+    for f in (grpo_groups, grpo_advantages, step_labels, step_pairs, seed_aggregate, training_summary, best_checkpoint, throughput, nearest_rank, scaling, running_median_penalty, running_median_whole, summary_diff, chat_render, replicate, prefix_match, prefix_schedule, batches, train_eval_split, message_envelope, training_messages)
 }
 
 _PAIRS = "prs AS MATERIALIZED (SELECT provenance.pair_id AS ord, any_value(pair.prompt) AS prompt, coalesce(any_value(pair.chosen), '') AS chosen, coalesce(any_value(pair.rejected), '') AS rejected, any_value(pair.expected_answer) AS expected FROM dpo_pairs_v1 GROUP BY 1)"
@@ -223,4 +232,5 @@ SQL = {
     "train_eval_split": "WITH p AS (SELECT id, row_number() OVER (PARTITION BY source_dataset ORDER BY id) AS k, count(*) OVER (PARTITION BY source_dataset) AS n FROM problems) SELECT id, CASE WHEN k <= floor(n * 0.9) THEN 'train' ELSE 'eval' END AS part FROM p",
     "message_envelope": """WITH t AS (SELECT path_id, any_value(problem_id) AS key, any_value(final_answer) AS fa, any_value(is_correct) AS ok FROM reasoning_paths GROUP BY 1), m AS (SELECT 'reasoning-raw' AS topic, 'raw_reasoning' AS type, * FROM t UNION ALL SELECT 'reasoning-verified', 'verified_path', * FROM t WHERE ok)
         SELECT topic, type, count(*) AS n, count(DISTINCT key) AS n_keys, count(fa) AS n_answers, CAST(sum(path_id) AS BIGINT) AS id_sum FROM m GROUP BY 1, 2""",
+    "training_messages": f"WITH {_PAIRS} SELECT 'training-data' AS topic, 'training_sample' AS type, count(*) AS n, count(DISTINCT ord) AS n_keys, count(prompt) AS n_prompts, CAST(sum(length(chosen) + length(rejected)) AS BIGINT) AS n_chars FROM prs",
 }
