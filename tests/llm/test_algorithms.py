@@ -49,15 +49,22 @@ def test_near_groups_against_brute_force(spark):
     assert p4.near_groups(df.limit(0)).count() == 0
 
 
-def test_crowded_bucket_links_all():
+def _rows_batch(rows, names):
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in np.asarray(rows, np.int64).T], names)
+
+
+def test_stars_over_batches():
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 62, 2)
-    sketches = np.repeat(base[None], 500, 0)
-    sketches[np.arange(500), 0] ^= 1 << rng.integers(0, 60, 500)
-    batch = lambda lo, hi: pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, 7)), pa.array(np.arange(lo, hi)), pa.array(sketches[lo:hi, 0]), pa.array(sketches[lo:hi, 1])], ["key", "id", "s0", "s1"])
-    pairs = [p for b in p4.bucket_pairs(iter([batch(0, 150), batch(150, 151), batch(151, 500)]), p4.LIKENESS) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())]
-    assert len(pairs) < 5000
-    assert {x for p in pairs for x in p} == set(range(500))
+    sizes = [1, 1, 5, 1, 300, 2, 1, 1]
+    keys = np.repeat(np.arange(len(sizes)), sizes)
+    sketch = np.stack([keys * 12345, keys * 777], 1)
+    sketch[:, 0] ^= 1 << rng.integers(0, 40, len(keys))
+    rows = np.column_stack([keys, np.arange(len(keys)), sketch, np.full(len(keys), 60)])
+    for cuts in ([], [1], [2, 3, 4], [7, 8, 9, 200], list(range(len(rows)))):
+        parts = np.split(rows, cuts)
+        got = [dict(zip(b.schema.names, r)) for b in p4.stars(iter(_rows_batch(p, ["key", "id", "s0", "s1", "n"]) for p in parts if len(p)), 0.85) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert [(g["key"], g["id"]) for g in got] == [(k, i) for i, k in enumerate(keys) if sizes[k] > 1 or k in (0, len(sizes) - 1)]
+        assert all(g["center"] == np.flatnonzero(keys == g["key"])[0] and g["star"] == (g["id"] != g["center"]) for g in got)
 
 
 def test_crowded_bucket_keeps_satellites(spark):
@@ -76,14 +83,35 @@ def test_crowded_bucket_keeps_satellites(spark):
     assert len(expected) == 300 and got == expected
 
 
+def test_crowd_of_chains(spark, monkeypatch):
+    monkeypatch.setattr(p4, "BLOCK", 50)
+    random.seed(8)
+    base, rows = [f"w{k}" for k in range(40)], []
+    for k in range(400):
+        text = list(base)
+        for n, at in enumerate(random.sample(range(40), 1 if k < 300 else random.choice([2, 3]))):
+            text[at] = f"e{k}x{n}"
+        rows.append((k, " ".join(text)))
+    got = {r.path_id: r.group for r in p4.near_groups(spark.createDataFrame(rows, "path_id long, reasoning string")).collect()}
+    assert got == _groups({i: p4.word_set(t) for i, t in rows}) and len(got) == 400
+
+
 def test_blocks_meet_each_other(spark, monkeypatch):
-    monkeypatch.setattr(p4, "BLOCK", 40)
     rng = np.random.default_rng(6)
     sketches = rng.integers(-(1 << 62), 1 << 62, (100, 2))
-    rows = [(7, k, int(s[0]), int(s[1])) for k, s in enumerate(np.concatenate([sketches, sketches]))] + [(8, 1000 + k, 5, 5) for k in range(70)]
-    labels = spark.createDataFrame([(k, 0) for k in (3, 103)] + [(1000 + k, 1000) for k in range(70)], "node long, label long")
-    got = p4.crowded_pairs(spark.createDataFrame(rows, "key long, id long, s0 long, s1 long"), labels, p4.LIKENESS).collect()
-    assert sorted((r.a, r.b) for r in got) == [(k, 100 + k) for k in range(100) if k != 3]
+    rows = [(7, 0 if k in (3, 103) else k, k, *map(int, s), 50, 5000) for k, s in enumerate(np.concatenate([sketches, sketches]))] + [(8, 1000, 1000 + k, 5, 5, 50, 1000) for k in range(70)]
+    rows = [(1, 1, 1, 1, 1, 50, 1)] + sorted(rows) + [(9 + k, 2000 + k, 2000 + k, 1, 1, 50, 2000 + k) for k in range(20)]
+    expected = sorted((k, 100 + k) for k in range(100) if k != 3)
+    names = list(p4.FIELDS)
+    for block, together, cuts in ((40, 60, [30, 100, 210]), (4096, 50_000, [30]), (7, 1, list(range(1, len(rows)))), (300, 10, [100])):
+        monkeypatch.setattr(p4, "BLOCK", block)
+        monkeypatch.setattr(p4, "TOGETHER", together)
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        out = pa.Table.from_batches(list(p4.blocked(iter(_rows_batch(p, names) for p in parts), 0.85, 3))).to_pylist()
+        pairs = {(r["a"], r["b"]) for r in out if r["a"] is not None}
+        left = spark.createDataFrame([tuple(r[c] for c in ("block", *names)) for r in out if r["a"] is None], "block long, " + ", ".join(f"{c} long" for c in names))
+        more = {(r.a, r.b) for r in p4.pairs_across(left, 0.85).collect()}
+        assert sorted(pairs | more) == expected and not pairs & more
 
 
 def test_pruning_keeps_like_pairs():

@@ -9,24 +9,27 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
 
+from tracemill.llm.visual_form import blocks
 from tracemill.operators.components import component_labels
 from tracemill.runtime import interim_table, table
 
 #: Likeness asked for, and the banding: a pair at .85 shares one of 16 bands of 8 with probability .994, one at .9 with .9999.
 LIKENESS = 0.85
 BANDS, ROWS = 16, 8
-#: Chances taken that a like pair is pruned by its sketch, and that a pair taken for granted in a crowded bucket is not alike.
-MISS, DOUBT = 1e-4, 1e-2
+#: Chance taken that a like pair is pruned by its sketch.
+MISS = 1e-4
 #: Bits of the sketch compared at a time.
 BATCH = 32
-#: Buckets up to this size compare all their rows at once, larger ones by leaders first, then across groups in blocks of so many rows.
-CROWD, BLOCK = 64, 2048
+#: Rows of a bucket that meet in one step of a task, and rows of small buckets that a task handles together.
+BLOCK, TOGETHER = 4096, 50_000
 KEPT_WORDS = 1_000_000
+#: Bytes of text handled at once.
+TEXTS = 1_000_000
 _words = re.compile(r"[^\W_]+").findall
 
 
@@ -51,19 +54,25 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each set of word hashes, none empty: a 128-bit digest, a 128-bit sketch, and the band keys."""
+    """Of each set of word hashes, none empty: a 128-bit digest, a 128-bit sketch, and the band keys.
+
+    Hash functions and sets are taken some at a time, so that memory is bounded
+    by the longest set.
+    """
     sizes = np.array([len(s) for s in sets])
     flat, word = np.unique(np.concatenate(sets), return_inverse=True)
     mult = _multipliers(bands * rows)
-    values = ((flat[:, None] * mult) >> np.uint64(48)).astype(np.uint16)
     at = np.concatenate(([0], np.cumsum(sizes)))
-    least = np.empty((len(sets), bands * rows), np.uint16)
-    for lo in range(0, len(sets), 256):
-        hi = min(lo + 256, len(sets))
-        least[lo:hi] = np.minimum.reduceat(values[word[at[lo] : at[hi]]], at[lo:hi] - at[lo], axis=0)
-    bits = np.packbits(((least.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(16) & 1).astype(np.uint8)[:, :128], axis=1)
+    least = np.empty((len(sets), bands * rows), np.uint32)
+    some = int(np.clip(4_000_000 // max(len(flat), int(sizes.max())), 1, bands * rows))
+    cuts = np.unique(np.concatenate((np.flatnonzero(np.diff(at[:-1] // 32_768)) + 1, [0, len(sets)])))
+    for c in range(0, bands * rows, some):
+        values = ((flat[:, None] * mult[c : c + some]) >> np.uint64(32)).astype(np.uint32)
+        for lo, hi in zip(cuts, cuts[1:]):
+            least[lo:hi, c : c + some] = np.minimum.reduceat(values[word[at[lo] : at[hi]]], at[lo:hi] - at[lo], axis=0)
+    bits = np.packbits(((least * np.uint32(2654435761)) >> np.uint32(16) & 1).astype(np.uint8)[:, :128], axis=1)
     sketch = np.ascontiguousarray(bits).view(np.int64)
-    mixed = _mix(least.reshape(len(sets), bands, rows).astype(np.uint64) + np.arange(rows, dtype=np.uint64) * np.uint64(0x10001))
+    mixed = _mix(least.reshape(len(sets), bands, rows).astype(np.uint64) + (np.arange(rows, dtype=np.uint64) << np.uint64(32)))
     keys = mixed[:, :, 0]
     for k in range(1, rows):
         keys = _mix(keys * np.uint64(31) ^ mixed[:, :, k])
@@ -107,163 +116,157 @@ def may_be_alike(x: np.ndarray, y: np.ndarray, likeness: float, miss: float) ->
     return keep
 
 
-class Bucket:
-    """First candidates of one crowded bucket, row block by row block; block_pairs gives the rest.
+def _hopeful(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, likeness: float) -> np.ndarray:
+    """Pairs whose sizes allow the likeness and whose sketches pass the sequential test."""
+    keep = np.minimum(nx, ny) > likeness * np.maximum(nx, ny)
+    at = np.flatnonzero(keep)
+    keep[at] = may_be_alike(x[at], y[at], likeness, MISS)
+    return keep
+
 
-    A row that is almost certainly like a leader is paired with it alone;
-    another is compared with all leaders and becomes one. Memory is that of the
-    leaders.
-    """
+MEMBERS = "key long, id long, s0 long, s1 long, n long, center long, star boolean"
 
-    def __init__(self, likeness: float) -> None:
-        self.likeness = likeness
-        self.ids, self.sketches = np.empty(0, np.int64), np.empty((0, 2), np.int64)
-        post = posterior(128, likeness)
-        self.sure = int(np.argmax(post >= 1 - DOUBT))
-
-    def add(self, ids: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        rest = np.arange(len(ids))
-        done = 0
-        while True:
-            for lead in range(done, len(self.ids)):  # leaders that the rest hasn't met
-                if not len(rest):
-                    return
-                agree = 128 - np.bitwise_count((sketches[rest] ^ self.sketches[lead]).view(np.uint64)).sum(1, dtype=np.int64)
-                sure = agree >= self.sure
-                if sure.any():
-                    yield np.full(int(sure.sum()), self.ids[lead]), ids[rest[sure]]
-                    rest = rest[~sure]
-            done = len(self.ids)
-            if not len(rest):
-                return
-            new, rest = rest[0], rest[1:]
-            maybe = may_be_alike(np.broadcast_to(sketches[new], (done, 2)).copy(), self.sketches, self.likeness, MISS)
-            if maybe.any():
-                yield self.ids[maybe], np.full(int(maybe.sum()), ids[new])
-            self.ids, self.sketches = np.append(self.ids, ids[new]), np.vstack([self.sketches, sketches[new]])
-
-
-def bucket_pairs(batches: Iterator[pa.RecordBatch], likeness: float, crowds: bool = False) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a < b) of rows key, id, s0, s1 that come in order of key.
-
-    With crowds there are the columns s0, s1 as well, null in pairs, and the rows
-    of crowded buckets are given too, with the key as a and the id as b.
-    """
 
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        ok = lo < hi
-        both = np.unique(np.stack([lo[ok], hi[ok]], 1), axis=0)
-        none = {c: pa.nulls(len(both), pa.int64()) for c in ("s0", "s1")} if crowds else {}
-        return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])} | none)
-
-    def members(key: np.ndarray, ids: np.ndarray, sk: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if crowds:
-            yield pa.RecordBatch.from_pydict({"a": pa.array(key), "b": pa.array(ids), "s0": pa.array(sk[:, 0].copy()), "s1": pa.array(sk[:, 1].copy())})
-
-    def small(key: np.ndarray, ids: np.ndarray, sk: np.ndarray) -> Iterator[pa.RecordBatch]:
-        left, right = [], []
-        for d in range(1, CROWD):
-            i = np.flatnonzero(key[:-d] == key[d:]) if len(key) > d else np.empty(0, np.int64)
-            if not len(i):
-                break
-            i = i[may_be_alike(sk[i], sk[i + d], likeness, MISS)]
-            left.append(ids[i])
-            right.append(ids[i + d])
-        if left:
-            yield out(np.concatenate(left), np.concatenate(right))
-
-    tail: tuple[np.ndarray, ...] | None = None
-    crowd: Bucket | None = None
-    crowd_key = None
+def stars(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.RecordBatch]:
+    """The rows (key, id, s0, s1, n) of buckets with more than one row, in order of key, each with the bucket's first row as center.
+
+    star says that row and center may be alike. The first and the last bucket of
+    the input are given even if they have one row, as they may go on elsewhere.
+    Memory is that of a batch.
+    """
+    tail: np.ndarray | None = None  # the last row, not given yet if it is its bucket's first
+    center: np.ndarray | None = None
+    first, given = True, False
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [np.asarray(c) for c in batch.columns]
+        rows = np.stack([np.asarray(c) for c in batch.columns], 1)
+        skip = 0
         if tail is not None:
-            cols = [np.concatenate([t, c]) for t, c in zip(tail, cols)]
-            tail = None
-        key, ids = cols[0], cols[1]
-        sk = np.stack(cols[2:4], 1)
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        sizes = np.diff(np.append(starts, len(key)))
-        if crowd is not None and key[0] == crowd_key:
-            n = int(sizes[0])
-            yield from members(key[:n], ids[:n], sk[:n])
-            for a, b in crowd.add(ids[:n], sk[:n]):
-                yield out(a, b)
-            if n == len(key):
-                continue
-            key, ids, sk, cols = key[n:], ids[n:], sk[n:], [c[n:] for c in cols]
-            starts, sizes = starts[1:] - n, sizes[1:]
-        crowd = None
-        for j in np.flatnonzero(sizes > CROWD):
-            lo, hi = int(starts[j]), int(starts[j] + sizes[j])
-            crowd, crowd_key = Bucket(likeness), key[lo]
-            yield from members(key[lo:hi], ids[lo:hi], sk[lo:hi])
-            for a, b in crowd.add(ids[lo:hi], sk[lo:hi]):
-                yield out(a, b)
-            if hi < len(key):
-                crowd = None
-        quiet = np.repeat(sizes <= CROWD, sizes)
-        if sizes[-1] <= CROWD:  # the last run may go on in the next batch
-            cut = int(starts[-1])
-            tail = tuple(c[cut:] for c in cols)
-            quiet[cut:] = False
-        yield from small(key[quiet], ids[quiet], sk[quiet])
-    if tail is not None:
-        yield from small(tail[0], tail[1], np.stack(tail[2:4], 1))
-
-
-def block_pairs(rows: pa.Table, likeness: float) -> pa.Table:
-    """Candidate pairs of two blocks i, j of a crowded bucket, or of one if i = j, without pairs that have one label already.
-
-    Rows are i, j, part, id, label, s0, s1.
-    """
-    i, j, part, ids, label = (rows.column(c).to_numpy() for c in ("i", "j", "part", "id", "label"))
-    sk = np.stack([rows.column("s0").to_numpy(), rows.column("s1").to_numpy()], 1)
-    enough = int(np.argmax(posterior(128, likeness) >= MISS))
-    x = np.flatnonzero(part == i)
-    y = x if i[0] == j[0] else np.flatnonzero(part == j)
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for k, row in enumerate(x):
-        rest = y[k + 1 :] if i[0] == j[0] else y
-        rest = rest[label[rest] != label[row]]
-        rest = rest[128 - np.bitwise_count((sk[rest] ^ sk[row]).view(np.uint64)).sum(1, dtype=np.int64) >= enough]
-        if len(rest):
-            rest = rest[may_be_alike(np.broadcast_to(sk[row], (len(rest), 2)).copy(), sk[rest], likeness, MISS)]
-            left.append(np.minimum(ids[rest], ids[row]))
-            right.append(np.maximum(ids[rest], ids[row]))
-    return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
-
-
-def crowded_pairs(crowds: DataFrame, labels: DataFrame, likeness: float) -> DataFrame:
-    """Candidate pairs (a, b) of rows key, id, s0, s1 of crowded buckets that labels (node, label) hasn't joined yet.
-
-    A bucket whose rows have one label is done; the others are dealt into blocks
-    by id and every block meets every other.
-    """
-    rows = crowds.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "s0", "s1", F.coalesce("label", "id").alias("label"))
-    mixed = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "parts")
-    dealt = rows.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "label", "s0", "s1")
-    return met.groupBy("key", "i", "j").applyInArrow(lambda t: block_pairs(t, likeness), "a long, b long").distinct()
-
+            rows, skip = np.vstack([tail, rows]), int(given)
+        key = rows[:, 0]
+        new = np.append(True, key[1:] != key[:-1])
+        starts = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        middle = rows[starts][run]
+        if tail is not None and center is not None:
+            middle[run == 0] = center
+        several = np.diff(np.append(starts, len(rows)))[run] > 1
+        several |= (run == 0) & (first | given)
+        single_end = not several[-1]  # may go on in the next batch
+        shown = several.copy()
+        shown[:skip] = False
+        at = np.flatnonzero(shown)
+        star = (rows[at, 1] != middle[at, 1]) & _hopeful(rows[at, 2:4], middle[at, 2:4], rows[at, 4], middle[at, 4], likeness)
+        if len(at):
+            out = [*rows[at].T, middle[at, 1]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in out), pa.array(star)], ["key", "id", "s0", "s1", "n", "center", "star"])
+        first = first and run[-1] == 0
+        tail, center, given = rows[-1:], middle[-1], not single_end
+    if tail is not None and not given:
+        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in tail.T), pa.array(tail[:, 1]), pa.array([False])], ["key", "id", "s0", "s1", "n", "center", "star"])
+
+
+FIELDS = ("key", "label", "id", "s0", "s1", "n", "center")
+BLOCKED = "a long, b long, block long, " + ", ".join(f"{c} long" for c in FIELDS)
+
+
+def _new_pairs(rows: np.ndarray, x: np.ndarray, y: np.ndarray, likeness: float) -> np.ndarray:
+    """Ids (less, more) of the row pairs x, y of different labels that may be alike and that no star has tested; columns as FIELDS."""
+    ids, center = rows[:, 2], rows[:, 6]
+    ok = (rows[x, 1] != rows[y, 1]) & (center[x] != ids[y]) & (center[y] != ids[x])
+    x, y = x[ok], y[ok]
+    ok = _hopeful(rows[x, 3:5], rows[y, 3:5], rows[x, 5], rows[y, 5], likeness)
+    x, y = ids[x[ok]], ids[y[ok]]
+    return np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+
+
+def _within(rows: np.ndarray, ends: np.ndarray, likeness: float) -> np.ndarray:
+    """New pairs of rows of one block each; ends has the place behind each row's block."""
+    found = [np.empty((0, 2), np.int64)]
+    last = rows[ends - 1, 1]
+    at = np.flatnonzero(rows[:, 1] != last)  # rows come by label, so that those of the block's last label are done
+    for d in range(1, BLOCK):
+        at = at[at + d < ends[at]]
+        if not len(at):
+            break
+        found.append(_new_pairs(rows, at, at + d, likeness))
+    return np.concatenate(found)
 
-def likeness_of(a: Column | str, b: Column | str) -> Column:
-    """Common words by all words of two texts; null if either is null, 0 if neither has a word."""
 
-    @arrow_udf("double")
-    def like(x: pa.Array, y: pa.Array) -> pa.Array:
-        def one(s: str | None, t: str | None) -> float | None:
-            if s is None or t is None:
-                return None
-            u, v = word_set(s), word_set(t)
-            return len(u & v) / len(u | v) if u or v else 0.0
+def blocked(batches: Iterator[pa.RecordBatch], likeness: float, part: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (a, b) within the blocks of rows FIELDS that come in order of key, label and id.
 
-        return pa.array([one(s, t) for s, t in zip(x.to_pylist(), y.to_pylist())], pa.float64())
+    A bucket is cut into blocks of up to BLOCK rows. Rows of buckets of several
+    blocks, and of the first and the last bucket of the input, are given as well
+    with the number of their block, which is unique for a part.
+    """
+    held: list[np.ndarray] = []
+    count, number, before = 0, 0, None  # before: the key that the rows given last end with, or that of the input's first row
+
+    def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, count, number, before
+        rows = np.concatenate(held)
+        key = rows[:, 0]
+        new = np.append(True, key[1:] != key[:-1])
+        starts = np.flatnonzero(new)
+        done = len(rows) if last else max(int(starts[-1]), (len(rows) - int(starts[-1])) // BLOCK * BLOCK + int(starts[-1]))
+        rest, rows, new = rows[done:], rows[:done], new[:done]
+        held, count = [rest] if len(rest) else [], len(rest)
+        if not len(rows):
+            return
+        starts = np.flatnonzero(new)
+        place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows))))
+        edge = np.flatnonzero(place % BLOCK == 0)
+        sizes = np.diff(np.append(edge, len(rows)))
+        block = (part << 36) + number + np.repeat(np.arange(len(edge)), sizes)
+        number += len(edge)
+        pairs = _within(rows, np.repeat(edge + sizes, sizes), likeness)
+        pairs = np.unique(pairs, axis=0)
+        none = pa.nulls(len(pairs), pa.int64())
+        names = ["a", "b", "block", *FIELDS]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *[none] * (1 + len(FIELDS))], names)
+        run = np.repeat(np.diff(np.append(starts, len(rows))), np.diff(np.append(starts, len(rows))))
+        open_ = (run > BLOCK) | (rows[:, 0] == before) | (rows[:, 0] == rows[-1, 0])
+        before = rows[-1, 0]
+        none = pa.nulls(int(open_.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(block[open_]), *(pa.array(np.ascontiguousarray(c)) for c in rows[open_].T)], names)
 
-    return like(a, b)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([np.asarray(c) for c in batch.columns], 1)
+        if before is None:
+            before = rows[0, 0]
+        held.append(rows)
+        count += len(rows)
+        if count >= TOGETHER:
+            yield from flush(False)
+    if count:
+        yield from flush(True)
+
+
+def across(rows: pa.Table, likeness: float) -> pa.Table:
+    """Candidate pairs (a, b) between two blocks x and y of one bucket; side tells the blocks apart."""
+    side = rows.column("side").to_numpy()
+    values = np.stack([rows.column(c).to_numpy() for c in FIELDS], 1)
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    found = [np.empty((0, 2), np.int64), *(_new_pairs(values, np.repeat(row, len(y)), y, likeness) for row in x)]
+    both = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+
+def pairs_across(rows: DataFrame, likeness: float) -> DataFrame:
+    """Candidate pairs of rows block and FIELDS that lie in different blocks of a bucket.
+
+    Blocks that are all of one label, or whose sizes allow no likeness, don't meet.
+    """
+    blocks = rows.groupBy("key", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    a, b = blocks.selectExpr("key", "block AS x", "lo", "hi", "least", "most"), blocks.selectExpr("key", "block AS y", "lo AS lo2", "hi AS hi2", "least AS least2", "most AS most2")
+    fit = f"x < y AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2) AND most > {likeness} * least2 AND most2 > {likeness} * least"
+    met = a.join(b, "key").where(fit).select("x", "y")
+    sides = met.select("x", "y", F.inline(F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.lit(1).alias("side")))))
+    return rows.join(sides, "block").select("x", "y", "side", *FIELDS).groupBy("x", "y").applyInArrow(lambda t: across(t, likeness), "a long, b long")
 
 
 def near_groups(df: DataFrame, id_col: str = "path_id", text_col: str = "reasoning", likeness: float = LIKENESS) -> DataFrame:
@@ -276,43 +279,58 @@ def near_groups(df: DataFrame, id_col: str = "path_id", text_col: str = "reasoni
 
     Records with one set of words become one class first. Classes meet in
     buckets of MinHash bands; sketches prune pairs batch by batch, with a chance
-    of MISS to lose a like pair; the texts of the survivors are compared exactly.
-    A crowded bucket is grouped by its leaders first; then all its pairs that
-    are not in one group by that are tested in the same way.
+    of MISS to lose a like pair; the words of the survivors are compared exactly.
+    First every class is held against the first one of its bucket. Then all
+    pairs of a bucket that those links have not put into one group are tested
+    in the same way, so that no pair of a bucket is passed over, whatever its
+    size. Buckets are spread by range over the tasks and met in blocks of BLOCK
+    rows, so that none is gathered in one task.
     """
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    names = ["id", "h0", "h1", "s0", "s1", *(f"k{j}" for j in range(BANDS))]
+    names = ["id", "h0", "h1", "n", "s0", "s1", *(f"k{j}" for j in range(BANDS))]
     schema = T.StructType([T.StructField(c, T.LongType()) for c in names])
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         known = WordHashes()
         for batch in batches:
-            texts, ids = batch.column(1), np.asarray(batch.column(0))
-            for lo in range(0, len(ids), 1000):
-                sets = [np.fromiter(map(known.__getitem__, s), np.uint64, len(s)) for s in map(word_set, texts.slice(lo, 1000).to_pylist())]
+            ids = np.asarray(batch.column(0))
+            for lo, texts in blocks(batch.column(1), TEXTS):
+                sets = [np.fromiter(map(known.__getitem__, s), np.uint64, len(s)) for s in map(word_set, texts.to_pylist())]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 if full:
-                    digest, sketch, keys = signatures([sets[i] for i in full])
-                    cols = np.hstack([ids[lo : lo + 1000][full][:, None], digest, sketch, keys])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols.T], names)
+                    yield ids[lo : lo + len(sets)][full], [sets[i] for i in full]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in hashed(batches):
+            digest, sketch, keys = signatures(sets)
+            cols = np.hstack([ids[:, None], digest, np.array([len(s) for s in sets])[:, None], sketch, keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols.T], names)
+
+    def word_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in hashed(batches):
+            offs = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "words"])
 
     signed = interim_table(src.mapInArrow(sign, schema), "signed")
     classes = signed.groupBy("h0", "h1").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in names[3:]))
-    rows = classes.select(F.explode(F.array(*names[5:])).alias("key"), "id", "s0", "s1")
-    ordered = rows.repartition("key").sortWithinPartitions("key")
-    met = interim_table(ordered.mapInArrow(lambda batches: bucket_pairs(batches, likeness, True), "a long, b long, s0 long, s1 long"), "met")
-    texts = src.select("id", "text")
+    rows = classes.select(F.explode(F.array(*names[6:])).alias("key"), "id", "s0", "s1", "n")
+    ordered = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    met = interim_table(ordered.mapInArrow(lambda batches: stars(batches, likeness), MEMBERS), "met")
+    needed = src.join(met.select("id").distinct(), "id", "left_semi")
+    words = interim_table(needed.mapInArrow(word_numbers, "id long, words array<long>"), "words")
 
     def links(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.withColumnRenamed("text", "ta"), F.col("a") == F.col("id")).drop("id")
-        two = one.join(texts.withColumnRenamed("text", "tb"), F.col("b") == F.col("id")).drop("id")
-        return two.where(likeness_of("ta", "tb") > likeness).select("a", "b")
-
-    labels = component_labels(links(met.where("s0 is null").select("a", "b").distinct()))
-    crowds = met.where("s0 is not null").select(F.col("a").alias("key"), F.col("b").alias("id"), "s0", "s1")
-    if not crowds.isEmpty():
-        found = links(crowded_pairs(crowds, labels, likeness))
-        labels = component_labels(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(found))
+        one = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
+        two = one.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+        common = F.size(F.array_intersect("wa", "wb"))
+        return two.where(common > likeness * (F.size("wa") + F.size("wb") - common)).select("a", "b")
+
+    labels = component_labels(links(met.where("star").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()))
+    labelled = met.join(labels, F.col("id") == F.col("node"), "left").select("key", F.coalesce("label", "id").alias("label"), "id", "s0", "s1", "n", "center")
+    parted = labelled.repartitionByRange("key", "label", "id").sortWithinPartitions("key", "label", "id")
+    second = interim_table(parted.mapInArrow(lambda batches: blocked(batches, likeness, TaskContext.get().partitionId()), BLOCKED), "blocked")
+    pairs = second.where("a is not null").select("a", "b").unionAll(pairs_across(second.where("a is null").drop("a", "b"), likeness))
+    labels = component_labels(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(links(pairs.distinct())))
     members = signed.select("id", "h0", "h1").join(signed.groupBy("h0", "h1").agg(F.min("id").alias("rep"), F.max("id").alias("last")), ["h0", "h1"])
     grouped = members.join(labels, F.col("rep") == F.col("node"), "left").where("label is not null or rep < last")
     return grouped.select("id", F.coalesce("label", "rep").alias("group")).distinct().select(F.col("id").alias(id_col), "group")
