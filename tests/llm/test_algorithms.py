@@ -145,12 +145,35 @@ def test_cross_split_overlaps(spark):
 
 
 def test_chunks_survive_an_edit():
-    text = "the quick brown fox jumps over the lazy dog near the old mill by the river " * 3
-    a, b = set(chunks_of(text)[0].tolist()), set(chunks_of(text[:60] + "x" + text[60:])[0].tolist())
-    assert len(a & b) >= len(a) - 4
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    letters = rng.integers(1, 9, 60)
+    a, sizes, starts = chunks_of(words, letters)
+    assert sizes.sum() == letters.sum() and starts[0] == 0
+    b = chunks_of(np.insert(words, 20, 5), np.insert(letters, 20, 3))[0]
+    assert len(set(a) & set(b)) >= len(a) - 3
     assert numbers_of("1,204 and 3.5, 7") == ["1204", "3.5", "7"]
 
 
+def test_shuffled_words_overlap(spark):
+    random.seed(4)
+    common, rows, expected = [f"{a}{b}" for a in "abcdefg" for b in "klmno"], [], set()
+    for k in range(200):
+        words = random.sample(common, 8) + [f"rare{chr(97 + k % 26)}{chr(97 + k // 26)}", "the", "of"]
+        other = random.sample(words, len(words))
+        if k % 4 == 1:
+            other[0] = "else"
+        rows += [(f"t{k}", " ".join(words) + (" 17" if k < 100 else ""), "train"), (f"e{k}", " ".join(other) + (" 17" if k < 100 else ""), "test")]
+    sets = {i: (frozenset(t.replace(" 17", "").split()), "17" in t) for i, t, _ in rows}
+    for x in sets:
+        for y in sets:
+            if x[0] == "t" and y[0] == "e" and sets[x][1] == sets[y][1] and len(sets[x][0] & sets[y][0]) > 0.8 * len(sets[x][0] | sets[y][0]):
+                expected.add((x, y))
+    got = {(r.train_id, r.eval_id): r.chunk_overlap for r in cross_split_overlaps(spark.createDataFrame(rows, "id string, text string, split string")).collect()}
+    assert set(got) == expected and len(expected) >= 200
+    assert all(got[f"t{k}", f"e{k}"] == 1 for k in range(200) if k % 4 != 1)
+
+
 def test_consensus_learns_bad_judges(spark):
     rng = np.random.default_rng(4)
     skill = {"good": (0.95, 0.95), "fair": (0.8, 0.8), "soft": (0.97, 0.3), "liar": (0.1, 0.1), "meek": (0.6, 0.9)}

@@ -117,6 +117,28 @@ def test_visual_form():
     assert visual_form(pa.array(forms)).to_pylist() == forms
 
 
+def test_visual_form_of_all_characters():
+    chars = [chr(c) for c in range(0x21, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co", "Cc") and not 0x4E00 <= c < 0x9FFF]
+    texts = [f"x{c}" for c in chars]
+    form = lambda kind: visual_form(pa.array([unicodedata.normalize(kind, t) for t in texts])).to_pylist()
+    forms = visual_form(pa.array(texts)).to_pylist()
+    for kind in ("NFC", "NFD"):
+        assert [(c, a, b) for c, a, b in zip(chars, forms, form(kind)) if a != b] == []
+    assert [c for c, a, b in zip(chars, forms, visual_form(pa.array(forms)).to_pylist()) if a != b] == []
+    for a, b in (("\ud55c\uad6d", unicodedata.normalize("NFD", "\ud55c\uad6d")), ("\U0001d400", "A"), ("\u0251\u0261", "ag"), ("\u03c1\u03b1y", "pay"), ("a\u2010b", "a-b"), ("a\U000e0041b", "ab"), ("\u13a2\u0578", "Tn"), ("\u1112\u1161\u11ab\u200b", "\ud55c")):
+        assert visual_form(pa.array([a])) == visual_form(pa.array([b])), (a, b)
+    england, black = "\U0001f3f4\U000e0067\U000e0062\U000e007f", "\U0001f3f4"
+    assert visual_form(pa.array([england, black])).to_pylist() == [england, black]
+    # Letters of neighbouring texts don't join.
+    assert visual_form(pa.array(["\u1112", "\u1161", "\ud558", "\u11ab"])).to_pylist() == ["\u1112", "\u1161", "\ud558", "\u11ab"]
+
+
+def test_copies_of_one_text_stay_linear(spark):
+    rows = spark.range(100_000).selectExpr("id AS doc_id", "IF(id = 7, 'p\u0430y', 'pay') AS text")
+    got = look_alike_pairs(rows).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("doc_id_a = 7 or doc_id_b = 7")).alias("k")).first()
+    assert (got.n, got.k) == (99_999, 99_999)
+
+
 def test_look_alike_pairs(spark):
     rows = [(1, "abc", 0), (2, "аbc", 0), (3, "abc", 0), (4, None, 0), (5, "", 0), (6, "​", 0), (7, "abC", 0), (2, "аbc", 0), (None, "abc", 0)]
     got = {tuple(r) for r in look_alike_pairs(spark.createDataFrame(rows, "doc_id long, text string, _f int")).collect()}

@@ -31,19 +31,21 @@ def look_alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null texts pair with nothing. Rows with equal texts don't pair with each
     other; a repeated id counts once. Extra columns are ignored. Texts travel as
-    two 16-byte digests, written once; only forms with more than one text are
-    joined, and the pairs of such a form are the result itself.
+    two 16-byte digests, written once. The different texts of a form are paired,
+    whatever number of rows has them; the rows come in last, and every row of
+    that join is a row of the result.
     """
     digest = lambda c: F.unhex(F.md5(c))
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
     keyed = src.select("_id", digest(F.col("_text")).alias("_t"), visual_form_of("_text").alias("_v")).select("_id", "_t", digest(F.col("_v")).alias("_f"))
     keyed = interim_table(keyed, "forms")
     several = keyed.groupBy("_f").agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).where("lo != hi").select("_f")
-    rows = keyed.join(several, "_f", "left_semi")
-    left = rows.select("_f", F.col("_t").alias("ta"), F.col("_id").alias("a"))
-    right = rows.select("_f", F.col("_t").alias("tb"), F.col("_id").alias("b"))
-    pairs = left.join(right, "_f").where("ta != tb and a < b")
-    return pairs.select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b")).distinct()
+    rows = keyed.where("_id is not null").join(several, "_f", "left_semi")
+    texts = rows.select("_f", "_t").distinct()
+    twins = texts.withColumnRenamed("_t", "ta").join(texts.withColumnRenamed("_t", "tb"), "_f").where("ta < tb").drop("_f")
+    left, right = rows.select(F.col("_t").alias("ta"), F.col("_id").alias("a")), rows.select(F.col("_t").alias("tb"), F.col("_id").alias("b"))
+    pairs = twins.join(left, "ta").join(right, "tb").where("a != b")
+    return pairs.select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b")).distinct()
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

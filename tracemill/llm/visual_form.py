@@ -17,16 +17,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Invisible characters.
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u180f\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\u3164\ufeff\uffa0"
 # Blanks that print as an empty gap within a line.
-BLANKS = "\t               　"
-# Letters of Greek and Cyrillic that print like a Latin letter.
+BLANKS = "\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+# Letters of other scripts that print like a Latin letter, after the public list of confusable characters, and hyphens.
 LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
+    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J", "α": "a", "ρ": "p", "ι": "i",
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ӏ": "l",
+    "Ս": "U", "Օ": "O", "Տ": "S", "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "յ": "j",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮖ": "I", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "ɑ": "a", "ɡ": "g", "ı": "i", "‐": "-", "‑": "-",
 }
+#: Ranges that only hold characters which stand for themselves: Han, private use and what isn't assigned.
+PLAIN = ((0x3400, 0xA000), (0xD800, 0xF900), (0x20000, 0x2F800), (0x2FA20, 0xE0000), (0xE1000, 0x110000))
+#: Hangul: first leading, vowel and trailing letter, how many vowels and trailing ones there are (with none), and the first syllable.
+LEAD, VOWEL, TRAIL, VOWELS, TRAILS, SYLLABLE = 0x1100, 0x1161, 0x11A7, 21, 28, 0xAC00
+LEADS = 19
+FLAG, TAGS = 0x1F3F4, (0xE0020, 0xE0080)
 ZWJ = 0x200D
 EMOJI = 0x1F000
 TOP = 0x110000
@@ -35,25 +44,30 @@ BLOCK = 2_000_000
 
 
 def _base(ch: str) -> str:
-    """Canonical decomposition with compatibility only for width, joined letters and half-width forms."""
+    """Canonical decomposition, with compatibility only for width, joined letters, half-width forms and letters styled for formulas."""
     cp = ord(ch)
-    if 0xFF01 <= cp <= 0xFFEF or 0xFB00 <= cp <= 0xFB17 or cp in (0x132, 0x133) or 0x1C4 <= cp <= 0x1CC or 0x1F1 <= cp <= 0x1F3:
+    if 0xFF01 <= cp <= 0xFFEF or 0xFB00 <= cp <= 0xFB17 or cp in (0x132, 0x133) or 0x1C4 <= cp <= 0x1CC or 0x1F1 <= cp <= 0x1F3 or 0x1D400 <= cp <= 0x1D7CB:
         ch = unicodedata.normalize("NFKC", ch)
     return "".join(LOOKALIKES.get(c, c) for c in unicodedata.normalize("NFD", ch))
 
 
 @cache
 def tables() -> tuple[np.ndarray, ...]:
-    """Length, start and flat replacements by code point; combining classes; composition keys and values."""
+    """Length, start and flat replacements by code point; combining classes; composition keys and values.
+
+    All of Unicode is covered; PLAIN ranges are passed over, as nothing in them
+    is replaced.
+    """
     length = np.ones(TOP, np.int8)
     start = np.full(TOP, -1, np.int32)
     klass = np.zeros(TOP, np.uint8)
     flat: list[int] = []
     pairs: dict[int, int] = {}
-    for cp in [0x9, *range(0xA0, 0x3400), *range(0xF900, 0x10000), *range(0x1D100, 0x1D200)]:
+    edges = [0x9, *(e for span in PLAIN for e in span)]
+    for cp in [0x9, *(c for lo, hi in zip([0xA0, *edges[2::2]], edges[1::2]) for c in range(lo, hi))]:
         ch = chr(cp)
         klass[cp] = unicodedata.combining(ch)
-        if ch in INVISIBLE or 0xFE00 <= cp <= 0xFE0F:
+        if ch in INVISIBLE or 0xFE00 <= cp <= 0xFE0F or 0xE0000 <= cp <= 0xE0FFF:
             length[cp] = 0
             start[cp] = 0
             continue
@@ -63,8 +77,11 @@ def tables() -> tuple[np.ndarray, ...]:
             flat += map(ord, new)
         parts = unicodedata.decomposition(ch).split()
         if len(parts) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", ch) == ch:
-            first = ord(_base(chr(int(parts[0], 16)))[0]) if len(_base(chr(int(parts[0], 16)))) == 1 else int(parts[0], 16)
-            pairs.setdefault(first << 21 | int(parts[1], 16), cp)
+            base, mark = _base(chr(int(parts[0], 16))), int(parts[1], 16)
+            if unicodedata.combining(chr(mark)):
+                # The first part as it stands once its own marks are composed: a composite keeps its code point, a look-alike becomes Latin.
+                first = ord(base) if len(base) == 1 else pairs.get(ord(base[0]) << 21 | ord(base[1]), int(parts[0], 16)) if len(base) == 2 else int(parts[0], 16)
+                pairs.setdefault(first << 21 | mark, cp)
     # Composites whose first part was itself replaced keep the Latin composite, which comes first in code order.
     keys = np.array(sorted(pairs), np.int64)
     return length, start, np.array(flat, np.int32), klass, keys, np.array([pairs[k] for k in keys], np.int32)
@@ -110,17 +127,42 @@ def _drop(cps: np.ndarray, offs: np.ndarray, gone: np.ndarray) -> tuple[np.ndarr
     return np.delete(cps, gone), offs - np.searchsorted(gone, offs)
 
 
+def _syllables(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """With Hangul letters joined to syllables: leading with vowel, then that with trailing."""
+    for lead, unit, first, n in ((LEAD, 1, VOWEL, VOWELS), (SYLLABLE, TRAILS, TRAIL + 1, TRAILS - 1)):
+        at = np.flatnonzero((cps >= first) & (cps < first + n))
+        at = at[at > 0]
+        before = cps[at - 1].astype(np.int64) - lead
+        fits = (before >= 0) & (before < LEADS) if unit == 1 else (before >= 0) & (before < LEADS * VOWELS * TRAILS) & (before % TRAILS == 0)
+        at = at[fits & ~np.isin(at, offs)]
+        if len(at):
+            cps = cps.copy()
+            if unit == 1:
+                cps[at - 1] = SYLLABLE + ((cps[at - 1] - LEAD) * VOWELS + cps[at] - VOWEL) * TRAILS
+            else:
+                cps[at - 1] += cps[at] - TRAIL
+            cps, offs = _drop(cps, offs, at)
+    return cps, offs
+
+
 def unify(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The visual form of the code points of several texts, with the new offsets."""
     length, start, flat, klass, keys, values = tables()
     odd = np.flatnonzero((cps > 0x7E) | (cps == 0x9))
     if not len(odd):
         return cps, offs
+    jamo = bool(((cps[odd] >= LEAD) & (cps[odd] < 0x1200)).any())
     odd = odd[start[cps[odd]] >= 0]
     joiner = odd[cps[odd] == ZWJ]
     if len(joiner):  # between two pictures the joiner is seen
         inner = joiner[(joiner > 0) & (joiner < len(cps) - 1)]
         odd = np.setdiff1d(odd, inner[(cps[inner - 1] >= EMOJI) & (cps[inner + 1] >= EMOJI)], assume_unique=True)
+    tag = odd[(cps[odd] >= TAGS[0]) & (cps[odd] < TAGS[1])]
+    if len(tag):  # behind a black flag tags make another flag
+        first = np.flatnonzero(np.append(True, np.diff(tag) > 1))
+        lead = tag[first]
+        flag = (lead > 0) & (cps[np.maximum(lead - 1, 0)] == FLAG) & ~np.isin(lead, offs)
+        odd = np.setdiff1d(odd, tag[np.repeat(flag, np.diff(np.append(first, len(tag))))], assume_unique=True)
     if len(odd):
         size = np.ones(len(cps), np.int8)
         new = length[cps[odd]]
@@ -133,6 +175,9 @@ def unify(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             more = new > k
             out[at[more] + k] = flat[take[more] + k]
         cps, offs = out, offs + grown[np.searchsorted(odd, offs)]
+        jamo |= bool(((out >= LEAD) & (out < 0x1200)).any())
+    if jamo:
+        cps, offs = _syllables(cps, offs)
     first = np.zeros(len(cps) + 1, bool)
     first[offs] = True
     marks = np.flatnonzero(klass[cps])
