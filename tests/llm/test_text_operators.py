@@ -54,6 +54,8 @@ PROMPT = "There are 12 figs in the shed of Ann and the cook takes 5 of them. How
     [
         (None, "empty"), ("", "empty"), (" ​ ", "empty"), ("<|endoftext|>", "empty"), ("N/A", "empty"), ("\\boxed{}", "empty"), ("[no response]", "empty"),
         ("I'm sorry, but I can't help with this request.", "refusal"), ("I’m sorry; I have no permission to do this.", "refusal"),
+        ("I'd prefer to not do this one.", "refusal"), ("Unfortunately I must pass on this question.", "refusal"), ("This request falls outside what I do.", "refusal"), ("Sorry, no.", "refusal"),
+        ("Tut mir leid, dabei kann ich nicht helfen.", "refusal"), ("很抱歉，我无法回答这个问题。", "refusal"), ("We can't take 5 figs twice, so we subtract once: 12 - 5 = 7.\n#### 7", None),
         ("I can't simply add them. So 12 - 5 = 7.\n#### 7", None), ("I'm sorry for the mix-up; here it is. The answer is 7.", None),
         ("Question: " + PROMPT, "copy"), (PROMPT.upper() + " " + PROMPT, "copy"), (PROMPT + "\nWe take five away from twelve, and seven of the round figs stay in there.\n#### 7", None),
         ("We take 5 of the 12 figs away and the", "truncated"), ("We have <<12-5=7", "truncated"), ("We take them. This makes 12 - 5 = 7", "truncated"), ("Then we see tha...", "truncated"),
@@ -62,12 +64,15 @@ PROMPT = "There are 12 figs in the shed of Ann and the cook takes 5 of them. How
     ],
 )
 def test_defects(answer, expected):
-    assert p2.defect(PROMPT, answer) == expected
+    assert p2.defect(p2.Prompt(PROMPT), answer) == expected
 
 
 def test_broken_sides(spark):
     rows = [("a", PROMPT, "", "7", 1), ("a", PROMPT, "", "7", 1), ("b", None, "The answer is 7.", None, 2), (None, PROMPT, "", "", 3), ("c", PROMPT, "word " * 200_000 + "end.", "7", 4)]
     df = spark.createDataFrame(rows, "pair_id string, prompt string, chosen string, rejected string, side int")
+    disguised = PROMPT.replace("a", "\u0430")
+    twice = spark.createDataFrame([("d", disguised, PROMPT, disguised)], "pair_id string, prompt string, chosen string, rejected string")
+    assert {tuple(r) for r in p2.broken_sides(twice).collect()} == {("d", "chosen", "copy"), ("d", "rejected", "copy")}
     assert {tuple(r) for r in p2.broken_sides(df).collect()} == {("a", "chosen", "empty"), ("b", "rejected", "empty")}
     assert p2.broken_sides(df.limit(0)).count() == 0
 

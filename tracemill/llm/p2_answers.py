@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import lru_cache
+from functools import cached_property
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tracemill.llm.visual_form import visual_form
+from tracemill.llm.visual_form import blocks, visual_form
 from tracemill.runtime import table
 
 #: Words of a copied run, and the part of a response that copied runs make up if it only gives the question back.
@@ -19,15 +20,23 @@ RUN, COPIED = 4, 0.8
 #: Votes that name a language, and how many times those of the next.
 VOTES, LEAD = 3, 1.5
 
+#: Characters of prompts kept at hand.
+KEPT = 4_000_000
+
 # Responses that stand for nothing.
 PLACEHOLDERS = frozenset("null none nil nan na n/a tbd todo undefined empty placeholder answer response assistant user system blank no_answer no_response no_content".split())
-# How a response declines, as words.
+# How a response declines, as words; a slash parts words that may stand in one place.
 REFUSALS = (
-    "i cannot provide", "i can't provide", "i cannot help", "i can't help", "i cannot assist", "i can't assist", "i cannot answer", "i can't answer", "i cannot solve", "i can't solve", "i cannot do", "i can't do", "i cannot comply", "i can't comply",
-    "i am unable to", "i'm unable to", "i am not able to", "i'm not able to", "i won't be able to", "i will not be able to", "i must decline", "i have to decline", "i need to decline", "i decline to", "i refuse to", "i must refuse", "i do not feel comfortable", "i don't feel comfortable",
-    "i am not comfortable", "i'm not comfortable", "i'd rather not", "i would rather not", "what i am allowed to", "what i'm allowed to", "i am not allowed to", "i'm not allowed to", "i have no permission", "not possible for me to", "guidelines keep me from", "guidelines prevent me", "guidelines do not allow",
-    "as a language model", "as an ai", "against my guidelines", "something i can't", "something i cannot", "i will not answer", "i won't answer",
+    "i/we can't/cannot/couldn't provide/help/assist/answer/solve/comply/complete/fulfill/fulfil/continue/discuss", "i can't/cannot do/share/give/offer",
+    "i/we can not provide/help/assist/answer/solve/comply/complete/fulfill/fulfil/continue/discuss", "i/we won't/don't answer/solve/do/help/provide/comply/assist", "i/we will not answer/solve/do/help/provide/comply/assist", "i/we won't be able to", "i/we will not be able to", "i/we am/are unable to", "i'm/we're unable to", "i/we am/are not able to", "i'm/we're not able to", "i'm/we're not going to", "i/we am/are not going to",
+    "i/we must/have/need/will/would to/like decline/refuse/pass", "i/we must/will/would decline/refuse/pass", "i/we have/need/want/prefer/like to decline/refuse/pass", "i'll have to decline/refuse/pass", "i'd have to decline/refuse/pass", "i'd like to decline/pass", "i'll decline/refuse/pass", "i decline/refuse to", "i/we do/don't not feel comfortable", "i/we don't feel comfortable", "i/we am/are not comfortable", "i'm/we're not comfortable",
+    "i'd/i'll/we'd rather not", "i/we would rather not", "i'd prefer not", "i'd prefer to not", "i/we would prefer not", "i/we would prefer to not", "i/we prefer not", "pass on this/that/your/answering", "what i am/i'm allowed to", "what i'm/i/we allowed/can/do/may", "i am not allowed to", "i'm not allowed to", "i have no permission", "not possible for me to", "guidelines keep/prevent/stop/forbid me", "guidelines keep me from", "guidelines do not allow", "guidelines don't allow",
+    "as a language model", "as an ai", "against my/our guidelines/policy/policies/rules", "something i can't/cannot/won't", "not something i/we", "outside/beyond of/what/my/our i/we/what/scope/abilities", "outside/beyond my/our scope/abilities/capabilities", "outside/beyond the scope", "outside/beyond what i/we", "sorry no", "no comment",
+    "ich kann/darf/werde das/dies/dir/ihnen/diese/dabei/hier/darauf/leider nicht", "kann/darf/werde ich nicht/leider", "kann/darf/werde ich das/dir/ihnen/dabei/hier/leider nicht", "das kann ich nicht", "tut mir leid", "je ne peux/puis/veux pas", "je refuse de", "je suis désolé", "je suis désolée", "no puedo ayudar/ayudarte/ayudarle/responder/resolver/hacer/contestar", "lo siento", "non posso aiutare/aiutarti/aiutarla/rispondere/risolvere/fare", "mi dispiace",
+    "nie mogę pomóc/odpowiedzieć/tego/rozwiązać/na", "przykro mi", "я не могу", "не могу помочь/ответить/решить", "к сожалению я",
 )
+# Refusals in a script without blanks.
+SPACELESS = re.compile("(?:我|很抱歉|抱歉|对不起)[^。！？\n]{0,12}(?:不能|无法|不会|拒绝)")
 # Frequent words of each language.
 STOPWORDS = {
     "en": "the of and to is are was were that this with for from not have has had how many then which there what they them by at be you i we it after before all each so",
@@ -40,10 +49,12 @@ STOPWORDS = {
 MARK = re.compile(r"(?:…|\.\.\.|\[\.\.\.\]|\[(?:truncated|cut|cut off)\]|�|<\|?|<\|[a-z_]+\|?|\\u?[0-9a-fA-F]{0,3}|\\u[0-9a-fA-F]{4})\s*$")
 MARKUP = re.compile(r"<\|[^|<>]*\|>|</?[a-zA-Z][^<>]*>|\\[a-zA-Z]+|\[/?INST\]|(?m:^\s*(?:assistant|user|system|answer|response|ai)\s*:)", re.IGNORECASE)
 TOKEN = re.compile(r"[぀-ヿ一-鿿]|[^\W_]+")
+HAN = re.compile("[一-鿿]")
 WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 SENTENCE_END = re.compile(r"[.!?。！？][\"”’)\]]*$")
 NUMBERS = re.compile(r"\d+(?:[.,]\d+)*")
 VALUE = r"\\?\$?-?\d[\d.,/]*%?"
+SOLVED = re.compile(r"####\s*\S*\d|\\boxed|=\s*-?\$?\d")
 WHOLE_END = re.compile(
     rf"(?:####\s*{VALUE}|\\boxed\{{[^{{}}]*\}}\$?|\$?{VALUE}\s*\\text\{{[^{{}}]*\}}\$?|```|(?i:\banswer:\s[^\n]{{1,80}}####)|(?i:\b(?:answer|total|result|count|value|sum)\b)\W*(?:(?i:is)\W+|=\s*|:\s*)?{VALUE}\$?|(?:^|\n)\W*{VALUE}\W*(?:\s\w+)?)$"
 )
@@ -101,15 +112,16 @@ class PhraseAutomaton:
     def __init__(self, phrases: Iterable[str]) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.hit = [False]
-        for phrase in phrases:
+        for words in (ws for phrase in phrases for ws in product(*(p.split("/") for p in phrase.split()))):
             state = 0
-            for w in phrase.split():
+            for w in words:
                 if w not in self.next[state]:
                     self.next[state][w] = len(self.next)
                     self.next.append({})
                     self.hit.append(False)
                 state = self.next[state][w]
             self.hit[state] = True
+        self.begins = frozenset(self.next[0])
         self.fail = [0] * len(self.next)
         queue = list(self.next[0].values())
         for s in queue:
@@ -122,6 +134,8 @@ class PhraseAutomaton:
                 queue.append(t)
 
     def found(self, words: list[str]) -> bool:
+        if self.begins.isdisjoint(words):
+            return False
         state = 0
         for w in words:
             while state and w not in self.next[state]:
@@ -136,20 +150,28 @@ REFUSAL = PhraseAutomaton(REFUSALS)
 LANGUAGES = {k: frozenset(v.split()) for k, v in STOPWORDS.items()}
 
 
-def language(text: str) -> str | None:
-    """The language most words vote for; Cyrillic and Han letters vote by themselves."""
-    words = [w.lower() for w in WORDS.findall(text)]
-    votes = {k: sum(w in v for w in words) for k, v in LANGUAGES.items()}
-    votes["ru"] = sum("Ѐ" <= w[0] <= "ӿ" for w in words)
-    votes["zh"] = sum("一" <= c <= "鿿" for c in text) // 2
+def language(text: str, words: list[str] | None = None) -> str | None:
+    """The language most words vote for; Cyrillic and Han letters vote by themselves. words are those of the text, if known."""
+    if words is None:
+        words = words_of(text)
+    votes = {k: sum(map(v.__contains__, words)) for k, v in LANGUAGES.items()}
+    if not text.isascii():
+        votes["ru"] = sum("Ѐ" <= w[0] <= "ӿ" for w in words)
+        votes["zh"] = len(HAN.findall(text)) // 2
     (best, most), (_, second) = sorted(votes.items(), key=lambda x: -x[1])[:2]
     return best if most >= VOTES and most >= LEAD * second else None
 
 
-def is_empty(text: str) -> bool:
+def words_of(text: str) -> list[str]:
+    """Lower-cased words, with one kind of apostrophe inside."""
+    return WORDS.findall(text.lower().replace("’", "'"))
+
+
+def is_empty(text: str, words: list[str] | None = None) -> bool:
     """Nothing visible, or only placeholders and markup."""
-    rest = MARKUP.sub(" ", text)
-    words = WORDS.findall(rest.lower())
+    bare, marks = MARKUP.subn(" ", text)
+    if marks or words is None:
+        words = words_of(bare)
     return not words or words == ["n", "a"] or (len(words) <= 2 and "_".join(words) in PLACEHOLDERS) or (len(words) == 1 and words[0] in PLACEHOLDERS)
 
 
@@ -191,30 +213,69 @@ def is_truncated(text: str) -> bool:
     return not WHOLE_END.search(body)
 
 
-@lru_cache(maxsize=4096)
-def _prompt(prompt: str) -> tuple[SuffixAutomaton, str | None, frozenset[str]]:
-    parts = re.split(r"\n\s*\n", prompt)
-    main = max(parts, key=len)
-    return SuffixAutomaton(TOKEN.findall(prompt.lower())), language(main), frozenset(NUMBERS.findall(prompt))
+class Prompt:
+    """What answers are held against; each part is made when it is first asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+
+    @cached_property
+    def tokens(self) -> list[str]:
+        return TOKEN.findall(self.text.lower())
+
+    @cached_property
+    def known(self) -> frozenset[str]:
+        return frozenset(self.tokens)
+
+    @cached_property
+    def automaton(self) -> SuffixAutomaton:
+        return SuffixAutomaton(self.tokens)
+
+    @cached_property
+    def numbers(self) -> frozenset[str]:
+        return frozenset(NUMBERS.findall(self.text))
+
+    @cached_property
+    def language(self) -> str | None:
+        return language(max(re.split(r"\n\s*\n", self.text), key=len))
+
+    def copied(self, answer: list[str]) -> bool:
+        """Whether copied runs make up nearly all of an answer; the automaton is only asked if enough of its words are the prompt's."""
+        if len(answer) < RUN or sum(map(self.known.__contains__, answer)) < COPIED * len(answer):
+            return False
+        return self.automaton.covered(answer, RUN) >= COPIED * len(answer)
+
+
+class Prompts(dict[str, Prompt]):
+    """The prompts met last, up to KEPT characters of them."""
+
+    size = 0
+
+    def __missing__(self, text: str) -> Prompt:
+        if self.size > KEPT:
+            self.clear()
+            self.size = 0
+        self.size += len(text)
+        self[text] = made = Prompt(text)
+        return made
 
 
-def defect(prompt: str | None, answer: str | None) -> str | None:
+def defect(prompt: Prompt, answer: str | None) -> str | None:
     """The defect of a response, or None: the first of empty, refusal, copy, truncated and language that applies.
 
     A null response is empty. Without a prompt a response can't be a copy or in another language.
     """
-    if answer is None or is_empty(answer):
+    words = words_of(answer or "")
+    if answer is None or is_empty(answer, words):
         return "empty"
-    automaton, asked, numbers = _prompt(prompt or "")
-    words = [w.lower().replace("’", "'") for w in WORDS.findall(answer)]
-    if REFUSAL.found(words) and not re.search(r"####\s*\S*\d|\\boxed|=\s*-?\$?\d", answer) and numbers.issuperset(NUMBERS.findall(answer)):
-        return "refusal"
-    tokens = TOKEN.findall(answer.lower())
-    if len(tokens) >= RUN and automaton.covered(tokens, RUN) >= COPIED * len(tokens):
+    if REFUSAL.found(words) or SPACELESS.search(answer):
+        if not SOLVED.search(answer) and prompt.numbers.issuperset(NUMBERS.findall(answer)):
+            return "refusal"
+    if prompt.copied(words if answer.isascii() and "'" not in answer else TOKEN.findall(answer.lower())):
         return "copy"
     if is_truncated(answer):
         return "truncated"
-    if asked and (given := language(answer)) and given != asked:
+    if prompt.language and (given := language(answer, words)) and given != prompt.language:
         return "language"
     return None
 
@@ -224,7 +285,12 @@ def defect_of(prompt: Column | str, answer: Column | str) -> Column:
 
     @arrow_udf("string")
     def judge(prompts: pa.Array, answers: pa.Array) -> pa.Array:
-        return pa.array([defect(p, a) for p, a in zip(prompts.to_pylist(), visual_form(answers).to_pylist())], pa.string())
+        known = Prompts()
+        out: list[str | None] = []
+        for at, part in blocks(answers):
+            asked = visual_form(prompts.slice(at, len(part))).to_pylist()
+            out += [defect(known[p or ""], a) for p, a in zip(asked, visual_form(part).to_pylist())]
+        return pa.array(out, pa.string())
 
     return judge(prompt, answer)
 
