@@ -30,9 +30,13 @@ def test_cut_fields(spark):
         (107, "  \n ", "...", None, None, None),
         (None, "We add the two", None, None, None, None),
         (108, whole + " pad" * 60_000 + " end.", "8", None, None, None),
+        (109, "We add the two bags. So the final count is 8 kumquats", None, None, None, None),
+        (110, "We add the two bags. So the final count is 8 fi", None, None, None, None),
+        (111, "We add the two bags. So we count" + " one fig and" * 60 + " reach 8 figs.", "So we count" + " one fig and" * 50, None, None, None),
+        (112, "We add the two bags. The pile grows by 3 \\u00", None, None, None, None),
     ]
     got = {tuple(r) for r in cut_fields(spark.createDataFrame(rows, PATHS)).collect()}
-    assert got == {(100, "reasoning"), (101, "reasoning"), (102, "reasoning"), (103, "final_answer")}
+    assert got == {(100, "reasoning"), (101, "reasoning"), (102, "reasoning"), (103, "final_answer"), (110, "reasoning"), (111, "final_answer"), (112, "reasoning")}
     assert cut_fields(spark.createDataFrame([], PATHS)).count() == 0
 
 

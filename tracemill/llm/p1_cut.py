@@ -18,33 +18,38 @@ FORM_ENDS = 0.1
 STOP = "¶"
 
 # What may stand in place of the rest of a cut text.
-MARK = r"(?:…|\.\.\.|\[\.\.\.\]|\[(?:truncated|cut|cut off)\]|\x{FFFD}|<\|?|<\|[a-z_]+\|?|\\\\u?[0-9a-fA-F]{0,3}|\\\\u[0-9a-fA-F]{4})"
+MARK = r"(?:…|\.\.\.|\[\.\.\.\]|\[(?:truncated|cut|cut off)\]|\x{FFFD}|<\|?|<\|[a-z_]{1,40}\|?|\\u?[0-9a-fA-F]{0,3}|\\u[0-9a-fA-F]{4})"
 #: Words of a text: lower case, numbers as 0, what stands in \text{} as a, the end of a statement as STOP. @text@ must have single blanks.
 WORDS = rf"""split(regexp_replace(regexp_replace(regexp_replace(lower(@text@), r'\d[\d.,]*\d|\d', '0'), r'\\text\{{[^}}]*\}}', r'\\text{{a}}'), r'[.!?。！？]["”’)\]]*(?:\s+|$)|\s*\n\s*', ' {STOP} '), ' ')"""
 
-TIDY = r"regexp_replace(right(body, 160), r'[^\S\n]+', ' ')"
+#: White space at the end of a text says nothing.
+BARE = r"rtrim(' \t\n\u000B\u000C\r', @text@)"
+#: The end of a text that holds its last statement whole, and the two before: the last 400 letters if a statement ends early in them, else all of it.
+TAIL = r"IF(length(@text@) <= 400 OR left(right(@text@, 400), 200) rlike r'[.!?。！？]\s|\n', right(@text@, 400), @text@)"
+#: The part of an end that holds its last words whole.
+LAST = r"regexp_replace(IF(right(body, 160) rlike r'\s\S+\s+\S+\s+\S+\s+\S+$', right(body, 160), body), r'[^\S\n]+', ' ')"
 
+#: How often three words stand before another one, and before a stop: a stop counts 2^32.
 COUNTS = rf"""
-    WITH bodies AS (SELECT left(text, length(text) - length(regexp_extract(right(text, 80), r'\s*{MARK}?\s*$', 0))) AS body FROM @texts@),
-    hashed AS (SELECT transform({WORDS.replace("@text@", "body")}, w -> hash(w)) AS h FROM bodies),
-    grams AS (SELECT inline(arrays_zip(h, slice(h, 2, size(h)), slice(h, 3, size(h)), slice(h, 4, size(h)))) AS (w1, w2, w3, w4) FROM (SELECT concat(array(hash('')), h) AS h FROM hashed))
-    SELECT shiftleft(CAST(w3 AS BIGINT), 32) | (CAST(w2 AS BIGINT) & 4294967295L) AS k2, w1,
-           sum(CASE WHEN w4 = hash('{STOP}') THEN 4294967296L ELSE 1L END) AS seen
-    FROM grams WHERE w4 IS NOT NULL AND w3 <> hash('{STOP}') GROUP BY 1, 2
+    WITH bodies AS (SELECT left(bare, length(bare) - length(regexp_extract(right(bare, 80), r'{MARK}$', 0))) AS body FROM (SELECT {BARE.replace("@text@", "text")} AS bare FROM @texts@)),
+    hashed AS (SELECT transform({WORDS.replace("@text@", "body")}, w -> xxhash64(w)) AS h FROM bodies),
+    grams AS (SELECT inline(arrays_zip(h, slice(h, 2, size(h)), slice(h, 3, size(h)), slice(h, 4, size(h)))) AS (w1, w2, w3, w4) FROM (SELECT concat(array(xxhash64('')), h) AS h FROM hashed))
+    SELECT w1, w2, w3, sum(CASE WHEN w4 = xxhash64('{STOP}') THEN 4294967296L ELSE 1L END) AS seen
+    FROM grams WHERE w4 IS NOT NULL AND w3 <> xxhash64('{STOP}') GROUP BY w1, w2, w3
 """
 
-#: A text's end is all that decides; what needs the whole text (open fences and dollars) is counted over it.
+#: A text's end is all that decides; what needs the whole text (open fences and dollars, other forms of its last word) is counted over it.
 FIELDS = rf"""
-    SELECT id, xxhash64(t) AS text_hash, f.* FROM @texts@ LATERAL VIEW inline(array(
-        struct('reasoning' AS field, right(t, 400) AS tail, (length(t) - length(replace(t, '```', ''))) % 2 = 1 AS fence, (length(t) - length(replace(t, '$', ''))) % 2 = 1 AS dollar, '' AS other),
-        struct('final_answer' AS field, right(a, 400) AS tail, false AS fence, false AS dollar, right(coalesce(t, ''), 400) AS other))) f AS field, tail, fence, dollar, other
+    SELECT id, text_hash, f.* FROM (SELECT id, xxhash64(t) AS text_hash, {BARE.replace("@text@", "t")} AS t, {BARE.replace("@text@", "a")} AS a FROM @texts@) LATERAL VIEW inline(array(
+        struct('reasoning' AS field, {TAIL.replace("@text@", "t")} AS tail, (length(t) - length(replace(t, '```', ''))) % 2 = 1 AS fence, (length(t) - length(replace(t, '$', ''))) % 2 = 1 AS dollar, '' AS other),
+        struct('final_answer' AS field, a AS tail, false AS fence, false AS dollar, coalesce({TAIL.replace("@text@", "t")}, '') AS other))) f AS field, tail, fence, dollar, other
 """
 
 ENDS = rf"""
-    WITH trimmed AS (SELECT id, text_hash, field, fence, dollar, other, length(regexp_extract(tail, r'\s*{MARK}\s*$', 0)) AS mark, tail FROM @fields@ WHERE tail rlike r'\S'),
-    bodies AS (SELECT id, text_hash, field, fence, dollar, other, mark > 0 AS marked, regexp_replace(left(tail, length(tail) - mark), r'\s+$', '') AS body FROM trimmed),
+    WITH trimmed AS (SELECT id, text_hash, field, fence, dollar, other, length(regexp_extract(tail, r'{MARK}$', 0)) AS mark, tail FROM @fields@ WHERE tail rlike r'\S'),
+    bodies AS (SELECT id, text_hash, field, fence, dollar, other, mark > 0 AS marked, {BARE.replace("@text@", "left(tail, length(tail) - mark)")} AS body FROM trimmed),
     seen AS (SELECT id, text_hash, field, fence, dollar, other, marked, body, v.* FROM bodies
-             LATERAL VIEW inline(array(struct(substring_index(body, char(10), -1) AS line, {WORDS.replace("@text@", TIDY)} AS w))) v AS line, w WHERE body != ''),
+             LATERAL VIEW inline(array(struct(substring_index(body, char(10), -1) AS line, {WORDS.replace("@text@", LAST)} AS w))) v AS line, w WHERE body != ''),
     judged AS (
         SELECT id, text_hash, field, body, v.* FROM seen LATERAL VIEW inline(array(struct(
                marked OR fence
@@ -56,10 +61,10 @@ ENDS = rf"""
                OR (dollar AND NOT body rlike r'[.!?]$') AS plain_cut,
                line rlike r'(?i)answer: [^\n]{{1,80}}####$' OR body rlike r'[.!?。！？]["”’)\]]*$' AS stopped,
                field = 'final_answer' AND body rlike r'^\W*(?:\\boxed\W*)?-?[\d.,/]*\d(?:\W*|\s+(?:\\text\W*)?\p{{L}}+\W*)$' AND NOT body rlike r'\{{[^}}]*$' AS value,
-               hash(w[size(w) - 1]) AS w3, hash(CASE WHEN size(w) > 1 THEN w[size(w) - 2] ELSE '' END) AS w2, hash(CASE WHEN size(w) > 2 THEN w[size(w) - 3] ELSE '' END) AS w1,
+               regexp_extract(lower(body), r'\p{{L}}+$', 0) AS part, xxhash64(w[size(w) - 1]) AS w3, xxhash64(CASE WHEN size(w) > 1 THEN w[size(w) - 2] ELSE '' END) AS w2, xxhash64(CASE WHEN size(w) > 2 THEN w[size(w) - 3] ELSE '' END) AS w1,
                CASE WHEN field = 'final_answer' AND instr(other, body) > 0 THEN regexp_extract(substring_index(other, body, -1), r'^[^.\n]*', 0) END AS rest
-        ))) v AS plain_cut, stopped, value, w3, w2, w1, rest)
-    SELECT id, text_hash, field, plain_cut, stopped, value, rest, body rlike r'\p{{L}}$' AS by_letter, w1, w3, shiftleft(CAST(w3 AS BIGINT), 32) | (CAST(w2 AS BIGINT) & 4294967295L) AS k2 FROM judged
+        ))) v AS plain_cut, stopped, value, part, w3, w2, w1, rest)
+    SELECT id, text_hash, field, plain_cut, stopped, value, rest, part, body rlike r'\p{{L}}$' AS by_letter, w1, w2, w3 FROM judged
 """
 
 #: A value is cut only inside its word; a statement that the reasoning goes on with is cut; the rest is left to the trigrams.
@@ -71,23 +76,35 @@ SETTLED = r"""
          WHEN stopped THEN false END
 """
 
+#: The beginnings of the words of all texts that some open value ends with.
+BEGINNINGS = r"""
+    WITH parts AS (SELECT DISTINCT part FROM @open@ WHERE part != ''),
+    words AS (SELECT DISTINCT word FROM (SELECT explode(array_distinct(split(lower(text), r'[^\p{L}]+'))) AS word FROM @texts@))
+    SELECT DISTINCT part FROM (SELECT explode(transform(sequence(1, length(word) - 1), k -> left(word, k))) AS part FROM words WHERE length(word) > 1) LEFT SEMI JOIN parts USING (part)
+"""
+
 DECIDE = f"""
     WITH total AS (SELECT count(DISTINCT text_hash) AS n FROM @texts@ WHERE field = 'reasoning'),
-    forms AS (SELECT k2, w1, ends FROM (SELECT k2, w1, count(DISTINCT text_hash) AS ends FROM @open@ WHERE field = 'reasoning' GROUP BY k2, w1) e JOIN total WHERE ends >= greatest({LEAST_FORM}, {FORM} * total.n)),
-    tri AS (SELECT k2, w1, shiftright(seen, 32) AS stops, seen & 4294967295L AS inner_n FROM @counts@),
-    bi AS (SELECT k2, sum(stops) AS stops, sum(inner_n) AS inner_n FROM tri GROUP BY k2),
-    uni AS (SELECT w3, sum(stops) AS stops, sum(inner_n) AS inner_n FROM (SELECT CAST(shiftright(k2, 32) AS INT) AS w3, stops, inner_n FROM bi) GROUP BY w3)
+    forms AS (SELECT w1, w2, w3, ends FROM (SELECT w1, w2, w3, count(DISTINCT text_hash) AS ends FROM @open@ WHERE field = 'reasoning' GROUP BY w1, w2, w3) e JOIN total WHERE ends >= greatest({LEAST_FORM}, {FORM} * total.n)),
+    tri AS (SELECT w1, w2, w3, shiftright(seen, 32) AS stops, (seen & 4294967295L) + shiftright(seen, 32) AS n FROM @counts@),
+    bi AS (SELECT w2, w3, sum(stops) AS stops, sum(n) AS n FROM tri GROUP BY w2, w3),
+    uni AS (SELECT w3, sum(stops) AS stops, sum(n) AS n FROM bi GROUP BY w3),
+    context AS (SELECT w1, w2, sum(stops) AS stops, sum(n) AS n FROM tri GROUP BY w1, w2)
     SELECT o.id, o.field,
-           CASE WHEN f.ends + coalesce(t.stops, 0) >= {FORM_ENDS} * (f.ends + coalesce(t.stops + t.inner_n, 0)) THEN false
-                WHEN coalesce(t.stops + t.inner_n, 0) >= least_seen THEN t.stops < usual * (t.stops + t.inner_n)
-                WHEN coalesce(b.stops + b.inner_n, 0) >= least_seen THEN b.stops < usual * (b.stops + b.inner_n)
-                WHEN coalesce(u.stops + u.inner_n, 0) >= least_seen THEN u.stops < usual * (u.stops + u.inner_n)
+           CASE WHEN f.ends + coalesce(t.stops, 0) >= {FORM_ENDS} * (f.ends + coalesce(t.n, 0)) THEN false
+                WHEN t.n >= least_seen THEN t.stops < usual * t.n
+                WHEN b.n >= least_seen THEN b.stops < usual * b.n
+                WHEN u.n >= least_seen THEN u.stops < usual * u.n
+                WHEN l.part IS NOT NULL THEN true
+                WHEN c.n >= least_seen THEN c.stops < usual * c.n
                 ELSE true END AS cut
     FROM (SELECT *, IF(field = 'reasoning', {SEEN_TEXT}, {SEEN_ANSWER}) AS least_seen, IF(field = 'reasoning', {USUAL_TEXT}, {USUAL_ANSWER}) AS usual FROM @open@) o
-    LEFT JOIN tri t ON o.k2 = t.k2 AND o.w1 = t.w1
-    LEFT JOIN bi b ON o.k2 = b.k2
+    LEFT JOIN tri t ON o.w3 = t.w3 AND o.w2 = t.w2 AND o.w1 = t.w1
+    LEFT JOIN bi b ON o.w3 = b.w3 AND o.w2 = b.w2
     LEFT JOIN uni u ON o.w3 = u.w3
-    LEFT JOIN forms f ON o.k2 = f.k2 AND o.w1 = f.w1
+    LEFT JOIN context c ON o.w1 = c.w1 AND o.w2 = c.w2
+    LEFT JOIN @longer@ l ON o.part = l.part
+    LEFT JOIN forms f ON o.w3 = f.w3 AND o.w2 = f.w2 AND o.w1 = f.w1
 """
 
 
@@ -105,7 +122,9 @@ def cut_fields(paths: DataFrame, id_col: str = "path_id", text_col: str = "reaso
     Word trigrams of all texts are counted where a word follows and where a
     statement ends. A value without a stop is cut if its last trigram, or where
     that is rare its last two words or its last word, is hardly ever followed by
-    a stop, or was never seen whole. Ends without a stop that many
+    a stop. A last word that is rare everywhere is cut if longer words of any
+    text begin so, or if what follows the two words before it is hardly
+    ever the end of a statement. Ends without a stop that many
     different texts have (an answer line, a closing fence) count as stops, unless
     more words follow them nearly always. Before that, values with a
     mark of the cut or an open delimiter are cut, and values with a stop are
@@ -118,11 +137,11 @@ def cut_fields(paths: DataFrame, id_col: str = "path_id", text_col: str = "reaso
     spark = paths.sparkSession
     src = paths.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(answer_col).cast("string").alias("a"))
     fields = _sql(spark, FIELDS, texts=src)
-    ends = interim_table(_sql(spark, f"SELECT id, text_hash, field, {SETTLED} AS settled, w1, w3, k2 FROM ({ENDS})", fields=fields), "ends")
+    ends = interim_table(_sql(spark, f"SELECT id, text_hash, field, {SETTLED} AS settled, part, w1, w2, w3 FROM ({ENDS})", fields=fields), "ends")
     open_ = ends.where("settled IS NULL")
-    counts = _sql(spark, COUNTS, texts=src.select(F.col("t").alias("text")).where("text is not null"))
-    counts = interim_table(counts, "trigrams")
-    decided = _sql(spark, DECIDE, open=open_, texts=ends, counts=counts)
+    texts = src.select(F.col("t").alias("text")).where("text is not null")
+    counts = interim_table(_sql(spark, COUNTS, texts=texts), "trigrams")
+    decided = _sql(spark, DECIDE, open=open_, texts=ends, counts=counts, longer=_sql(spark, BEGINNINGS, open=open_, texts=texts))
     cut = ends.where("settled").select("id", "field").unionAll(decided.where("cut").select("id", "field"))
     return cut.distinct().select(F.col("id").alias(id_col), F.col("field").alias("field_name"))
 
