@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracemill.llm import p2_answers as p2
 from tracemill.llm import p7_tokens as p7
 from tracemill.llm.p1_cut import cut_fields
+from tracemill.llm import p8_leakage as p8
 from tracemill.llm.p8_leakage import leaked_passages, without_leaks
 from tracemill.llm.p9_visual import look_alike_pairs
 from tracemill.llm.visual_form import visual_form
@@ -155,7 +156,7 @@ def test_look_alike_pairs(spark):
     assert look_alike_pairs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_leaked_passages_against_brute_force(spark):
+def test_leaked_passages_against_brute_force(spark, monkeypatch):
     random.seed(3)
     word = lambda: random.choice(["ab", "cd", "ef"])
     items = [(i, " ".join(word() for _ in range(random.randrange(3, 12)))) for i in range(8)] + [(90, None), (91, "")]
@@ -172,6 +173,9 @@ def test_leaked_passages_against_brute_force(spark):
     runs = leaked_passages(df, held, least)
     assert {(r.doc_id, r.item_id) for r in runs.collect()} == expected
     assert all(r.n_words >= least for r in runs.collect())
+    monkeypatch.setattr(p8, "ITEMS", 60)
+    assert len(list(p8.item_blocks(held.where("item_text is not null").selectExpr("item_id id", "item_text text"), 60))) > 2
+    assert {tuple(r) for r in leaked_passages(df, held, least).collect()} == {tuple(r) for r in runs.collect()}
     assert leaked_passages(df.limit(0), held, least).count() == 0
     assert leaked_passages(df, held.limit(0), least).count() == 0
     assert without_leaks(df, held).count() == len(docs)

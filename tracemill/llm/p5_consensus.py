@@ -155,12 +155,26 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.verdicts().select(F.col("item").alias("path_id"), "verdict")
 
 
+def stated_confidence(verdicts: DataFrame) -> DataFrame:
+    """(judge, n_stated, stated): how sure a judge says to be, on average; confidences over 1 are out of 100, others that aren't within 0 to 1 say nothing."""
+    c = F.when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence"))
+    rows = verdicts.select("path_id", F.lower(F.trim("judge_id")).alias("judge"), "judged_at", "verdict", c.alias("c")).where("judge != '' and c between 0 and 1").distinct()
+    return rows.groupBy("judge").agg(F.count(F.lit(1)).alias("n_stated"), F.round(F.avg("c"), 9).alias("stated"))
+
+
 def p5_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each judge's votes and estimated reliability."""
-    votes = usable_votes(table(spark, sf_dir, "judge_verdicts"))
+    """Each judge's votes, estimated reliability on either verdict, and the confidence it states, against which the estimate can be held."""
+    verdicts = table(spark, sf_dir, "judge_verdicts")
+    votes = usable_votes(verdicts)
     fitted = Consensus(votes).fit()
     counts = votes.groupBy("judge").agg(F.count(F.lit(1)).alias("n_votes"), F.sum("vote").alias("n_accept"))
-    return fitted.reliability().join(counts, "judge").select(F.col("judge").alias("judge_id"), "n_votes", "n_accept", "right_on_accept", "right_on_reject")
+    joined = fitted.reliability().join(counts, "judge").join(stated_confidence(verdicts), "judge", "left")
+    return joined.select(F.col("judge").alias("judge_id"), "n_votes", "n_accept", "right_on_accept", "right_on_reject", F.col("stated").alias("stated_confidence"))
+
+
+def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per judge, how often and how high it states its confidence."""
+    return stated_confidence(table(spark, sf_dir, "judge_verdicts"))
 
 
 def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,8 +187,12 @@ def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("items", "votes", F.round(F.col("a") / F.nullif(F.col("votes"), F.lit(0)), 9).alias("accept_share"), F.round(alpha, 9).alias("alpha"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_judges": p5_judges, "p5_agreement": p5_agreement}
+QUERIES = {"p5_found": p5_found, "p5_judges": p5_judges, "p5_confidence": p5_confidence, "p5_agreement": p5_agreement}
 SQL = {
+    "p5_confidence": """
+        WITH r AS (SELECT DISTINCT path_id, lower(trim(judge_id)) AS judge, judged_at, verdict, CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END AS c FROM judge_verdicts WHERE trim(judge_id) <> '')
+        SELECT judge, count(*) AS n_stated, round(avg(c), 9) AS stated FROM r WHERE c BETWEEN 0 AND 1 GROUP BY 1
+    """,
     "p5_agreement": """
         WITH v AS (SELECT path_id AS item, lower(trim(judge_id)) AS judge, judged_at, CASE WHEN lower(regexp_replace(verdict, '[^\\p{L}]', '', 'g')) = 'accept' THEN 1 ELSE 0 END AS vote
                    FROM judge_verdicts WHERE path_id IS NOT NULL AND trim(judge_id) <> '' AND lower(regexp_replace(verdict, '[^\\p{L}]', '', 'g')) IN ('accept', 'reject')),

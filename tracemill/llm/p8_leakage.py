@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.llm.visual_form import blocks, to_code_points, unify
-from tracemill.runtime import table
+from tracemill.runtime import interim_table, table
 
 #: Words that make a passage.
 PASSAGE = 12
@@ -179,17 +180,13 @@ def leaked_passages(docs: DataFrame, items: DataFrame, least: int = PASSAGE, doc
     per run.
 
     The items are the stated query set: they go to the tasks in blocks of ITEMS
-    bytes, one pass over the documents for each, so that no task holds more.
-    Each task indexes its own documents; nothing is shuffled.
+    bytes, one pass over the documents for each, so that neither a task nor the
+    driver holds more than one block. Each task indexes its own documents;
+    nothing is shuffled. With several blocks each pass is written to the shared
+    folder before the next block is read.
     """
     docs = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    passes: list[tuple[list[int], list[str], int]] = [([], [], 0)]
-    for r in items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(item_id, item_text).toLocalIterator():
-        ids, texts, size = passes[-1]
-        if size and size + len(r[1]) > ITEMS:
-            passes.append(([r[0]], [r[1]], len(r[1])))
-        else:
-            passes[-1] = (ids + [r[0]], texts + [r[1]], size + len(r[1]))
+    held = items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
 
     def one(ids: list[int], texts: list[str]) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,12 +200,32 @@ def leaked_passages(docs: DataFrame, items: DataFrame, least: int = PASSAGE, doc
 
         return docs.mapInArrow(search, OUT)
 
-    out = one(passes[0][0], passes[0][1])
-    for ids, texts, _ in passes[1:]:
-        out = out.unionAll(one(ids, texts))
+    parts = item_blocks(held, ITEMS)
+    block, after = next(parts), next(parts, None)
+    if after is None:
+        return one(*block).distinct()
+    out = interim_table(one(*block), "passages")
+    for ids, texts in chain([after], parts):
+        out = out.unionAll(interim_table(one(ids, texts), "passages"))
     return out.distinct()
 
 
+def item_blocks(items: DataFrame, limit: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of items (id, text) in blocks of about limit letters; one empty block if there are none."""
+    ids: list[int] = []
+    texts: list[str] = []
+    size, given = 0, False
+    for r in items.toLocalIterator():
+        if size and size + len(r.text) > limit:
+            yield ids, texts
+            ids, texts, size, given = [], [], 0, True
+        ids.append(r.id)
+        texts.append(r.text)
+        size += len(r.text)
+    if ids or not given:
+        yield ids, texts
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, **names: str) -> DataFrame:
     """The documents that hold no passage, all columns kept; those with a null id or text stay."""
     key = names.get("doc_id", "doc_id")
