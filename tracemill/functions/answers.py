@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions import text as X
 from tracemill.functions.text import BLANK, strip
 from tracemill.runtime import compute_once
 
@@ -20,6 +21,7 @@ ANSWER_PLACES = (
 )
 # A number with grouping, decimals or a denominator.
 NUMBER = r"-?\d+(?:,\d{3})*(?:\.\d+)?(?:/\d+(?:\.\d+)?)?"
+# Units after a number, what stands around an answer, and plain numbers.
 UNITS = r"(?i)\s*(dollars?|cents?|percent|%|miles?|hours?|minutes?|seconds?|kg|km|m|cm|mm)\s*$"
 EDGE = " \t\n\r`*$:;,.!?\"'()[]{}"
 PLAIN_FLOAT = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
@@ -34,7 +36,7 @@ def strip_artifacts(text: Column) -> Column:
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"<\|[^>]+?\|>", " ")
     t = F.regexp_replace(t, r"\[/?INST\]", " ")
     t = F.regexp_replace(F.replace(t, F.lit("</s>"), F.lit(" ")), "`{3,}", " ")
-    return strip(F.regexp_replace(t, f"{BLANK}+", " "))
+    return strip(F.regexp_replace(t, f"{BLANK}{{2,}}|[{BLANK}&&[^ ]]", " "))
 
 
 def last_number(text: Column) -> Column:
@@ -87,30 +89,37 @@ def vote_answer(text: Column) -> Column:
     return F.replace(found, F.lit(","), F.lit(""))
 
 
+# How an answer may be introduced, and what frames a table or a heading.
+INTRODUCTION, HASHES, RULE = r"(?i)^(?:the\s+)?(?:final\s+)?answer(?:\s+is)?[:\s-]*", r"^#+\s*", r"^[|#:\-]+$"
+
+
+def _number_in(text: Column) -> Column:
+    return F.replace(last_match(F.regexp_replace(text, r"\\text\{[^}]*\}", " "), f"({NUMBER})"), F.lit(","), F.lit(""))
+
+
+def _usable(match: Column) -> Column:
+    """What is left of a match without frames, edges and headings: an assignment as it is, else its last number, else up to eight words."""
+    bare = strip(F.regexp_replace(F.btrim(strip(match), F.lit(EDGE)), INTRODUCTION, ""))
+    bare = strip(F.regexp_replace(bare, HASHES, ""))
+
+    def pick(b: Column) -> Column:
+        short = F.when(F.size(F.split(b, " ")) <= 8, b)
+        return F.when((b == "") | b.rlike(RULE), None).when(b.contains("=") & b.rlike("[a-zA-Z_]"), b).otherwise(F.coalesce(_number_in(b), short))
+
+    return X.let(bare, pick)
+
+
 def with_final_answer(df: DataFrame, source: str, answer: str, marked: str) -> DataFrame:
     """df with the answer a text column ends on, and the number after its first #### where there is one.
 
     The answer is the last match of the first place that gives a usable one,
-    else the last number. A match is usable if something is left of it without
-    frames, edges and headings: an assignment as it is, else its last number,
-    else up to eight words. Each step is evaluated once per row.
+    else the last number. A place is only looked at if those before gave
+    nothing.
     """
-    ks = range(len(ANSWER_PLACES))
     df = compute_once(df, {"_t": strip_artifacts(F.col(source))})
-    df = compute_once(df, {f"_p{k}": last_match(F.col("_t"), p) for k, p in enumerate(ANSWER_PLACES)})
-    df = compute_once(df, {f"_a{k}": F.btrim(strip(F.col(f"_p{k}")), F.lit(EDGE)) for k in ks})
-    heading = lambda c: strip(F.regexp_replace(c, r"(?i)^(?:the\s+)?(?:final\s+)?answer(?:\s+is)?[:\s-]*", ""))
-    df = compute_once(df, {f"_b{k}": strip(F.regexp_replace(heading(F.col(f"_a{k}")), r"^#+\s*", "")) for k in ks})
-    number = lambda c: F.replace(last_match(F.regexp_replace(c, r"\\text\{[^}]*\}", " "), f"({NUMBER})"), F.lit(","), F.lit(""))
-    df = compute_once(df, {f"_n{k}": number(F.col(f"_b{k}")) for k in ks} | {"_n": number(F.col("_t"))})
-
-    def usable(k: int) -> Column:
-        b, n = F.col(f"_b{k}"), F.col(f"_n{k}")
-        return F.when((b == "") | b.rlike(r"^[|#:\-]+$"), None).when(b.contains("=") & b.rlike("[a-zA-Z_]"), b).when(n.isNotNull(), n).when(F.size(F.split(b, " ")) <= 8, b)
-
+    found = F.coalesce(*(_usable(last_match(F.col("_t"), p)) for p in ANSWER_PLACES), _number_in(F.col("_t")))
     mark = F.replace(F.nullif(F.regexp_extract(source, r"####\s*(-?[\d,]+(?:\.\d+)?)", 1), F.lit("")), F.lit(","), F.lit(""))
-    df = compute_once(df, {answer: F.coalesce(*map(usable, ks), "_n"), "_m": mark}).withColumn(marked, F.coalesce("_m", answer))
-    return df.drop("_t", "_m", "_n", *(f"_{x}{k}" for k in ks for x in "pabn"))
+    return compute_once(df, {answer: found, "_m": mark}).withColumn(marked, F.coalesce("_m", answer)).drop("_t", "_m")
 
 
 def with_number(df: DataFrame, source: str, number: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as the language of the original data sees it.
 BLANK = r"[\s\p{Z}\x{85}\x0b\x1c-\x1f]"
+#: The same one by one, for trimming.
+BLANKS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # Signs of a step, counted one by one.
 STEP_PATTERNS = (r"step\s*\d+", r"\d+\)", r"\d+\.", r"first|second|third|then|next|finally|therefore", r"let's|we can|we need|we have")
 # Signs of an answer.
@@ -18,21 +22,25 @@ STEP = r"<<\s*(-?\d+(?:\.\d+)?)\s*([+\-*/x×])\s*(-?\d+(?:\.\d+)?)\s*=\s*(-?\d+(
 TOLERANCE = 1e-6
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, and only where the whole is asked for."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def words(text: Column) -> Column:
     """Lower-cased words between white space; none for blank text, null for null."""
-    bare = strip(F.lower(text))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{BLANK}+"))
+    return F.filter(F.split(F.lower(text), f"{BLANK}+"), lambda w: w != "")
 
 
 def normalize(text: Column) -> Column:
     """Tidy a trace: blank runs, display math, role prefixes, special tokens and instruction frames, in this order."""
     t = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), " {2,}", " ")
     t = strip(t)
-    t = F.regexp_replace(F.regexp_replace(t, r"\$\$\s*", r"\$\$"), r"\s*\$\$", r"\$\$")
+    t = let(t, lambda x: F.when(x.contains("$$"), F.regexp_replace(F.regexp_replace(x, r"\$\$\s*", r"\$\$"), r"\s*\$\$", r"\$\$")).otherwise(x))
     t = F.regexp_replace(t, r"(?i)^(Assistant:|AI:|Response:)\s*", "")
     t = F.regexp_replace(t, r"<\|.*?\|>", "")
     return F.regexp_replace(t, r"(?s)\[INST\].*?\[/INST\]", "")
@@ -42,7 +50,9 @@ def step_count(text: Column) -> Column:
     """Sum of the counts of all signs of a step; overlaps count for each."""
     total = F.lit(0)
     for p in STEP_PATTERNS:
-        total = total + F.regexp_count(text, F.lit("(?i)" + p))
+        # Alternatives are only tried where a word can begin with their first letters.
+        first = "".join(sorted({a[0] for a in p.split("|")})) if "|" in p else ""
+        total = total + F.regexp_count(text, F.lit(f"(?i)(?=[{first}])(?:{p})" if first else f"(?i){p}"))
     return total
 
 
@@ -77,9 +87,10 @@ def long_sentences(text: Column) -> Column:
 
 def is_repetitive(sentences: Column, words: Column) -> Column:
     """Few distinct sentences, or few distinct runs of five words."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - 5), lambda i: F.array_join(F.slice(words, i, 5), " "))
-    again = F.size(F.array_distinct(sentences)) / F.size(sentences) < 0.7
-    return F.when(F.size(sentences) < 3, False).when(again, True).when(F.size(words) < 20, False).otherwise(F.size(F.array_distinct(grams)) / F.size(grams) < 0.5)
+    again = F.try_divide(F.size(F.array_distinct(sentences)), F.size(sentences)) < 0.7
+    runs = lambda h: F.transform(F.sequence(F.lit(1), F.size(words) - 5), lambda i: F.xxhash64(F.slice(h, i, 5)))
+    few = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(runs(h), lambda g: F.try_divide(F.size(F.array_distinct(g)), F.size(g)) < 0.5))
+    return F.when(F.size(sentences) < 3, False).when(again, True).when(F.size(words) < 20, False).otherwise(few)
 
 
 def jaccard(a: Column, b: Column) -> Column:

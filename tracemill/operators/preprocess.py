@@ -10,15 +10,15 @@ from tracemill.runtime import compute_once
 
 
 def features(traces: DataFrame, problems: DataFrame) -> DataFrame:
-    """Traces with tidy text, steps, has_answer, repetitive, words, answer_key, expected_key and failure mode."""
+    """Traces with tidy text, steps, has_answer, repetitive, words, n_words, answer_key, expected_key and failure mode."""
     expected = problems.select(F.col("id").alias("problem_id"), X.answer_key(F.col("answer")).alias("expected_key"))
     tidy = compute_once(traces, {"text": X.normalize(F.col("reasoning"))})
     text = F.col("text")
     parts = {"steps": X.step_count(text), "has_answer": X.has_final_answer(text), "words": X.words(text), "sentences": X.long_sentences(text), "key_source": X.first_filled(F.col("final_answer"), text)}
-    full = compute_once(compute_once(tidy, parts), {"repetitive": X.is_repetitive(F.col("sentences"), F.col("words")), "answer_key": X.answer_key(F.col("key_source"))})
+    full = compute_once(compute_once(tidy, parts), {"repetitive": X.is_repetitive(F.col("sentences"), F.col("words")), "answer_key": X.answer_key(F.col("key_source")), "n_words": F.size("words")})
     full = full.drop("sentences", "key_source").join(expected, "problem_id", "left")
     mode = (
-        F.when(F.size("words") < 12, "trivial_short")
+        F.when(F.col("n_words") < 12, "trivial_short")
         .when(~F.col("has_answer"), "missing_final_answer")
         .when(F.col("repetitive"), "repetitive")
         .when(F.col("answer_key") != F.col("expected_key"), "answer_mismatch")

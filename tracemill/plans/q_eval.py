@@ -15,9 +15,9 @@ from tracemill.runtime import compute_once, table
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    t = traces_view(spark, d).select("ord", "problem_id", "is_correct", "reasoning")
+    t = traces_view(spark, d, once=False).select("ord", "problem_id", "is_correct", "reasoning")
     t = compute_once(t, {"words": X.words(F.col("reasoning")), "answer": A.vote_answer(F.col("reasoning"))})
-    return compute_once(t, {"score": F.round(X.heuristic_score(F.col("words"), F.col("answer")), 6)}).select("ord", "problem_id", "is_correct", "answer", "score")
+    return compute_once(t, {"score": F.round(X.heuristic_score(F.col("words"), F.col("answer")), 6)}).select("ord", "problem_id", "is_correct", "answer", "score").dropDuplicates(["ord"])
 
 
 def pass_at_k(spark: SparkSession, d: str) -> DataFrame:

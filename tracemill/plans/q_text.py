@@ -13,29 +13,38 @@ from tracemill.plans.views import traces as traces_view
 from tracemill.runtime import compute_once, table
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """One row per trace, of a small result over rows that may be delivered twice."""
+    return df.dropDuplicates(["ord"])
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return preprocess.features(traces_view(spark, d, once=False), table(spark, d, "problems"))
+
+
 def trace_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return traces_view(spark, d).select("ord", F.md5(X.normalize(F.col("reasoning"))).alias("text_md5"), F.length(X.normalize(F.col("reasoning"))).alias("n_chars"))
+    t = compute_once(traces_view(spark, d, once=False).select("ord", "reasoning"), {"text": X.normalize(F.col("reasoning"))})
+    return _once(t.select("ord", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars")))
 
 
 def trace_features(spark: SparkSession, d: str) -> DataFrame:
-    f = preprocess.features(traces_view(spark, d), table(spark, d, "problems"))
-    return f.select("ord", "steps", "has_answer", "repetitive", F.size("words").alias("n_words"), "answer_key", "expected_key", "mode")
+    return _once(_features(spark, d).select("ord", "steps", "has_answer", "repetitive", "n_words", "answer_key", "expected_key", "mode"))
 
 
 def failure_modes(spark: SparkSession, d: str) -> DataFrame:
-    f = preprocess.features(traces_view(spark, d), table(spark, d, "problems"))
-    return f.where("not is_correct").groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
+    f = _once(_features(spark, d).where("not is_correct").select("ord", "mode"))
+    return f.groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quality_filter_counts(spark: SparkSession, d: str) -> DataFrame:
-    f = preprocess.features(traces_view(spark, d), table(spark, d, "problems"))
-    return f.select(F.coalesce(preprocess.reject_reason(), F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    f = _once(_features(spark, d).select("ord", F.coalesce(preprocess.reject_reason(), F.lit("kept")).alias("reason")))
+    return f.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def answer_extract(spark: SparkSession, d: str) -> DataFrame:
-    t = A.with_final_answer(traces_view(spark, d).select("ord", "reasoning"), "reasoning", "answer", "marked")
+    t = A.with_final_answer(traces_view(spark, d, once=False).select("ord", "reasoning"), "reasoning", "answer", "marked")
     r = F.col("reasoning")
-    return t.select("ord", "answer", "marked", A.vote_answer(r).alias("vote"), A.last_number(r).alias("last_number"))
+    return _once(t.select("ord", "answer", "marked", A.vote_answer(r).alias("vote"), A.last_number(r).alias("last_number")))
 
 
 def verify_numeric(spark: SparkSession, d: str) -> DataFrame:
@@ -44,8 +53,9 @@ def verify_numeric(spark: SparkSession, d: str) -> DataFrame:
     gold = table(spark, d, "problems").select(F.col("id").alias("problem_id"), "answer", F.coalesce("answer", F.lit("")).alias("gold"))
     gold = A.with_number(A.with_final_answer(gold, "gold", "gold_answer", "gold_marked"), "answer", "g")
     gold = gold.select("problem_id", "g", plain("gold_marked", "gold").alias("gm"))
-    t = traces_view(spark, d).select("ord", "problem_id", "reasoning", F.coalesce("final_answer", F.lit("")).alias("fa"))
-    t = A.with_number(A.with_final_answer(t, "reasoning", "answer", "marked"), "fa", "pf").withColumn("pm", plain("marked", "reasoning")).join(gold, "problem_id")
+    t = traces_view(spark, d, once=False).select("ord", "problem_id", "reasoning", F.coalesce("final_answer", F.lit("")).alias("fa"))
+    t = compute_once(A.with_number(A.with_final_answer(t, "reasoning", "answer", "marked"), "fa", "pf"), {"pm": plain("marked", "reasoning")})
+    t = _once(t.select("ord", "problem_id", "pf", "pm")).join(gold, "problem_id")
     status = F.when(F.col("pm").isNull() | F.col("gm").isNull(), "parse_error").when(F.abs(F.col("pm") - F.col("gm")) < 0.001, "correct").otherwise("incorrect")
     equal = A.near(F.col("pf"), F.col("g"))
     sure = F.when(F.col("pf").isNull() | F.col("g").isNull(), 0.0).when(equal, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("pf") - F.col("g")) / F.greatest(F.abs("g"), F.lit(1.0))))
@@ -59,20 +69,20 @@ def hash_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def step_coherence(spark: SparkSession, d: str) -> DataFrame:
-    return traces_view(spark, d).select("ord", F.round(X.step_coherence(F.col("reasoning")), 6).alias("coherence"))
+    return _once(traces_view(spark, d, once=False).select("ord", F.round(X.step_coherence(F.col("reasoning")), 6).alias("coherence")))
 
 
 def step_split(spark: SparkSession, d: str) -> DataFrame:
     r = F.col("reasoning")
     steps = X.extract_steps(r)
-    return traces_view(spark, d).select("ord", F.size(steps).alias("n_steps"), X.line_count(r).alias("n_lines"), F.md5(F.array_join(steps, "|")).alias("steps_md5"))
+    return _once(traces_view(spark, d, once=False).select("ord", F.size(steps).alias("n_steps"), X.line_count(r).alias("n_lines"), F.md5(F.array_join(steps, "|")).alias("steps_md5")))
 
 
 def quality_scores(spark: SparkSession, d: str) -> DataFrame:
     """Mean of correctness, coherence and length penalty against the median length of all traces."""
-    t = traces_view(spark, d).select("ord", "is_correct", "reasoning", F.length("reasoning").alias("n"))
-    median = t.agg(F.floor(F.percentile("n", 0.5)).alias("median"))
-    score = (F.col("is_correct").cast("double") + X.step_coherence(F.col("reasoning")) + X.length_penalty(F.col("n"), F.col("median"))) / 3
+    t = _once(traces_view(spark, d, once=False).select("ord", "is_correct", X.step_coherence(F.col("reasoning")).alias("coherence"), F.length("reasoning").alias("n")))
+    median = _once(traces_view(spark, d, once=False).select("ord", F.length("reasoning").alias("n"))).agg(F.floor(F.percentile("n", 0.5)).alias("median"))
+    score = (F.col("is_correct").cast("double") + F.col("coherence") + X.length_penalty(F.col("n"), F.col("median"))) / 3
     return t.crossJoin(F.broadcast(median)).select("ord", F.round(score, 6).alias("score"))
 
 
@@ -82,8 +92,8 @@ def difficulty_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heuristic_scores(spark: SparkSession, d: str) -> DataFrame:
-    t = compute_once(traces_view(spark, d).select("ord", "reasoning"), {"words": X.words(F.col("reasoning")), "vote": A.vote_answer(F.col("reasoning"))})
-    return t.select("ord", F.round(X.heuristic_score(F.col("words"), F.col("vote")), 6).alias("score"))
+    t = compute_once(traces_view(spark, d, once=False).select("ord", "reasoning"), {"words": X.words(F.col("reasoning")), "vote": A.vote_answer(F.col("reasoning"))})
+    return _once(t.select("ord", F.round(X.heuristic_score(F.col("words"), F.col("vote")), 6).alias("score")))
 
 
 def code_extract(spark: SparkSession, d: str) -> DataFrame:
@@ -91,11 +101,11 @@ def code_extract(spark: SparkSession, d: str) -> DataFrame:
     r = F.col("reasoning")
     block = lambda p: F.nullif(F.regexp_extract(r, p, 1), F.lit(""))
     code = X.strip(F.coalesce(block(r"(?s)```python\s*(.*?)```"), block(r"(?s)```\s*(.*?)```"), block(r"`([^`]+)`"), r))
-    return traces_view(spark, d).select("ord", F.md5(code).alias("code_md5"))
+    return _once(traces_view(spark, d, once=False).select("ord", F.md5(code).alias("code_md5")))
 
 
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
-    return traces_view(spark, d).select("ord", F.md5(X.excerpt(F.col("reasoning"), 200)).alias("excerpt_md5"))
+    return _once(traces_view(spark, d, once=False).select("ord", F.md5(X.excerpt(F.col("reasoning"), 200)).alias("excerpt_md5")))
 
 
 QUERIES = {

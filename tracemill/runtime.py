@@ -41,6 +41,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, sf_dir: str, name: str) -> DataFrame:
+    """df, a selection of the rows of one table, dealt out to all cores if the table is a single file.
+
+    A file of one row group is read by one task, which would then do all the work
+    on its texts. Tables of many files are split as they are read and stay.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile() else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and interim tables.
 
