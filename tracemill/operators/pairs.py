@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as X
-from tracemill.runtime import compute_once
+from tracemill.runtime import compute_once, interim_table
 
 SALTS = 16
+#: Traces of either side of a problem that are paired first, to learn what the best pairs reach.
+PROBES = 8
+#: Least quality and diversity of a pair, and what its parts weigh.
+LEAST_QUALITY, LEAST_DIVERSITY = 0.05, 0.2
+DIVERSITY, GAP, ALIGNED, DISAGREE, ANSWER, CONFIDENCE, SURE = 0.38, 0.22, 0.14, 0.10, 0.08, 0.12, 0.75
 # What a kind of failure adds to a pair's quality.
 BONUS = {"answer_mismatch": 0.18, "reasoning_gap": 0.12, "parse_like_failure": -0.05, "missing_final_answer": -0.10, "trivial_short": -0.15, "repetitive": -0.12}
 
@@ -33,12 +38,17 @@ def _with_likeness(pairs: DataFrame) -> DataFrame:
     return counted.withColumn("likeness", F.when(F.col("empty"), 0.0).otherwise(F.col("common") / (F.col("all") - F.col("common")))).drop("common", "all")
 
 
+def word_sets(traces: DataFrame) -> DataFrame:
+    """(problem_id, is_correct, set, n, ord): the different word sets of a problem's traces of either kind, how many traces have each, and the first of them."""
+    sets = compute_once(traces, {"set": F.array_sort(F.array_distinct(F.transform(X.words(F.col("reasoning")), lambda w: F.xxhash64(w))))}).select("problem_id", "is_correct", "ord", "set").dropDuplicates(["ord"])
+    return sets.groupBy("problem_id", "is_correct", "set").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord"))
+
+
 def diverse_pairs(traces: DataFrame, least: float = 0.1) -> DataFrame:
-    """All pairs whose word sets differ by at least least; a side without words has diversity 0."""
-    sets = compute_once(traces, {"set": F.array_distinct(F.transform(X.words(F.col("reasoning")), lambda w: F.xxhash64(w)))}).select("problem_id", "ord", "is_correct", "set")
-    pairs = _with_likeness(cross(sets, None, "set"))
+    """All pairs of word sets that differ by at least least, with the number of pairs of traces each stands for; a side without words has diversity 0."""
+    pairs = _with_likeness(cross(word_sets(traces), None, "set", "n"))
     pairs = pairs.withColumn("diversity", F.when(F.col("empty"), 0.0).otherwise(1 - F.col("likeness")))
-    return pairs.where(F.col("diversity") >= least).select("problem_id", F.col("c_ord").alias("chosen"), F.col("r_ord").alias("rejected"), "diversity")
+    return pairs.where(F.col("diversity") >= least).select("problem_id", F.col("c_ord").alias("chosen"), F.col("r_ord").alias("rejected"), (F.col("c_n") * F.col("r_n")).alias("n"), "diversity")
 
 
 def first_pairs(traces: DataFrame, n: int = 2) -> DataFrame:
@@ -47,16 +57,21 @@ def first_pairs(traces: DataFrame, n: int = 2) -> DataFrame:
     return cross(traces.select("problem_id", "is_correct", "ord").withColumn("place", place).where(F.col("place") <= n)).select("problem_id", F.col("c_ord").alias("chosen"), F.col("r_ord").alias("rejected"))
 
 
-def pair_quality(diversity: Column) -> Column:
-    """Quality of a pair with c_ and r_ columns of features."""
+def _rejected(prefix: str) -> list[Column]:
+    """What the rejected side alone adds to the quality of a pair: how it ends, how it fails, how sure it is."""
     bonus = F.lit(0.0)
     for mode, value in BONUS.items():
-        bonus = F.when(F.col("r_mode") == mode, value).otherwise(bonus)
+        bonus = F.when(F.col(prefix + "mode") == mode, value).otherwise(bonus)
+    return [F.when(F.col(prefix + "has_answer"), ANSWER).otherwise(-ANSWER), bonus, CONFIDENCE * F.least(F.col(prefix + "confidence"), F.lit(SURE))]
+
+
+def pair_quality(diversity: Column | float) -> Column:
+    """Quality of a pair with c_ and r_ columns of features."""
     gap = F.greatest(F.lit(0.0), F.col("c_confidence") - F.col("r_confidence"))
     aligned = F.least("r_steps", "c_steps") / F.greatest(F.col("c_steps"), F.lit(1))
     disagree = F.coalesce((F.col("r_answer_key") != F.col("c_answer_key")).cast("double"), F.lit(0.0))
-    ends = F.when(F.col("r_has_answer"), 0.08).otherwise(-0.08)
-    return 0.38 * diversity + 0.22 * gap + 0.14 * aligned + 0.10 * disagree + ends + bonus + 0.12 * F.least(F.col("r_confidence"), F.lit(0.75))
+    ends, bonus, sure = _rejected("r_")
+    return DIVERSITY * diversity + GAP * gap + ALIGNED * aligned + DISAGREE * disagree + ends + bonus + sure
 
 
 def millionths(x: Column) -> Column:
@@ -64,25 +79,68 @@ def millionths(x: Column) -> Column:
     return F.floor(x * 1e6 + 0.5) / 1e6
 
 
-def judged_pairs(feats: DataFrame) -> DataFrame:
-    """All pairs with diversity, quality and the first reason to reject them."""
-    cols = ("set", "steps", "mode", "answer_key", "has_answer", "confidence", "text_key")
+COLUMNS = ("set", "steps", "mode", "answer_key", "has_answer", "confidence", "text_key")
+
+
+def slim(feats: DataFrame) -> DataFrame:
+    """What pairing needs of features, once per trace."""
     words = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))
-    slim = compute_once(feats.withColumn("text_key", F.md5("text")), {"set": words}).select("problem_id", "ord", "is_correct", *cols)
-    pairs = cross(slim, F.col("confidence") >= 0.5, *cols)
-    pairs = _with_likeness(pairs)
-    pairs = compute_once(pairs, {"diversity": millionths(1 - F.col("likeness"))}).drop("likeness")
+    return compute_once(feats.withColumn("text_key", F.md5("text")), {"set": words}).select("problem_id", "ord", "is_correct", *COLUMNS).dropDuplicates(["ord"])
+
+
+def judged(pairs: DataFrame) -> DataFrame:
+    """Pairs with c_ and r_ columns, with diversity, quality and the first reason to reject them."""
+    pairs = compute_once(_with_likeness(pairs), {"diversity": millionths(1 - F.col("likeness"))}).drop("likeness")
     pairs = compute_once(pairs, {"quality": millionths(pair_quality(F.col("diversity")))})
     loose = (F.col("c_steps") > 0) & (F.col("r_steps") / F.greatest(F.col("c_steps"), F.lit(1)) < 0.5) & F.col("r_mode").isin("trivial_short", "missing_final_answer", "repetitive")
-    reason = F.when(F.col("diversity") < 0.2, "low_diversity").when(F.col("c_answer_key") == F.col("r_answer_key"), "same_answer").when(loose, "unstructured_negative").when(F.col("quality") < 0.05, "low_quality")
+    reason = F.when(F.col("diversity") < LEAST_DIVERSITY, "low_diversity").when(F.col("c_answer_key") == F.col("r_answer_key"), "same_answer").when(loose, "unstructured_negative").when(F.col("quality") < LEAST_QUALITY, "low_quality")
     return pairs.withColumn("reject", reason)
 
 
+def judged_pairs(feats: DataFrame) -> DataFrame:
+    """All pairs with diversity, quality and the first reason to reject them."""
+    return judged(cross(slim(feats), F.col("confidence") >= 0.5, *COLUMNS))
+
+
+def _shared(core: str, first: int) -> Column:
+    """Which of 63 words of core, from the first on, are in set, as bits."""
+    return F.expr(f"aggregate(sequence(0, 62), 0L, (acc, i) -> acc | IF(array_contains(set, get({core}, {first} + i)), shiftleft(1L, i), 0L))")
+
+
+def promising_pairs(traces: DataFrame, per_type: int) -> DataFrame:
+    """The judged pairs among which the best per_type of every problem and kind of failure lie, ties and all.
+
+    A few likely pairs of each problem are judged first; the last of the best
+    that they give is a bar. A pair that can't reach it by any words is passed
+    over, and so is a trace that can't with the best partner its problem could
+    have. What two traces share is at least what both share with the surest
+    correct trace of the problem, which bits tell without meeting their words.
+    """
+    heads = traces.where("is_correct and confidence >= 0.5").groupBy("problem_id").agg(F.max("confidence").alias("surest"), F.min_by("set", F.struct(-F.col("confidence"), "ord")).alias("core"))
+    marked = traces.where("not is_correct or confidence >= 0.5").join(heads, "problem_id").withColumns({"m0": _shared("core", 0), "m1": _shared("core", 63), "n": F.size("set")}).drop("core")
+    marked = interim_table(marked, "marked")
+    good, bad = marked.where("is_correct"), marked.where("not is_correct").withColumn("own", sum(_rejected(""), F.lit(0.0)))
+    place = lambda keys, *by: F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    first_good = good.withColumn("k", place(["problem_id"], F.col("confidence").desc(), "ord")).where(F.col("k") <= PROBES)
+    first_bad = bad.withColumn("k", place(["problem_id", "mode"], (F.col("own") - GAP * F.col("confidence")).desc(), "ord")).where(F.col("k") <= PROBES)
+    probes = judged(cross(first_good.unionByName(first_bad.drop("own")), None, *COLUMNS)).where("reject is null")
+    reached = F.get(F.sort_array(F.collect_list("quality"), asc=False), F.lit(per_type - 1))
+    bars = probes.groupBy("problem_id", F.col("r_mode").alias("mode")).agg(reached.alias("bar"))
+    most = DIVERSITY + ALIGNED + DISAGREE + 1e-5
+    bad = bad.join(bars, ["problem_id", "mode"], "left").withColumn("bar", F.coalesce("bar", F.lit(LEAST_QUALITY)))
+    bad = bad.where(most + GAP * F.greatest(F.lit(0.0), F.col("surest") - F.col("confidence")) + F.col("own") >= F.col("bar"))
+    both = good.withColumn("bar", F.lit(None).cast("double")).unionByName(bad.drop("own"))
+    shared = F.bit_count(F.col("c_m0").bitwiseAND(F.col("r_m0"))) + F.bit_count(F.col("c_m1").bitwiseAND(F.col("r_m1")))
+    differ = 1 - F.coalesce(F.try_divide(shared, F.col("c_n") + F.col("r_n") - shared), F.lit(0.0))
+    pairs = cross(both, None, *COLUMNS, "bar", "m0", "m1", "n").where((pair_quality(differ) + 1e-5 >= F.col("r_bar")) & (differ + 1e-5 >= LEAST_DIVERSITY))
+    return judged(pairs.select("problem_id", "c_ord", "r_ord", *(f"{x}_{c}" for c in COLUMNS for x in "cr")))
+
+
 def smart_pairs(feats: DataFrame, per_type: int = 2, per_chosen: int = 2, per_problem: int = 5) -> DataFrame:
     """The best pairs of a problem: so many per kind of failure, then per chosen text, then in all."""
     best = [F.col("quality").desc(), F.col("diversity").desc(), F.col("c_confidence").desc(), "c_ord", F.col("r_confidence").desc(), "r_ord"]
     rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*best))
-    pairs = judged_pairs(feats).where("reject is null")
+    pairs = promising_pairs(interim_table(slim(feats), "slim"), per_type).where("reject is null")
     pairs = pairs.withColumn("k", rank("problem_id", "r_mode")).where(F.col("k") <= per_type)
     pairs = pairs.withColumn("k", rank("problem_id", "c_text_key")).where(F.col("k") <= per_chosen)
     pairs = pairs.withColumn("k", rank("problem_id")).where(F.col("k") <= per_problem)

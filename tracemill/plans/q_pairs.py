@@ -13,7 +13,7 @@ from tracemill.runtime import table
 
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
-    return preprocess.kept(preprocess.features(traces_view(spark, d), table(spark, d, "problems")))
+    return preprocess.kept(preprocess.features(traces_view(spark, d, once=False), table(spark, d, "problems")))
 
 
 def pairs_smart(spark: SparkSession, d: str) -> DataFrame:
@@ -40,8 +40,8 @@ def pair_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def pairs_naive(spark: SparkSession, d: str) -> DataFrame:
     """Per problem: diverse pairs and their mean diversity."""
-    p = pairs.diverse_pairs(traces_view(spark, d))
-    return p.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("diversity"), 5).alias("mean_diversity"), F.round(F.max("diversity"), 6).alias("most"))
+    p = pairs.diverse_pairs(traces_view(spark, d, once=False))
+    return p.groupBy("problem_id").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("diversity")) / F.sum("n"), 5).alias("mean_diversity"), F.round(F.max("diversity"), 6).alias("most"))
 
 
 def pairs_first(spark: SparkSession, d: str) -> DataFrame:
