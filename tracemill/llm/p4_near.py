@@ -10,9 +10,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from tracemill.llm.visual_form import blocks
 from tracemill.operators.components import component_labels
@@ -269,6 +270,20 @@ def pairs_across(rows: DataFrame, likeness: float) -> DataFrame:
     return rows.join(sides, "block").select("x", "y", "side", *FIELDS).groupBy("x", "y").applyInArrow(lambda t: across(t, likeness), "a long, b long")
 
 
+def likeness_of(a: Column | str, b: Column | str) -> Column:
+    """Common words by all words of two sets, given as the bytes of their sorted hashes."""
+
+    @arrow_udf("double")
+    def like(x: pa.Array, y: pa.Array) -> pa.Array:
+        def one(s: bytes, t: bytes) -> float:
+            common = len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), assume_unique=True))
+            return common / ((len(s) + len(t)) // 8 - common)
+
+        return pa.array([one(s, t) for s, t in zip(x.to_pylist(), y.to_pylist())], pa.float64())
+
+    return like(a, b)
+
+
 def near_groups(df: DataFrame, id_col: str = "path_id", text_col: str = "reasoning", likeness: float = LIKENESS) -> DataFrame:
     """(id, group) for every record that is linked to another: group is the least id of those linked, in chains too.
 
@@ -308,8 +323,7 @@ def near_groups(df: DataFrame, id_col: str = "path_id", text_col: str = "reasoni
 
     def word_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in hashed(batches):
-            offs = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([np.sort(s).tobytes() for s in sets], pa.binary())], ["id", "words"])
 
     signed = interim_table(src.mapInArrow(sign, schema), "signed")
     classes = signed.groupBy("h0", "h1").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in names[3:]))
@@ -317,13 +331,12 @@ def near_groups(df: DataFrame, id_col: str = "path_id", text_col: str = "reasoni
     ordered = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     met = interim_table(ordered.mapInArrow(lambda batches: stars(batches, likeness), MEMBERS), "met")
     needed = src.join(met.select("id").distinct(), "id", "left_semi")
-    words = interim_table(needed.mapInArrow(word_numbers, "id long, words array<long>"), "words")
+    words = interim_table(needed.mapInArrow(word_numbers, "id long, words binary"), "words")
 
     def links(pairs: DataFrame) -> DataFrame:
         one = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
         two = one.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-        common = F.size(F.array_intersect("wa", "wb"))
-        return two.where(common > likeness * (F.size("wa") + F.size("wb") - common)).select("a", "b")
+        return two.where(likeness_of("wa", "wb") > likeness).select("a", "b")
 
     labels = component_labels(links(met.where("star").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()))
     labelled = met.join(labels, F.col("id") == F.col("node"), "left").select("key", F.coalesce("label", "id").alias("label"), "id", "s0", "s1", "n", "center")
