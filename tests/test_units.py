@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import answers as A
 from tracemill.functions import symbolic
 from tracemill.functions import text as X
-from tracemill.operators import agreement, dedup, hooks, pairs, perturb, robustness, search, training, voting
+from tracemill.operators import agreement, dedup, hooks, pairs, perturb, robustness, search, training, verify, voting
 from tracemill.operators.components import component_labels
 from tracemill.operators.ranking import place_in_group
 from tracemill.plans import q_custom, q_train
@@ -25,8 +25,8 @@ def one(spark, value, fn, kind="string"):
 @pytest.mark.parametrize(
     ("text", "expected"),
     [
-        ("The answer is \\boxed{42}.", "42"), ("So the total is 42.\n#### 42", "42"), ("Therefore, the answer is 42.", "42"), ("Adding them all up: total = 55", "55"),
-        ("We compute the total carefully.\nFinal Answer: 57", "57"), ("<|assistant|>\n<|system|>\n|", None), ("", None), (None, None), ("answer: x=2, y=-3", "x=2, y=-3"),
+        ("All in all \\boxed{318} tiles.", "318"), ("The two crates hold 29.\n#### 29", "29"), ("Therefore, the answer is 64 plums.", "64"), ("Both rows together: sum = 71", "71"),
+        ("First the left side.\nFinal Answer: 83", "83"), ("<|user|>\n<|assistant|>\n|", None), ("", None), (None, None), ("answer: k=5, m=-8", "k=5, m=-8"),
     ],
 )
 def test_final_answer(spark, text, expected):
@@ -43,11 +43,37 @@ def test_assignments(spark, a, b, same):
     assert spark.createDataFrame([(a, b)], "a string, b string").select(A.assignments_equal(F.col("a"), F.col("b")).alias("y")).first().y is same
 
 
-@pytest.mark.parametrize(("a", "b", "same"), [("2*t", "t+t", True), ("(x+1)^2", "x^2+2x+1", True), ("x/2", "0.5x", True), ("1/x", "x", False), ("x", None, False), ("__import__('os')", "1", False), ("x/0", "x/0", False), ("x**99", "x**99", False)])
+@pytest.mark.parametrize(("a", "b", "same"), [("2*t", "t+t", True), ("(x+1)^2", "x^2+2x+1", True), ("x/2", "0.5x", True), ("1/x", "x", False), ("x", None, False), ("__import__('os')", "1", False), ("x/0", "x/0", False), ("x**99", "x**99", True), ("(x+y)^40 * (x-y)^40", "(x^2-y^2)^40", True), ("(x+y)^40", "(x-y)^40", False), ("2^10", "1024", True), ("sqrt(16)", "4", True), ("pi", "3.1415926536", True), ("1/3", "0.33333333333", True), ("x^1.5", "x^1.5", False), ("", "", False), ("0.1+0.2", "0.3", True)])
 def test_symbolic(a, b, same):
     assert symbolic.equal(a, b) is same
 
 
+@pytest.mark.parametrize(("a", "b", "same"), [("a=2t, b=7", "b = 14/2; a=t+t", True), ("a=1", "a=1, b=2", False), ("a=1, 7", "a=1", False), ("", "", False), (None, "a=1", False), ("a=k^2", "a=k", False)])
+def test_symbolic_assignments(a, b, same):
+    assert symbolic.same_assignments(a, b) is same
+
+
+def test_verify_chain(spark):
+    rows = [
+        (1, "We get 1,204 in all.\n#### 1,204", "1204.0", "correct", "number", 1.0), (2, "The answer is Red Kite", "red kite", "correct", "text", 1.0), (3, "answer: m=2, n=-3", "n=-3, m=2", "correct", "assignments", 1.0),
+        (4, "The answer is t*k", "k*t", "correct", "expression", 1.0), (5, "#### 8", "9", "incorrect", None, 0.0), (6, "no such thing can be said of any of those old green boats at all", "9", "parse_error", None, 1.0), (7, None, "9", "parse_error", None, 1.0),
+        (8, "#### 8", None, "incorrect", None, 0.0), (9, "The answer is about 12 geese", "12", "correct", "text", 1.0), (10, "answer: m=k+k", "m=2k", "correct", "expression", 1.0), (11, "", "", "parse_error", None, 1.0),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "id int, reasoning string, gold string").withColumn("confidence", F.lit("clash"))
+    got = {r.id: (r.status, r.by, r.confidence) for r in verify.verified(df.drop("confidence"), "reasoning", "gold").collect()}
+    assert got == {r[0]: r[3:] for r in rows}
+    assert verify.verified(df.limit(0), "reasoning", "gold").count() == 0
+
+
+def test_rewards(spark):
+    rows = [("correct", 1.0), ("incorrect", 0.0), ("parse_error", -0.25), ("timeout", -0.25), ("odd", -0.1), (None, -0.1)]
+    df = spark.createDataFrame(rows, "status string, want double")
+    assert all(r.want == r.got for r in df.withColumn("got", verify.reward(F.col("status"))).collect())
+    rows = [("we have\n#### 41.4", "41", 0.5, False), ("#### 41", "$41", 1.0, True), ("therefore it must be 41", "41", 0.0, True), ("41 of them", "41", 0.0, True), ("none", "41", 0.0, False), (None, "41", 0.0, False), ("#### 41", None, 0.0, False), ("The answer is: 90", "1,041", 0.0, False)]
+    df = spark.createDataFrame(rows, "r string, g string, reward double, right boolean").withColumns({"a": verify.graded_reward(F.col("r"), F.col("g")), "b": verify.strictly_right(F.col("r"), F.col("g"))})
+    assert [(r.a, r.b) for r in df.collect()] == [(r[2], r[3]) for r in rows]
+
+
 @pytest.mark.parametrize(
     ("text", "expected"),
     [("<<48/2=24>> <<48+24=72>>", 1.0), ("<<2+2=5>> <<3*3=10>>", 0.0), ("<<2+2=4>> <<3*3=10>>", 0.5), ("none", 1.0), ("<<1+1=2>> <<5/0=0>>", 0.5), ("<<1.5+0.5=2.0>> <<3x4=12>>", 1.0), (None, 1.0)],

@@ -40,13 +40,6 @@ def symbolic_verify(spark: SparkSession, d: str) -> DataFrame:
     return sure.unionAll(rest)
 
 
-def assignment_answers(spark: SparkSession, d: str) -> DataFrame:
-    """Order does not matter between assignments: each answer written as two, in both orders."""
-    t = traces_view(spark, d).where("final_answer is not null")
-    a, b = F.concat(F.lit("x="), F.length("final_answer"), F.lit(", y="), F.col("ord")), F.concat(F.lit("y="), F.col("ord"), F.lit(".0, x="), F.length("final_answer"))
-    return t.select("ord", A.assignments_equal(a, b).alias("same"), A.assignments_equal(a, F.concat(b, F.lit("1"))).alias("other"))
-
-
 def generate_stub(spark: SparkSession, d: str) -> DataFrame:
     """Four outputs per problem of a stand-in for a model."""
     p = table(spark, d, "problems").select(F.col("id").alias("problem_id"), "problem")
@@ -106,12 +99,11 @@ def stream_stage(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, kept)
 
 
-QUERIES = {f.__name__: f for f in (near_dedup, near_pairs, symbolic_verify, assignment_answers, generate_stub, tree_search_stub, lru_cache, stream_windows, stream_first_seen, stream_stage)}
+QUERIES = {f.__name__: f for f in (near_dedup, near_pairs, symbolic_verify, generate_stub, tree_search_stub, lru_cache, stream_windows, stream_first_seen, stream_stage)}
 _SETS = f"sets AS MATERIALIZED (SELECT ord, problem_id, list_distinct({words_sql('reasoning')}) AS s FROM traces)"
 _COMMON = "len(list_intersect(a.s, b.s))"
 SQL = {
     "near_pairs": f"WITH {TRACES}, {_SETS}, j AS (SELECT a.ord AS a, b.ord AS b, {_COMMON} / (len(a.s) + len(b.s) - {_COMMON}) AS j FROM sets a JOIN sets b ON a.problem_id = b.problem_id AND a.ord < b.ord AND len(a.s) > 0 AND least(len(a.s), len(b.s)) > 0.85 * greatest(len(a.s), len(b.s))) SELECT a, b, round(j, 6) AS likeness FROM j WHERE j > 0.85",
-    "assignment_answers": f"WITH {TRACES} SELECT ord, true AS same, false AS other FROM traces WHERE final_answer IS NOT NULL",
     "stream_first_seen": "SELECT DISTINCT user_id || '|' || event_type AS key FROM events",
     "generate_stub": r"SELECT id AS problem_id, problem, CAST(k AS INT) AS k, length(coalesce(problem, '')) || ' words' || chr(10) || '#### ' || k AS reasoning, CAST(NULL AS VARCHAR) AS error FROM problems, range(4) r(k)",
 }

@@ -110,17 +110,6 @@ def panel_vote(spark: SparkSession, d: str) -> DataFrame:
     return n.select("path_id", "verdict", "n", F.round(sure, 6).alias("confidence"))
 
 
-def judge_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Judge replies, written out from the verdict table and parsed again."""
-    v = table(spark, d, "judge_verdicts").distinct()
-    line = lambda k, c: F.concat(F.lit(k + ": "), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\n"))
-    conf = F.coalesce(F.round("confidence", 2).cast("string"), F.lit(""))
-    reply = F.concat(line("VERDICT", "verdict"), F.lit("CONFIDENCE: "), conf, F.lit("\n"), line("REASON_CODE", "reason_code"), F.lit("RATIONALE: "), F.coalesce("rationale", F.lit("")))
-    r = compute_once(v.select("path_id", "judge_id", "judged_at", reply.alias("reply")), {"verdict": F.upper(F.regexp_extract("reply", r"(?i)VERDICT\s*[:\-]?\s*([A-Za-z]+)", 1)), "conf": F.regexp_extract("reply", r"(?i)CONFIDENCE\s*[:\-]?\s*([0-9.]+)", 1), "code": F.upper(F.regexp_extract("reply", r"(?i)REASON_CODE\s*[:\-]?\s*([A-Z_]+)", 1))})
-    verdict = F.when(F.col("verdict").isin("ACCEPT", "REJECT"), F.col("verdict")).otherwise("UNCERTAIN")
-    return r.select("path_id", "judge_id", "judged_at", verdict.alias("verdict"), F.round(F.least(F.lit(1.0), F.coalesce(A.parse_float(F.col("conf")), F.lit(0.0))), 6).alias("confidence"), F.when(verdict == "ACCEPT", "NONE").otherwise(F.col("code")).alias("reason")).groupBy("verdict", "reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
-
-
 def rm_threshold(spark: SparkSession, d: str) -> DataFrame:
     """Confidence as a score: at or above the median is true; how that agrees with the verifier."""
     t = table(spark, d, "reasoning_paths").groupBy("path_id").agg(F.first("confidence").alias("s"), F.first("is_correct").alias("b"))
@@ -129,7 +118,7 @@ def rm_threshold(spark: SparkSession, d: str) -> DataFrame:
     return agreement.with_kappa(j.groupBy(F.round("m", 6).alias("median")).agg(*agreement.rates()))
 
 
-QUERIES = {f.__name__: f for f in (pass_at_k, majority_vote, weighted_vote, best_of_n, consensus_scores, verifier_guided, vote_accuracy, benchmark_result, problem_manifest, kappa_report, shortcuts, shortcut_rate, panel_vote, judge_parse, rm_threshold)}
+QUERIES = {f.__name__: f for f in (pass_at_k, majority_vote, weighted_vote, best_of_n, consensus_scores, verifier_guided, vote_accuracy, benchmark_result, problem_manifest, kappa_report, shortcuts, shortcut_rate, panel_vote, rm_threshold)}
 
 _SCORED = f"""w0 AS MATERIALIZED (SELECT ord, problem_id, is_correct, {_VOTE} AS answer, {words_sql("reasoning")} AS w FROM traces),
 scored AS MATERIALIZED (SELECT ord, problem_id, is_correct, answer, round(CASE WHEN answer IS NOT NULL THEN 0.5 ELSE 0.0 END + least(len(w) / 400.0, 0.35) - CASE WHEN len(w) < 20 THEN 0.0 ELSE greatest(0.0, 0.55 - len(list_distinct(w)) / len(w)) END, 6) AS score FROM w0),
@@ -162,9 +151,5 @@ SQL = {
     "panel_vote": f"""WITH {_LATEST.replace("@tie@", "confidence")}, v AS (SELECT path_id, CASE WHEN upper(regexp_replace(coalesce(verdict, ''), '[^A-Za-z]', '', 'g')) IN ('ACCEPT', 'REJECT') THEN upper(regexp_replace(verdict, '[^A-Za-z]', '', 'g')) ELSE 'UNCERTAIN' END AS kind, coalesce(CASE WHEN confidence > 1 THEN 1.0 ELSE confidence END, 0.0) AS c FROM latest),
         n AS (SELECT path_id, count(*) AS n, avg(c) AS m, count(*) FILTER (kind = 'ACCEPT') AS na, count(*) FILTER (kind = 'REJECT') AS nr, avg(c) FILTER (kind = 'ACCEPT') AS ca, avg(c) FILTER (kind = 'REJECT') AS cr, avg(c) FILTER (kind = 'UNCERTAIN') AS cu FROM v GROUP BY 1)
         SELECT path_id, CASE WHEN na * 2 > n THEN 'ACCEPT' WHEN nr * 2 > n THEN 'REJECT' ELSE 'UNCERTAIN' END AS verdict, n, round(coalesce(CASE WHEN na * 2 > n THEN ca WHEN nr * 2 > n THEN cr ELSE cu END, m), 6) AS confidence FROM n""",
-    "judge_parse": """WITH v AS (SELECT DISTINCT * FROM judge_verdicts), r AS (SELECT 'VERDICT: ' || coalesce(verdict, '') || chr(10) || 'CONFIDENCE: ' || coalesce(CAST(round(confidence, 2) AS VARCHAR), '') || chr(10) || 'REASON_CODE: ' || coalesce(reason_code, '') || chr(10) || 'RATIONALE: ' || coalesce(rationale, '') AS reply FROM v),
-        e AS (SELECT upper(regexp_extract(reply, '(?i)VERDICT\\s*[:\\-]?\\s*([A-Za-z]+)', 1)) AS vd, regexp_extract(reply, '(?i)CONFIDENCE\\s*[:\\-]?\\s*([0-9.]+)', 1) AS cf, upper(regexp_extract(reply, '(?i)REASON_CODE\\s*[:\\-]?\\s*([A-Z_]+)', 1)) AS code FROM r),
-        f AS (SELECT CASE WHEN vd IN ('ACCEPT', 'REJECT') THEN vd ELSE 'UNCERTAIN' END AS verdict, round(least(1.0, coalesce(TRY_CAST(nullif(cf, '') AS DOUBLE), 0.0)), 6) AS c, CASE WHEN vd = 'ACCEPT' THEN 'NONE' ELSE code END AS reason FROM e)
-        SELECT verdict, reason, count(*) AS n, round(sum(c), 4) AS confidence FROM f GROUP BY 1, 2""",
     "rm_threshold": f"WITH t AS (SELECT path_id, any_value(confidence) AS s, any_value(is_correct) AS b FROM reasoning_paths GROUP BY 1), m AS (SELECT quantile_cont(s, 0.5) AS m FROM t), j AS (SELECT s >= m AS a, b, round(m, 6) AS median FROM t, m), counts AS (SELECT median, {_RATES} FROM j GROUP BY 1), {_KAPPA} SELECT * FROM kappas",
 }

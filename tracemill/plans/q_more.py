@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tracemill.runtime import table
 
-# Reward of a verification status.
-REWARDS = {"correct": 1.0, "incorrect": 0.0, "parse_error": -0.1}
-
 
 def _scored_twice(spark: SparkSession, d: str) -> DataFrame:
     """First and last score of each pair as the winner of a forward and a reverse comparison."""
@@ -50,19 +47,12 @@ def truncate_to_shortest(spark: SparkSession, d: str) -> DataFrame:
     return p.select("pair_id", n.alias("n"), F.md5(F.substring("c", F.lit(1), n)).alias("chosen_md5"), F.md5(F.substring("r", F.lit(1), n)).alias("rejected_md5"))
 
 
-def rewards(spark: SparkSession, d: str) -> DataFrame:
-    """Rewards by verification status with mean and population deviation per problem."""
-    t = table(spark, d, "reasoning_paths").groupBy("path_id").agg(F.min("problem_id").alias("problem_id"), F.first("is_correct").alias("ok"))
-    reward = F.when(F.col("ok").isNull(), REWARDS["parse_error"]).when(F.col("ok"), REWARDS["correct"]).otherwise(REWARDS["incorrect"])
-    return t.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(reward), 6).alias("mean"), F.round(F.stddev_pop(reward), 6).alias("std"))
-
-
 def policy_terms(spark: SparkSession, d: str) -> DataFrame:
     """Clipped policy loss and divergence of given log-probabilities: a trace's confidence against the mean of its model."""
     t = table(spark, d, "reasoning_paths").groupBy("path_id").agg(F.min("generation_metadata.model").alias("model"), F.first("confidence").alias("c"), F.first("is_correct").alias("ok")).where("model is not null and c > 0")
     old = t.groupBy("model").agg(F.avg(F.ln("c")).alias("old"))
     advantage = F.when(F.col("ok"), 1.0).otherwise(-1.0)
-    j = t.join(F.broadcast(old), "model").withColumn("ratio", F.exp(F.ln("c") - F.col("old")))
+    j = t.join(old, "model").withColumn("ratio", F.exp(F.ln("c") - F.col("old")))
     clipped = F.least(F.greatest("ratio", F.lit(0.8)), F.lit(1.2))
     k = F.exp(F.col("old") - F.ln("c")) - (F.col("old") - F.ln("c")) - 1
     return j.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(-F.avg(F.least(F.col("ratio") * advantage, clipped * advantage)), 5).alias("loss"), F.round(F.avg(k), 5).alias("kl"))
@@ -104,7 +94,7 @@ def votes_again(spark: SparkSession, d: str) -> DataFrame:
     return again.groupBy("judge").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.unix_micros(F.col("next").cast("timestamp")) - F.unix_micros(F.col("judged_at").cast("timestamp"))) / 3.6e9), 4).alias("mean_hours"))
 
 
-QUERIES = {f.__name__: f for f in (pairwise_swap, swap_stability, self_preference, truncate_to_shortest, rewards, policy_terms, acceptance, plot_rows, health, user_sessions, votes_again)}
+QUERIES = {f.__name__: f for f in (pairwise_swap, swap_stability, self_preference, truncate_to_shortest, policy_terms, acceptance, plot_rows, health, user_sessions, votes_again)}
 
 _TWICE = """s AS (SELECT pair_id, diversity_score AS v, row_number() OVER (PARTITION BY pair_id ORDER BY scored_at, diversity_score) AS a, row_number() OVER (PARTITION BY pair_id ORDER BY scored_at DESC, diversity_score DESC) AS b FROM sample_pairs WHERE diversity_score IS NOT NULL AND NOT isnan(diversity_score) AND scored_at IS NOT NULL),
 g AS (SELECT pair_id, max(v) FILTER (a = 1) AS f, max(v) FILTER (b = 1) AS r FROM s GROUP BY 1), t AS (SELECT *, CASE WHEN f > 0.6 THEN 'A' WHEN f < 0.4 THEN 'B' ELSE 'TIE' END AS x, CASE WHEN r > 0.6 THEN 'A' WHEN r < 0.4 THEN 'B' ELSE 'TIE' END AS y FROM g)"""
@@ -114,7 +104,6 @@ SQL = {
     "swap_stability": f"WITH {_TWICE} SELECT count(*) AS n, count(*) FILTER (x = y) AS n_stable, round(1 - count(*) FILTER (x = y) / count(*), 9) AS swap_rate FROM t",
     "self_preference": f"WITH {_PATHS}, g AS (SELECT model, count(*) AS n, count(*) FILTER (ok) AS k FROM t WHERE model IS NOT NULL AND ok IS NOT NULL GROUP BY 1), a AS (SELECT sum(n) AS tn, sum(k) AS tk FROM g) SELECT model, n, round(k / n - (tk - k) / (tn - n), 9) AS delta FROM g, a",
     "truncate_to_shortest": "WITH p AS (SELECT provenance.pair_id AS pair_id, coalesce(any_value(pair.chosen), '') AS c, coalesce(any_value(pair.rejected), '') AS r FROM dpo_pairs_v1 GROUP BY 1) SELECT pair_id, CAST(least(length(c), length(r)) AS INT) AS n, md5(left(c, least(length(c), length(r)))) AS chosen_md5, md5(left(r, least(length(c), length(r)))) AS rejected_md5 FROM p",
-    "rewards": f"WITH {_PATHS}, r AS (SELECT problem_id, CASE WHEN ok IS NULL THEN -0.1 WHEN ok THEN 1.0 ELSE 0.0 END::DOUBLE AS r FROM t) SELECT problem_id, count(*) AS n, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS std FROM r GROUP BY 1",
     "policy_terms": f"WITH {_PATHS}, u AS (SELECT *, avg(ln(c)) OVER (PARTITION BY model) AS old FROM t WHERE model IS NOT NULL AND c > 0), v AS (SELECT model, exp(ln(c) - old) AS ratio, CASE WHEN ok THEN 1.0 ELSE -1.0 END::DOUBLE AS adv, exp(old - ln(c)) - (old - ln(c)) - 1 AS k FROM u) SELECT model, count(*) AS n, round(-avg(least(ratio * adv, least(greatest(ratio, 0.8::DOUBLE), 1.2::DOUBLE) * adv)), 5) AS loss, round(avg(k), 5) AS kl FROM v GROUP BY 1",
     "acceptance": "WITH l AS (SELECT l_linenumber, CAST(sum(least(CAST(l_quantity AS BIGINT) % 6, 5)) AS BIGINT) AS accepted, count(*) * 5 AS drafted FROM lineitem GROUP BY 1) SELECT *, round(accepted / drafted, 9) AS rate, round(5 * accepted / drafted + 1, 6) AS speedup FROM l",
     "plot_rows": "WITH e AS (SELECT date_trunc('day', ts) AS day, round(avg(value), 4) AS v FROM events GROUP BY 1), m AS (SELECT min(v) AS lo, max(v) AS hi FROM e) SELECT CAST(epoch(day) AS BIGINT) AS day, v, CAST(coalesce(floor((v - lo) * 11 / nullif(hi - lo, 0)), 0) AS BIGINT) AS row FROM e, m",
