@@ -160,7 +160,7 @@ def symbolic_equal(a: Column | str, b: Column | str) -> Column:
 
     @arrow_udf("boolean")
     def same(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([same_assignments(s, t) or equal(s, t) for s, t in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
+        return pa.array([s is not None and t is not None and (same_assignments(s, t) or equal(s, t)) for s, t in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
 
     return same(a, b)
 

@@ -56,8 +56,8 @@ def verified(df: DataFrame, reasoning: str, gold: str) -> DataFrame:
     df = compute_once(df, {"_by": known})
     # Two numbers that differ, and empty answers, can't be one expression.
     open_ = F.col("_by").isNull() & ~(F.col("_qv").isNotNull() & F.col("_gv").isNotNull()) & (F.col("_pn") != "") & (F.col("_gn") != "")
-    rest = df.where(open_).withColumn("_by", F.when(symbolic_equal("_pn", "_gn"), "expression"))
-    out = df.where(~open_).unionByName(rest)
+    left = [F.when(F.coalesce(open_, F.lit(False)), F.col(c)) for c in ("_pn", "_gn")]
+    out = df.withColumn("_by", F.coalesce("_by", F.when(symbolic_equal(*left), "expression")))
     status = F.when(F.col("_by") == "none", "parse_error").when(F.col("_by").isNotNull(), "correct").otherwise("incorrect")
     sure = F.when(F.col("_by").isNull(), 0.0).otherwise(1.0)
     return out.withColumns({"status": status, "confidence": sure, "by": F.nullif("_by", F.lit("none"))}).drop("_gold", "_f", "_p", "_g", "_gv", "_pv", "_q", "_pn", "_gn", "_qv", "_by")
