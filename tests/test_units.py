@@ -168,8 +168,15 @@ def test_robustness(spark):
     rows = [("c", True, True, k < 5) for k in range(10)]
     o = spark.createDataFrame(rows, "change string, applicable boolean, before boolean, after boolean")
     assert robustness.retention(o).first().retention == 0.5
-    b = robustness.bootstrap(spark.range(200).selectExpr("id", "'g' AS g", "CAST(id % 2 AS double) AS v"), "id", "g", "v").first()
-    assert b.low < b["mean"] == 0.5 < b.high
+    rows = spark.range(200).selectExpr("id", "'g' AS g", "CAST(id % 2 AS double) AS v", "1 AS low").unionAll(spark.sql("SELECT 7L, 'one', 3D, 1 UNION ALL SELECT 8L, 'none', NULL, 1 UNION ALL SELECT NULL, 'g', 9D, 1"))
+    got = {r.group: r for r in robustness.bootstrap_metric(rows, "id", "g", {"s": F.col("v"), "n": F.col("v").isNotNull().cast("int")}, F.try_divide("s", "n")).collect()}
+    assert got["g"].low < got["g"].value == 0.5 < got["g"].high and got["g"].high - got["g"].low < 0.2
+    assert (got["one"].low, got["one"].value, got["one"].high) == (3, 3, 3) and got["none"].value is None and got["none"].low is None
+    p = spark.createDataFrame([("a", "Ann has 4 bags of 3. Bob has 2. Who won?", "12", "<<4*3=12>>", 1), ("b", None, None, None, 1)], "id string, problem string, answer string, full_solution string, change int")
+    out = {(r.id, r.change): r for r in perturb.apply_all(p).collect()}
+    assert len(out) == 12 and list(perturb.REGISTRY)[0] == "number_swap" and not out["b", "reordering"].applicable
+    swap = out["a", "number_swap"]
+    assert swap.applicable and swap.rewrites and swap.text != "Ann has 4 bags of 3. Bob has 2. Who won?" and out["a", "irrelevant_context"].new_answer == "12"
     assert spark.createDataFrame([(2.0,), (8.0,)], "v double").select(robustness.geometric_mean(F.col("v")).alias("g")).first().g == pytest.approx(4.0)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.answers import parse_float
 from tracemill.functions.text import strip
+from tracemill.runtime import compute_once
 
 # Unit words, what they become, and the factor.
 UNITS = (("dollars|dollar", "cents", 100.0), ("hours|hour", "minutes", 60.0), ("kilograms|kilogram", "grams", 1000.0), ("kg|kg", "g", 1000.0))
@@ -16,14 +17,19 @@ PRONOUNS = r"(?i)\b(he|she|it|they|him|her|them|his|hers|its|their|theirs|that|t
 DISTRACTING = (7, 11, 13, 17, 19, 23)
 ASIDES = (
     "Rain is expected over the hills tonight.", "The ferry leaves from the northern pier.", "A violin was playing two streets away.", "The orchard wall was painted last spring.", "Nobody had closed the garden gate.",
-    "The clock in the hall runs slightly fast.", "Somebody left a green scarf on the bench.", "The post is usually late on Fridays.",
+    "The clock in the hall runs slightly fast.", "Somebody left a green scarf on the bench.", "The post is usually late on Fridays.", "A heron stood by the pond all morning.", "The lighthouse has been empty for years.",
+    "Lavender grows along the railway line.", "The baker whistles when the oven is hot.", "An umbrella was forgotten in the tram.", "The choir practises in the old granary.", "Fog often hides the lower valley.",
+    "The mayor collects maps of small islands.", "Two kites were caught in the poplar.", "The well behind the inn has run dry.", "A blue door opens onto the courtyard.", "The harvest festival was moved to Sunday.",
+)
+DISTRACTORS = (
+    "The hill behind the mill has {} steps.", "Someone counted {} swans on the lake.", "The old theatre has {} doors.", "A map on the wall shows {} villages.", "The choir owns {} candlesticks.", "On the pier {} boats were waiting.", "The tower clock has been repaired {} times.",
 )
-DISTRACTORS = ("The hill behind the mill has {} steps.", "Someone counted {} swans on the lake.", "The old theatre has {} doors.", "A map on the wall shows {} villages.")
 
 
 def draw(key: Column, name: str, n: Column | int, seed: int = 0) -> Column:
-    """A number from 0 to n - 1."""
-    return F.pmod(F.xxhash64(key, F.lit(name), F.lit(seed)), n if isinstance(n, Column) else F.lit(n)).cast("int")
+    """A number from 0 to n - 1, from the first eight digits of the MD5 of key, name and seed."""
+    digits = F.substring(F.md5(F.concat_ws(":", key, F.lit(name), F.lit(str(seed)))), 1, 8)
+    return (F.conv(digits, 16, 10).cast("long") % (n if isinstance(n, Column) else F.lit(n))).cast("int")
 
 
 def scaled(value: Column) -> Column:
@@ -74,6 +80,7 @@ def paraphrases(text: Column) -> Column:
     low = F.lower(text)
     once = lambda pattern, new: F.concat(F.regexp_extract(text, rf"(?is)^(.*?){pattern}", 1), F.lit(new), F.regexp_extract(text, rf"(?is)^.*?{pattern}(.*)$", 1))
     so = r"(?s)([A-Z])([^.!?]*?),\s+so\s+([a-z])(.*)$"
+    # What each rule looks for and what it puts there.
     rules = [
         F.when(low.contains(" and then "), once(r"\s+and then\s+", "; after that ")),
         F.when(text.rlike(so), F.concat(F.lit("Because "), F.lower(F.regexp_extract(text, so, 1)), F.regexp_extract(text, so, 2), F.lit(", "), F.upper(F.regexp_extract(text, so, 3)), F.regexp_extract(text, so, 4))),
@@ -105,3 +112,32 @@ def number_swap(key: Column, text: Column, answer: Column, solution: Column, see
     new = F.when(new == old, F.when(old < high, high).otherwise(low)).otherwise(new)
     ok = reason.isNull()
     return F.struct(ok.alias("applicable"), reason.alias("reason"), F.when(ok, pick).alias("operand"), F.when(ok, new.cast("string")).alias("new_operand"), F.when(ok, scaled(a * new / old)).alias("answer"))
+
+
+#: The perturbations in canonical order, and whether they change the label.
+REGISTRY = {"number_swap": True, "unit_change": True, "irrelevant_context": False, "distractor_sentence": False, "paraphrase": False, "reordering": False}
+
+
+def apply_all(problems: DataFrame, seed: int = 0) -> DataFrame:
+    """A row for every problem (id, problem, answer, full_solution) and perturbation: change, rewrites, applicable, reason, text and answer.
+
+    Where a perturbation doesn't apply the text stays; where it keeps the label
+    the answer is that of the problem. Null texts count as empty.
+    """
+    text, answer, key = F.col("problem"), F.col("answer"), F.col("id")
+    p = problems.select("id", F.coalesce("problem", F.lit("")).alias("problem"), F.coalesce("answer", F.lit("")).alias("answer"), "full_solution")
+    p = compute_once(p, {"parts": sentences(text)})
+    p = compute_once(p, {"swap": number_swap(key, text, answer, F.col("full_solution"), seed), "unit": unit_change(text, answer), "order": reordering(F.col("parts"), text), "rules": paraphrases(text)})
+    rule = F.try_element_at(F.col("rules"), draw(key, "rule", F.greatest(F.size("rules"), F.lit(1)), seed) + 1)
+    swapped = F.regexp_replace(text, F.concat(F.lit(r"(?<![\w.])-?\Q"), F.ltrim(F.col("swap.operand"), F.lit("-")), F.lit(r"\E(?![\w.])")), F.col("swap.new_operand"))
+    none = F.lit(None).cast("string")
+
+    def outcome(name: str, applicable: Column, reason: Column, new: Column, label: Column) -> Column:
+        return F.struct(F.lit(name).alias("change"), F.lit(REGISTRY[name]).alias("rewrites"), applicable.alias("applicable"), reason.alias("reason"), F.when(applicable, new).otherwise(text).alias("text"), F.coalesce(F.when(applicable, label), answer).alias("new_answer"))
+
+    out = [
+        outcome("number_swap", F.col("swap.applicable"), F.col("swap.reason"), swapped, F.col("swap.answer")), outcome("unit_change", F.col("unit.applicable"), F.col("unit.reason"), F.col("unit.text"), F.col("unit.answer")),
+        outcome("irrelevant_context", F.lit(True), none, aside(key, text, seed), none), outcome("distractor_sentence", F.lit(True), none, distractor(key, F.col("parts"), text, answer, seed), none),
+        outcome("paraphrase", F.size("rules") > 0, F.when(F.size("rules") == 0, "no_rule"), rule, none), outcome("reordering", F.col("order.applicable"), F.col("order.reason"), F.col("order.text"), none),
+    ]
+    return p.select("id", F.inline(F.array(*out)))

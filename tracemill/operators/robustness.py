@@ -24,21 +24,41 @@ def geometric_mean(values: Column) -> Column:
     return F.coalesce(F.when(F.min(values) <= 0, 0.0).otherwise(F.exp(F.avg(F.ln(F.when(values > 0, values))))), F.lit(0.0))
 
 
-def bootstrap(rows: DataFrame, key: str, group: str, value: str, resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """(group, mean, low, high): percentile interval of a mean by Poisson resampling.
+#: Weights of a Poisson draw with mean 1 start at these values of a number from 0 to 1.
+STARTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
 
-    A row's weight in a resample is drawn from a hash of its key, so that rows
-    are weighted where they lie and only sums per resample are shuffled.
+
+def weight(key: Column, resample: Column, seed: int = 0) -> Column:
+    """How often a key is in a resample: a Poisson draw from the MD5 of key, resample and seed."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), resample.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    w = F.lit(0)
+    for k, start in enumerate(STARTS, 1):
+        w = F.when(u >= start, k).otherwise(w)
+    return w
+
+
+def bootstrap_metric(rows: DataFrame, key: str, group: str, sums: dict[str, Column], metric: Column, resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """(group, value, low, high) of any metric of weighted sums, with a percentile interval.
+
+    Rows with one key are drawn together, so that what belongs together stays
+    so. Only the sums of each resample are shuffled. A resample whose metric is
+    null is passed over; a group without any has null limits, and one row gives
+    its own value for both. Rows with a null group or key are left out.
     """
-    u = F.pmod(F.xxhash64(F.col(key), F.col("resample"), F.lit(seed)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    weight = F.lit(0)
-    total, term = 0.0, 2.718281828459045**-1
-    for k in range(1, 9):
-        total += term
-        weight = F.when(u >= total, k).otherwise(weight)
-        term /= k
-    drawn = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("group"), F.col(value).cast("double").alias("v"), key, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
-    means = drawn.withColumn("w", weight).groupBy("group", "resample").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n")).where("n > 0").withColumn("m", F.col("s") / F.col("n"))
-    low, high = (1 - level) / 2, (1 + level) / 2
-    limits = means.groupBy("group").agg(F.percentile("m", low).alias("low"), F.percentile("m", high).alias("high"))
-    return rows.groupBy(F.col(group).alias("group")).agg(F.avg(F.col(value).cast("double")).alias("mean")).join(limits, "group")
+    base = rows.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(group).alias("group"), F.col(key).alias("_key"), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()))
+    drawn = base.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_w", weight(F.col("_key"), F.col("_b"), seed))
+    values = drawn.where("_w > 0").groupBy("group", "_b").agg(*(F.sum(F.col("_w") * F.col(n)).alias(n) for n in sums)).select("group", metric.alias("m")).where("m is not null")
+    ordered = values.groupBy("group").agg(F.sort_array(F.collect_list("m")).alias("m")).withColumn("n", F.size("m"))
+    alpha = (1 - level) / 2
+    low, high = F.greatest(F.lit(0), F.floor(F.lit(alpha) * F.col("n"))), F.least(F.col("n") - 1, F.ceil(F.lit(1 - alpha) * F.col("n")) - 1)
+    limits = ordered.select("group", F.get("m", low.cast("int")).alias("low"), F.get("m", high.cast("int")).alias("high"))
+    whole = base.groupBy("group").agg(*(F.sum(n).alias(n) for n in sums)).select("group", metric.alias("value"))
+    return whole.join(limits, "group", "left")
+
+
+def kappa() -> Column:
+    """Cohen's kappa of sums tp, fp, fn and tn; null without rows or where chance agrees always."""
+    n = F.nullif(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"), F.lit(0.0))
+    po, a, b = (F.col("tp") + F.col("tn")) / n, (F.col("tp") + F.col("fn")) / n, (F.col("tp") + F.col("fp")) / n
+    pe = a * b + (1 - a) * (1 - b)
+    return F.when(F.abs(1 - pe) > 1e-12, (po - pe) / (1 - pe))

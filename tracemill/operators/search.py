@@ -6,7 +6,10 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tracemill.runtime import cut_lineage
 
 Expand = Callable[[str, str, int], list[str]]
 Score = Callable[[str, str], float]
@@ -70,3 +73,32 @@ def search(problems: DataFrame, method: Callable[..., str], **parts: object) ->
             yield pd.DataFrame({"problem_id": frame["problem_id"], "output": [method(p, **parts) for p in frame["problem"]]})
 
     return problems.select("problem_id", "problem").mapInPandas(run, "problem_id string, output string")
+
+
+# What ends a text, the bonus for it and the price of a letter.
+ENDS, BONUS, PRICE = ("####", "answer is"), 10.0, 0.001
+
+
+def ended(text: Column) -> Column:
+    return text.contains(ENDS[0]) | F.lower(text).contains(ENDS[1])
+
+
+def beam_frame(problems: DataFrame, expand: Callable[[Column, Column], Column], width: int = 4, steps: int = 5) -> DataFrame:
+    """(problem_id, text, score, done): a beam search over all problems at once, a step being one pass over their partial texts.
+
+    expand gives an array of continuations of a text of a problem. A continuation
+    with an answer gains BONUS, and every letter costs PRICE; ties go by the
+    text. A problem is done when its best text has an answer; the others go on
+    for so many steps.
+    """
+    front = problems.select("problem_id", F.lit(0.0).alias("score"), F.lit("").alias("text"), F.lit(False).alias("done"))
+    for k in range(steps):
+        grown = front.where(~F.col("done")).select("problem_id", "score", "text", F.explode(expand(F.col("problem_id"), F.col("text"))).alias("more"))
+        scored = grown.select("problem_id", F.round(F.col("score") + F.when(ended(F.col("more")), BONUS).otherwise(0.0) - F.length("more") * PRICE, 6).alias("score"), F.concat("text", "more").alias("text"))
+        best = scored.withColumn("place", F.row_number().over(Window.partitionBy("problem_id").orderBy(F.col("score").desc(), "text"))).where(F.col("place") <= width)
+        over = F.max((F.col("place") == 1) & ended(F.col("text"))).over(Window.partitionBy("problem_id"))
+        front = best.select("problem_id", "score", "text", over.alias("done")).unionAll(front.where("done").select("problem_id", "score", "text", "done"))
+        if k % 4 == 3:
+            front = cut_lineage(front)
+    top = F.row_number().over(Window.partitionBy("problem_id").orderBy(F.col("score").desc(), "text"))
+    return front.withColumn("place", top).where("place = 1").select("problem_id", "text", "score", "done")

@@ -18,10 +18,13 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 
 def advantages(rewards: DataFrame, group: str = "problem_id", reward: str = "reward", least: float = 1e-6) -> DataFrame:
-    """Rewards less the group's mean, by its population deviation; groups without spread are left out."""
-    w = Window.partitionBy(group)
-    r = rewards.withColumns({"mean": F.avg(reward).over(w), "sd": F.stddev_pop(reward).over(w)})
-    return r.where(F.col("sd") >= least).withColumn("advantage", (F.col(reward) - F.col("mean")) / (F.col("sd") + 1e-8))
+    """Rewards less the group's mean, by its population deviation; groups without spread, and null ones, are left out.
+
+    The groups are aggregated and joined back, so that a crowded one is never in
+    one task.
+    """
+    g = rewards.groupBy(group).agg(F.avg(reward).alias("mean"), F.stddev_pop(reward).alias("sd")).where(F.col("sd") >= least)
+    return rewards.join(g, group).withColumn("advantage", (F.col(reward) - F.col("mean")) / (F.col("sd") + 1e-8))
 
 
 def step_labels(steps: DataFrame) -> DataFrame:
@@ -31,20 +34,25 @@ def step_labels(steps: DataFrame) -> DataFrame:
     return steps.withColumn("label", F.when(failed, 0).otherwise(F.col("label"))).where("label is not null")
 
 
-def best_checkpoint(history: DataFrame, least: float) -> DataFrame:
+def best_checkpoint(history: DataFrame, least: float, patience: int = 0) -> DataFrame:
     """Per run: the last score that beat the best so far by more than least, its step and the evaluations since.
 
     The bar depends on the last accepted score, so this is a fold over the
-    ordered scores of a run.
+    ordered scores of a run. With a patience the fold ends, at the step stopped,
+    once so many evaluations in a row brought nothing.
     """
     ordered = F.array_sort(F.collect_list(F.struct("step", "score")))
-    start = F.struct(F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("step"), F.lit(0).alias("since"))
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(None).cast("double").alias("score"), none.alias("step"), F.lit(0).alias("since"), none.alias("stopped"))
 
     def merge(acc: Column, x: Column) -> Column:
         better = acc["score"].isNull() | (x["score"] > acc["score"] + least)
-        return F.when(better, F.struct(x["score"].alias("score"), x["step"].alias("step"), F.lit(0).alias("since"))).otherwise(F.struct(acc["score"].alias("score"), acc["step"].alias("step"), (acc["since"] + 1).alias("since")))
+        over = F.when(F.lit(patience > 0) & (acc["since"] + 1 >= patience), x["step"])
+        waited = F.struct(acc["score"].alias("score"), acc["step"].alias("step"), (acc["since"] + 1).alias("since"), over.alias("stopped"))
+        return F.when(acc["stopped"].isNotNull(), acc).when(better, F.struct(x["score"].alias("score"), x["step"].alias("step"), F.lit(0).alias("since"), none.alias("stopped"))).otherwise(waited)
 
-    return history.where("score is not null").groupBy("run").agg(F.aggregate(ordered, start, merge).alias("b")).select("run", "b.score", "b.step", "b.since")
+    best = history.where("score is not null").groupBy("run").agg(F.aggregate(ordered, start, merge).alias("b"))
+    return best.select("run", "b.score", "b.step", "b.since", *(["b.stopped"] if patience else []))
 
 
 def running_median(rows: DataFrame) -> DataFrame:

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sample_index(traces: DataFrame) -> DataFrame:
-    """traces with k, the place of a trace among those of its problem, from 0."""
-    return traces.withColumn("k", F.row_number().over(Window.partitionBy("problem_id").orderBy("ord")) - 1)
+def sample_index(traces: DataFrame, most: int) -> DataFrame:
+    """The first most traces of each problem with their place k, from 0; each task keeps no more of a problem before the shuffle."""
+    k = F.row_number().over(Window.partitionBy("problem_id").orderBy("ord"))
+    return traces.withColumn("k", k).where(F.col("k") <= most).withColumn("k", F.col("k") - 1)
 
 
 def pass_at(traces: DataFrame, ks: tuple[int, ...] = (1, 4, 8)) -> DataFrame:
     """(k, problems, passed, rate): problems with a correct trace among their first k."""
-    first = sample_index(traces).where(F.col("is_correct")).groupBy("problem_id").agg(F.min("k").alias("first"))
+    first = sample_index(traces, max(ks)).where(F.col("is_correct")).groupBy("problem_id").agg(F.min("k").alias("first"))
     problems = traces.select("problem_id").distinct().join(first, "problem_id", "left")
     counts = problems.agg(F.count(F.lit(1)).alias("problems"), *(F.count_if(F.col("first") < k).alias(f"p{k}") for k in ks))
     rows = counts.select("problems", F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("passed")) for k in ks))))
@@ -46,6 +47,6 @@ def best_of(traces: DataFrame) -> DataFrame:
 
 def samples_needed(traces: DataFrame, batch: int = 8, most: int = 64) -> DataFrame:
     """(problem_id, samples, solved): samples drawn in batches until one is correct."""
-    t = sample_index(traces).where(F.col("k") < most).groupBy("problem_id").agg(F.min(F.when(F.col("is_correct"), F.col("k"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    t = sample_index(traces, most).groupBy("problem_id").agg(F.min(F.when(F.col("is_correct"), F.col("k"))).alias("first"), F.count(F.lit(1)).alias("n"))
     drawn = F.ceil((F.col("first") + 1) / batch).cast("long") * batch
     return t.select("problem_id", F.coalesce(drawn, F.lit(most).cast("long")).alias("samples"), F.col("first").isNotNull().alias("solved"))

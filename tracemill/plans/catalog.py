@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that each hold QUERIES and SQL.
-MODULES: tuple[str, ...] = ("q_text", "q_pairs", "q_eval", "q_robust", "q_train", "q_more", "q_custom", "q_chain")
+MODULES: tuple[str, ...] = ("q_text", "q_pairs", "q_eval", "q_robust", "q_train", "q_more", "q_custom", "q_chain", "q_runs")
 
 
 def queries() -> dict[str, Query]:
