@@ -112,28 +112,32 @@ def as_number(node: ast.expr) -> float | None:
     return None
 
 
-def equal(a: str | None, b: str | None) -> bool:
-    """Whether two expressions are one rational function, or nearly one number; false if either can't be read."""
-    if a is None or b is None:
-        return False
-    try:
-        x, y = parse(a), parse(b)
-    except ValueError:
-        return False
+def same_function(x: ast.expr, y: ast.expr) -> bool:
+    """Whether two trees are one rational function, by their values at POINTS points; false if either is none."""
     agreed = 0
     for point in range(2 * POINTS):
         try:
             if at_point(x, point) != at_point(y, point):
-                break
+                return False
             agreed += 1
         except (ValueError, RecursionError):  # a pole at this point, or nothing that is a rational function
             continue
         if agreed == POINTS:
             return True
+    return False
+
+
+def equal(a: str | None, b: str | None) -> bool:
+    """Whether two expressions are one rational function, or nearly one number; false if either can't be read."""
+    if a is None or b is None:
+        return False
     try:
+        x, y = parse(a), parse(b)
+        if same_function(x, y):
+            return True
         p, e = as_number(x), as_number(y)
         return p is not None and e is not None and (abs(p) < TOLERANCE if e == 0 else abs(p - e) / abs(e) < TOLERANCE)
-    except (ValueError, ZeroDivisionError, OverflowError, RecursionError):
+    except (ValueError, ZeroDivisionError, OverflowError, RecursionError, TypeError):
         return False
 
 
@@ -166,7 +170,7 @@ def symbolic_equal(a: Column | str, b: Column | str) -> Column:
 
 
 def step_status(step: Column | str) -> Column:
-    """Status of a step: unknown without an equation, parse_error for several or unreadable ones, else correct or incorrect."""
+    """Status of a step: unknown without an equation, parse_error for several or unreadable ones, else correct if it holds exactly, or incorrect."""
 
     @arrow_udf("string")
     def judge(steps: pa.Array) -> pa.Array:
@@ -177,11 +181,13 @@ def step_status(step: Column | str) -> Column:
             try:
                 if len(sides) != 2 or not all(map(str.strip, sides)):
                     return "parse_error"
-                for side in sides:
-                    at_point(parse(side), 0)
+                left, right = map(parse, sides)
+                if same_function(left, right):
+                    return "correct"
+                at_point(left, 0), at_point(right, 0)
             except (ValueError, RecursionError):
                 return "parse_error"
-            return "correct" if equal(*sides) else "incorrect"
+            return "incorrect"
 
         return pa.array([one(s) for s in steps.to_pylist()], pa.string())
 

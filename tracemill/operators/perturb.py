@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.answers import parse_float
-from tracemill.functions.text import strip
+from tracemill.functions.text import let, strip
 from tracemill.runtime import compute_once
 
 # Unit words, what they become, and the factor.
@@ -100,18 +100,30 @@ def number_swap(key: Column, text: Column, answer: Column, solution: Column, see
     product = r"^\s*(-?\d+(?:\.\d+)?)\s*\*\s*(-?\d+(?:\.\d+)?)\s*$"
     factors = F.array(F.regexp_extract(step, product, 1), F.regexp_extract(step, product, 2))
     places = lambda f: F.size(F.split(text, F.concat(F.lit(r"(?<![\w.])-?\Q"), F.ltrim(f, F.lit("-")), F.lit(r"\E(?![\w.])")))) - 1
-    safe = F.filter(factors, lambda f: (parse_float(f) != 0) & (F.abs(parse_float(f) - a) >= 1e-9) & (places(f) == 1))
-    reason = (
-        F.when(solution.isNull() | (solution == ""), "no_solution").when(step.isNull(), "no_step_markers").when(a.isNull() | r.isNull(), "non_numeric_answer").when(F.abs(a - r) > 1e-6, "answer_neq_final_step")
-        .when(~step.rlike(product), "non_multiplicative_final").when(F.size(safe) == 0, "no_safe_operand")
-    )
-    pick = F.try_element_at(safe, draw(key, "factor", F.greatest(F.size(safe), F.lit(1)), seed) + 1)
-    old = parse_float(pick)
-    low, high = F.greatest(F.lit(1), F.round(old / 2)).cast("long"), F.greatest(F.lit(2), F.round(old * 2)).cast("long")
-    new = low + draw(key, "value", (high - low + 1).cast("long"), seed)
-    new = F.when(new == old, F.when(old < high, high).otherwise(low)).otherwise(new)
-    ok = reason.isNull()
-    return F.struct(ok.alias("applicable"), reason.alias("reason"), F.when(ok, pick).alias("operand"), F.when(ok, new.cast("string")).alias("new_operand"), F.when(ok, scaled(a * new / old)).alias("answer"))
+    fits = lambda f: let(parse_float(f), lambda v: (v != 0) & (F.abs(v - a) >= 1e-9)) & (places(f) == 1)
+
+    def swapped(s: Column) -> Column:
+        """The swap for s, a struct of the safe factors and the reason not to swap."""
+        pick = F.try_element_at(s["safe"], draw(key, "factor", F.greatest(F.size(s["safe"]), F.lit(1)), seed) + 1)
+        return let(F.struct(pick.alias("pick"), parse_float(pick).alias("old"), s["reason"].alias("reason")), drawn)
+
+    def drawn(p: Column) -> Column:
+        low, high = F.greatest(F.lit(1), F.round(p["old"] / 2)).cast("long"), F.greatest(F.lit(2), F.round(p["old"] * 2)).cast("long")
+        return let(F.struct(p["pick"].alias("pick"), p["old"].alias("old"), p["reason"].alias("reason"), low.alias("low"), high.alias("high"), (low + draw(key, "value", (high - low + 1).cast("long"), seed)).alias("new")), made)
+
+    def made(p: Column) -> Column:
+        new = F.when(p["new"] == p["old"], F.when(p["old"] < p["high"], p["high"]).otherwise(p["low"])).otherwise(p["new"])
+        ok = p["reason"].isNull()
+        return F.struct(ok.alias("applicable"), p["reason"].alias("reason"), F.when(ok, p["pick"]).alias("operand"), F.when(ok, new.cast("string")).alias("new_operand"), F.when(ok, scaled(a * new / p["old"])).alias("answer"))
+
+    def reasoned(safe: Column) -> Column:
+        reason = (
+            F.when(solution.isNull() | (solution == ""), "no_solution").when(step.isNull(), "no_step_markers").when(a.isNull() | r.isNull(), "non_numeric_answer").when(F.abs(a - r) > 1e-6, "answer_neq_final_step")
+            .when(~step.rlike(product), "non_multiplicative_final").when(F.size(safe) == 0, "no_safe_operand")
+        )
+        return let(F.struct(safe.alias("safe"), reason.alias("reason")), swapped)
+
+    return let(F.filter(factors, fits), reasoned)
 
 
 #: The perturbations in canonical order, and whether they change the label.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.runtime import compute_once, interim_table
+
 
 def vote(verdict: Column) -> Column:
     """Strict majority of the verdicts that aren't null; ties are false, none gives null."""
@@ -28,9 +30,14 @@ def geometric_mean(values: Column) -> Column:
 STARTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
 
 
-def weight(key: Column, resample: Column, seed: int = 0) -> Column:
-    """How often a key is in a resample: a Poisson draw from the MD5 of key, resample and seed."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), resample.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+def uniform(key: Column, resample: Column, seed: int = 0) -> Column:
+    """A number from 0 to 1 out of the MD5 of key, resample and seed."""
+    digits = F.substring(F.md5(F.concat_ws(":", key.cast("string"), resample.cast("string"), F.lit(str(seed)))), 1, 8)
+    return F.conv(digits, 16, 10).cast("long") / F.lit(4294967296.0)
+
+
+def weight(u: Column) -> Column:
+    """How often a key is in a resample: the Poisson draw of a uniform number."""
     w = F.lit(0)
     for k, start in enumerate(STARTS, 1):
         w = F.when(u >= start, k).otherwise(w)
@@ -46,7 +53,8 @@ def bootstrap_metric(rows: DataFrame, key: str, group: str, sums: dict[str, Colu
     its own value for both. Rows with a null group or key are left out.
     """
     base = rows.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(group).alias("group"), F.col(key).alias("_key"), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()))
-    drawn = base.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_w", weight(F.col("_key"), F.col("_b"), seed))
+    base = interim_table(base, "drawn")  # met twice, and what it comes from may be costly
+    drawn = compute_once(base.repartition("group", "_key").withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))), {"_u": uniform(F.col("_key"), F.col("_b"), seed)}).withColumn("_w", weight(F.col("_u")))
     values = drawn.where("_w > 0").groupBy("group", "_b").agg(*(F.sum(F.col("_w") * F.col(n)).alias(n) for n in sums)).select("group", metric.alias("m")).where("m is not null")
     ordered = values.groupBy("group").agg(F.sort_array(F.collect_list("m")).alias("m")).withColumn("n", F.size("m"))
     alpha = (1 - level) / 2
