@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.runtime import interim_table, table
+from tracemill.runtime import dealt, interim_table, table
 
 #: An end that was seen so often is judged: it is a usual one if so large a part of its occurrences is followed by a stop.
 #: A text of statements lacks its last stop only by exception; a final answer stands without one by rule.
@@ -147,12 +147,12 @@ def cut_fields(paths: DataFrame, id_col: str = "path_id", text_col: str = "reaso
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_fields(table(spark, sf_dir, "reasoning_paths"))
+    return cut_fields(dealt(table(spark, sf_dir, "reasoning_paths"), sf_dir, "reasoning_paths"))
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per model (null for unknown): paths, paths with a cut field, and their share."""
-    paths = table(spark, sf_dir, "reasoning_paths")
+    paths = dealt(table(spark, sf_dir, "reasoning_paths"), sf_dir, "reasoning_paths")
     models = paths.where("path_id is not null").groupBy("path_id").agg(F.min("generation_metadata.model").alias("model"))
     cut = cut_fields(paths).select("path_id").distinct().withColumn("cut", F.lit(1))
     joined = models.join(cut, "path_id", "left").groupBy("model").agg(F.count(F.lit(1)).alias("paths"), F.count("cut").alias("cut_paths"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tracemill.llm.visual_form import blocks, visual_form
-from tracemill.runtime import table
+from tracemill.runtime import dealt, table
 
 #: Words of a copied run, and the part of a response that copied runs make up if it only gives the question back.
 RUN, COPIED = 4, 0.8
@@ -308,7 +308,7 @@ def broken_sides(pairs: DataFrame) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "dpo_pairs_v1").select(F.col("provenance.pair_id").alias("pair_id"), "pair.prompt", "pair.chosen", "pair.rejected")
+    return dealt(table(spark, sf_dir, "dpo_pairs_v1").select(F.col("provenance.pair_id").alias("pair_id"), "pair.prompt", "pair.chosen", "pair.rejected"), sf_dir, "dpo_pairs_v1")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

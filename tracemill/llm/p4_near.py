@@ -17,7 +17,7 @@ from pyspark.sql.functions import arrow_udf
 
 from tracemill.llm.visual_form import blocks
 from tracemill.operators.components import component_labels
-from tracemill.runtime import interim_table, table
+from tracemill.runtime import dealt, interim_table, table
 
 #: Likeness asked for, and the banding: a pair at .85 shares one of 16 bands of 8 with probability .994, one at .9 with .9999.
 LIKENESS = 0.85
@@ -350,12 +350,12 @@ def near_groups(df: DataFrame, id_col: str = "path_id", text_col: str = "reasoni
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "reasoning_paths")).where("path_id != group").select(F.col("group").alias("path_id_a"), F.col("path_id").alias("path_id_b"))
+    return near_groups(dealt(table(spark, sf_dir, "reasoning_paths").select("path_id", "reasoning"), sf_dir, "reasoning_paths")).where("path_id != group").select(F.col("group").alias("path_id_a"), F.col("path_id").alias("path_id_b"))
 
 
 def p4_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many groups there are of each size."""
-    groups = near_groups(table(spark, sf_dir, "reasoning_paths"))
+    groups = near_groups(dealt(table(spark, sf_dir, "reasoning_paths").select("path_id", "reasoning"), sf_dir, "reasoning_paths"))
     return groups.groupBy("group").count().groupBy(F.col("count").alias("members")).agg(F.count(F.lit(1)).alias("groups"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tracemill.runtime import table
+from tracemill.runtime import dealt, table
 
 VOCABULARY = os.environ.get("TRACEMILL_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 #: Words up to this many bytes use the contiguous rank array, whose scans are quadratic; longer ones use a heap over the same boundaries.
@@ -158,12 +158,12 @@ def token_ids(text: Column | str, vocabulary: str = VOCABULARY) -> Column:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", token_ids("text").alias("ids"))
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir, "documents").select("doc_id", token_ids("text").alias("ids"))
 
 
 def p7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: documents, tokens, and bytes of text."""
-    docs = table(spark, sf_dir, "documents").select("source", "text", F.size(token_ids("text")).alias("n"))
+    docs = dealt(table(spark, sf_dir, "documents").select("source", "text"), sf_dir, "documents").select("source", "text", F.size(token_ids("text")).alias("n"))
     return docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
 
 

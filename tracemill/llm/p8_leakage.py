@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.llm.visual_form import blocks, to_code_points, unify
-from tracemill.runtime import interim_table, table
+from tracemill.runtime import dealt, interim_table, table
 
 #: Words that make a passage.
 PASSAGE = 12
@@ -233,19 +233,23 @@ def without_leaks(docs: DataFrame, items: DataFrame, **names: str) -> DataFrame:
     return docs.join(hit, F.col(key) == F.col("_leaked"), "left_anti")
 
 
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "documents"), sf_dir, "documents")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+    return leaked_passages(_docs(spark, sf_dir), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 def p8_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per leaked item: documents, longest passage in words, and the smallest document with one so long."""
-    runs = leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    runs = leaked_passages(_docs(spark, sf_dir), table(spark, sf_dir, "eval_items"))
     return runs.groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs"), F.max("n_words").alias("longest"), F.max(F.struct("n_words", (-F.col("doc_id")).alias("neg")))["neg"].alias("neg")).select("item_id", "docs", "longest", (-F.col("neg")).alias("doc_id"))
 
 
 def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source, the documents that stay when leaking ones are removed."""
-    return without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
+    return without_leaks(_docs(spark, sf_dir), table(spark, sf_dir, "eval_items")).groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
 
 
 QUERIES = {"p8_found": p8_found, "p8_longest": p8_longest, "p8_kept": p8_kept}

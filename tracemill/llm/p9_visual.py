@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tracemill.llm.visual_form import visual_form
-from tracemill.runtime import interim_table, table
+from tracemill.runtime import dealt, interim_table, table
 
 
 def visual_form_of(text: Column | str) -> Column:
@@ -49,12 +49,12 @@ def look_alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return look_alike_pairs(table(spark, sf_dir, "documents"))
+    return look_alike_pairs(dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir, "documents"))
 
 
 def p9_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source, how many documents change under the visual form."""
-    docs = table(spark, sf_dir, "documents").select("source", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("source", "text"), sf_dir, "documents")
     formed = docs.withColumn("form", visual_form_of("text"))
     return formed.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("form") != F.col("text")).alias("changed"), F.sum(F.length("text")).alias("chars_before"), F.sum(F.length("form")).alias("chars_after"))
 
