@@ -259,6 +259,32 @@ def test_readers_and_sinks(spark, tmp_path):
         readers.loader("nothing")
     p = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "pair_id string, x int")
     assert sinks.append_new(p, str(tmp_path / "pairs")) == 2 and sinks.append_new(p.union(spark.createDataFrame([("c", 3)], p.schema)), str(tmp_path / "pairs")) == 1
+    odd = f"file:{tmp_path}/uri pairs"
+    assert [sinks.append_new(p, odd) for _ in range(2)] == [2, 0] and spark.read.parquet(odd).count() == 2
+    assert sinks.held_keys(spark, str(tmp_path / "none")) is None and sinks.append_new(p.limit(0), str(tmp_path / "empty")) == 0
+    flat = str(tmp_path / "flat")
+    spark.createDataFrame([("p", "c", "r")], "prompt string, chosen string, rejected string").write.parquet(flat)
+    assert [sinks.migrate_path(spark, flat, "2026-01-01T00:00:00+00:00") for _ in range(2)] == [True, False]
+    assert sinks.is_v1(spark.read.parquet(flat)) and spark.read.parquet(flat + ".bak").columns == ["prompt", "chosen", "rejected"]
+    counts = spark.createDataFrame([("a b", 1, 2, 3, None, 0.5)], "pair string, tp long, fp long, fn long, tn long, kappa double")
+    sinks.confusion_files(counts, str(tmp_path / "rep"), "confusion")
+    assert spark.read.json(str(tmp_path / "rep" / "confusion")).first().matrix == [[1, 2], [3, 0]]
+    text = sinks.markdown_table(counts.select("pair", "kappa"), "Agreement")
+    assert text.startswith("## Agreement") and "| a b | 0.5000 |" in text and "More than 0 rows." in sinks.markdown_table(counts, "x", 0)
+    judged = spark.createDataFrame([(1, False, True, None), (2, True, True, "X"), (3, None, True, "X")], "path_id long, a boolean, b boolean, reason_code string")
+    sinks.shortcut_lines(judged, str(tmp_path / "cuts"))
+    assert [(r.path_id, r.reason) for r in spark.read.json(str(tmp_path / "cuts")).collect()] == [(1, "OTHER")]
+    sinks.outcome_lines(judged.withColumn("change", F.lit("swap")), str(tmp_path / "outcomes"))
+    assert {r.change for r in spark.read.json(str(tmp_path / "outcomes")).collect()} == {"swap"}
+    sinks.point_to_latest(spark, str(tmp_path), "r7")
+    sinks.training_step(spark, str(tmp_path / "log"), 3, loss=0.5)
+    assert spark.read.json(str(tmp_path / "latest.json")).first().run == "r7" and spark.read.json(str(tmp_path / "log")).first().loss == 0.5
+    assert sinks.checkpoint_of(spark, str(tmp_path)) is None
+    (tmp_path / "final").mkdir()
+    assert sinks.checkpoint_of(spark, str(tmp_path)).endswith("final")
+    samples = spark.createDataFrame([(1, True), (2, False), (3, None)], "path_id long, is_correct boolean")
+    sinks.run_outputs(samples, spark.createDataFrame([("q", "c", "r")], "problem string, chosen string, rejected string"), str(tmp_path / "out"), kept=samples.limit(1))
+    assert spark.read.json(str(tmp_path / "out" / "stats")).first().asDict() == {"samples": 3, "correct": 1, "incorrect": 1, "pairs": 1} and (tmp_path / "out" / "filtered_samples").is_dir()
     old = sinks.migrate_pairs(spark.createDataFrame([("p", "c", "r")], "prompt string, chosen string, rejected string"), "2026-01-01T00:00:00+00:00").first()
     assert old.provenance.generator_backend == "legacy" and old.quality_score is None and old.pair.problem_id.startswith("legacy_")
     run = sinks.RunRecord(str(tmp_path / "run"), "r")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from tracemill.functions.symbolic import symbolic_equal
 from tracemill.operators import dedup, hooks, search
 from tracemill.plans.views import TRACES, words_sql
 from tracemill.plans.views import traces as traces_view
-from tracemill.runtime import compute_once, shared_dir, table
+from tracemill.runtime import compute_once, interim_path, table
 from tracemill.streaming import messages, pipelines
 
 
@@ -65,17 +63,16 @@ def _events_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """The rows a stream gives for what is there, as a table in the shared folder."""
-    folder = f"{shared_dir(spark)}/streams"
-    tag = tempfile.mktemp(prefix="s", dir="")
-    out = f"{folder}/{tag}/out"
+    """The rows a stream gives for what is there, as a table in the shared folder; its state is removed with the application's interim tables."""
+    path = interim_path(spark, "stream")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/out/batch=-1")
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{folder}/{tag}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -99,11 +96,31 @@ def stream_stage(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, kept)
 
 
-QUERIES = {f.__name__: f for f in (near_dedup, near_pairs, symbolic_verify, generate_stub, tree_search_stub, lru_cache, stream_windows, stream_first_seen, stream_stage)}
+def stream_bridge(spark: SparkSession, d: str) -> DataFrame:
+    """Trace messages taken from one topic, worked on, and put into another; what is broken is left out."""
+    src = _events_stream(spark, d)
+    sent = messages.envelope(src.select(F.col("user_id").cast("string").alias("key"), F.struct("event_id", "value").alias("data")), messages.TOPICS["raw_reasoning"], "raw_reasoning", F.lit(0.0))
+    out = pipelines.bridge(sent, "event_id long, value double", lambda x: x.where("value > 10").withColumn("value", F.round(F.col("value") * 2, 4)), "verified_path", F.lit(1.0))
+    return _streamed(spark, out).select("topic", "key", F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.data.event_id").cast("long").alias("event_id"), F.get_json_object("value", "$.data.value").cast("double").alias("value"))
+
+
+QUERIES = {f.__name__: f for f in (near_dedup, near_pairs, symbolic_verify, generate_stub, tree_search_stub, lru_cache, stream_windows, stream_first_seen, stream_stage, stream_bridge)}
 _SETS = f"sets AS MATERIALIZED (SELECT ord, problem_id, list_distinct({words_sql('reasoning')}) AS s FROM traces)"
 _COMMON = "len(list_intersect(a.s, b.s))"
 SQL = {
     "near_pairs": f"WITH {TRACES}, {_SETS}, j AS (SELECT a.ord AS a, b.ord AS b, {_COMMON} / (len(a.s) + len(b.s) - {_COMMON}) AS j FROM sets a JOIN sets b ON a.problem_id = b.problem_id AND a.ord < b.ord AND len(a.s) > 0 AND least(len(a.s), len(b.s)) > 0.85 * greatest(len(a.s), len(b.s))) SELECT a, b, round(j, 6) AS likeness FROM j WHERE j > 0.85",
     "stream_first_seen": "SELECT DISTINCT user_id || '|' || event_type AS key FROM events",
     "generate_stub": r"SELECT id AS problem_id, problem, CAST(k AS INT) AS k, length(coalesce(problem, '')) || ' words' || chr(10) || '#### ' || k AS reasoning, CAST(NULL AS VARCHAR) AS error FROM problems, range(4) r(k)",
+    "stream_bridge": "SELECT 'reasoning-verified' AS topic, CAST(user_id AS VARCHAR) AS key, 'verified_path' AS type, event_id, round(value * 2, 4) AS value FROM events WHERE value > 10",
+    "stream_stage": "SELECT CAST(user_id AS VARCHAR) AS key, event_id, value FROM events WHERE value > 10",
+    # In append mode a window is given out once the watermark, ten minutes behind the last event, has passed its end.
+    "stream_windows": "WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) SELECT start, start + INTERVAL 1 HOUR AS end, event_type, n, total FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)",
+    # Greedy deduplication, trace by trace: a kept trace that is alike is met first in the order of keeping, and makes place for a more confident one.
+    "near_dedup": f"""WITH RECURSIVE {TRACES}, {_SETS}, o AS MATERIALIZED (SELECT t.ord, t.problem_id, confidence AS c, s, row_number() OVER (PARTITION BY t.problem_id ORDER BY t.ord) AS k FROM traces t JOIN sets USING (ord)),
+        alike AS MATERIALIZED (SELECT a.problem_id, a.ord AS x, b.ord AS y FROM o a JOIN o b ON a.problem_id = b.problem_id AND a.ord <> b.ord AND len(a.s) > 0 AND len(b.s) > 0 AND least(len(a.s), len(b.s)) > 0.85 * greatest(len(a.s), len(b.s)) WHERE {_COMMON} > 0.85 * (len(a.s) + len(b.s) - {_COMMON})),
+        near AS MATERIALIZED (SELECT x, list(y) AS ys FROM alike GROUP BY 1), n AS MATERIALIZED (SELECT o.ord, o.problem_id, c, k, coalesce(ys, []) AS ys FROM o LEFT JOIN near ON x = ord),
+        g AS (SELECT problem_id, k, [{{'ord': ord, 'c': c}}] AS kept FROM n WHERE k = 1
+            UNION ALL SELECT n.problem_id, n.k, (SELECT CASE WHEN hit IS NULL THEN list_append(g.kept, {{'ord': n.ord, 'c': n.c}}) WHEN n.c > hit.c THEN list_append(list_filter(g.kept, lambda z: z.ord <> hit.ord), {{'ord': n.ord, 'c': n.c}}) ELSE g.kept END FROM (SELECT list_filter(g.kept, lambda z: list_contains(n.ys, z.ord))[1] AS hit)) FROM g JOIN n ON n.problem_id = g.problem_id AND n.k = g.k + 1),
+        f AS (SELECT problem_id, unnest(kept).ord AS ord FROM g WHERE (problem_id, k) IN (SELECT problem_id, max(k) FROM n GROUP BY 1))
+        SELECT problem_id, count(*) AS kept, CAST(sum(ord) AS BIGINT) AS ord_sum FROM f GROUP BY 1""",
 }

@@ -72,15 +72,6 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 _FOLDERS: set[str] = set()
 
 
@@ -93,20 +84,41 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+def _remove_at_end(spark: SparkSession, folder: str) -> None:
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder.
+
+    The application's checkpoints lie in a folder of their own, which is removed
+    when its driver ends.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    _remove_at_end(spark, context.getCheckpointDir().get())
+    return df.checkpoint(eager=True)
+
+
+def interim_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; all of an application's are removed when its driver ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/interim/{spark.sparkContext.applicationId}"
+    _remove_at_end(spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def interim_table(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet to the shared folder and read it back.
 
     Cheaper on disk than a checkpoint for wide rows, and survives lost executors.
-    The application's tables are removed when its driver ends.
     """
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/interim/{spark.sparkContext.applicationId}"
-    if folder not in _FOLDERS:
-        _FOLDERS.add(folder)
-        atexit.register(_remove, spark, folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = interim_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import first_filled, legacy_id
+from tracemill.runtime import interim_table
 
 
 def json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -17,17 +18,24 @@ def json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def run_outputs(samples: DataFrame, pairs: DataFrame, folder: str) -> None:
-    """All, correct and incorrect samples, the pairs, and pairs as prompt, chosen and rejected; samples are computed once."""
-    samples = samples.persist()
-    try:
-        json_lines(samples, f"{folder}/all_samples")
-        json_lines(samples.where("is_correct"), f"{folder}/correct_samples")
-        json_lines(samples.where("not is_correct"), f"{folder}/incorrect_samples")
-    finally:
-        samples.unpersist()
+def run_outputs(samples: DataFrame, pairs: DataFrame, folder: str, kept: DataFrame | None = None, smart: DataFrame | None = None) -> None:
+    """All, filtered, correct and incorrect samples, the pairs whole, smart, and as prompt, chosen and rejected, and their counts.
+
+    Samples are written once and read back for what is taken from them. kept and
+    smart stand for the filtered samples and the smart pairs, where there are any.
+    """
+    spark = samples.sparkSession
+    json_lines(samples, f"{folder}/all_samples")
+    back = spark.read.schema(samples.schema).json(f"{folder}/all_samples")
+    json_lines(back.where("is_correct"), f"{folder}/correct_samples")
+    json_lines(back.where("not is_correct"), f"{folder}/incorrect_samples")
     json_lines(pairs, f"{folder}/full_pairs")
     json_lines(dpo_columns(pairs), f"{folder}/dpo_pairs")
+    for name, df in (("filtered_samples", kept), ("smart_pairs", smart)):
+        if df is not None:
+            json_lines(df, f"{folder}/{name}")
+    counts = back.agg(F.count(F.lit(1)).alias("samples"), F.count_if("is_correct").alias("correct"), F.count_if(~F.col("is_correct")).alias("incorrect"))
+    json_lines(counts.crossJoin(pairs.agg(F.count(F.lit(1)).alias("pairs"))).coalesce(1), f"{folder}/stats")
 
 
 def dpo_columns(pairs: DataFrame) -> DataFrame:
@@ -35,17 +43,118 @@ def dpo_columns(pairs: DataFrame) -> DataFrame:
     return pairs.select(prompt.alias("prompt"), "chosen", "rejected")
 
 
-def append_new(pairs: DataFrame, folder: str, key: str = "pair_id") -> int:
-    """Append the pairs whose key the folder doesn't hold yet, the first of each; how many the folder gained."""
+def _path(spark: SparkSession, path: str):
+    """A path of the session's file system, and that file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def held_keys(spark: SparkSession, folder: str, key: str = "pair_id") -> DataFrame | None:
+    """The keys that the shards of a folder hold, on any file system; None if there are none yet."""
+    path, fs = _path(spark, f"{folder.rstrip('/')}/shard=*")
+    return spark.read.parquet(*[str(s.getPath()) for s in found]).select(key) if (found := fs.globStatus(path)) else None
+
+
+def append_new(pairs: DataFrame, folder: str, key: str = "pair_id", rows: int = 1_000_000) -> int:
+    """Append the pairs whose key the folder doesn't hold yet, the first of each; how many the folder gained.
+
+    Each call writes one shard, named by how many rows the folder holds with it,
+    in files of up to rows rows. Null keys are left out. An empty gain writes
+    nothing. Works on whatever file system the folder is on.
+    """
     spark = pairs.sparkSession
-    fresh = pairs.dropDuplicates([key])
-    held = 0
-    if os.path.isdir(folder.removeprefix("file://")) and any(f.endswith(".parquet") for f in os.listdir(folder.removeprefix("file://"))):
-        old = spark.read.parquet(folder).select(key)
-        held = old.count()
-        fresh = fresh.join(old, key, "left_anti")
-    fresh.write.mode("append").parquet(folder)
-    return spark.read.parquet(folder).count() - held
+    fresh = pairs.where(F.col(key).isNotNull()).dropDuplicates([key])
+    old = held_keys(spark, folder, key)
+    fresh = interim_table(fresh if old is None else fresh.join(old, key, "left_anti"), "fresh")
+    gained = fresh.count()
+    if gained:
+        path, fs = _path(spark, f"{folder.rstrip('/')}/shard=*")
+        total = gained + max([int(str(s.getPath()).rsplit("shard=", 1)[1]) for s in fs.globStatus(path) or []], default=0)
+        fresh.write.mode("errorifexists").option("maxRecordsPerFile", rows).parquet(f"{folder.rstrip('/')}/shard={total:012}")
+    return gained
+
+
+def replace_path(df: DataFrame, path: str) -> None:
+    """Put df in the place of a Parquet path that it may be read from: written beside it, then renamed, with what was there before kept once as .bak."""
+    spark = df.sparkSession
+    new, old, kept = (f"{path.rstrip('/')}{end}" for end in (".new", "", ".bak"))
+    df.write.mode("overwrite").parquet(new)
+    target, fs = _path(spark, old)
+    backup = _path(spark, kept)[0]
+    if fs.exists(target):
+        if fs.exists(backup):
+            fs.delete(target, True)
+        else:
+            fs.rename(target, backup)
+    fs.rename(_path(spark, new)[0], target)
+
+
+def is_v1(df: DataFrame) -> bool:
+    """Whether pairs have the form of records with pair and provenance."""
+    return {"pair", "provenance"} <= set(df.columns)
+
+
+def migrate_path(spark: SparkSession, path: str, at: str) -> bool:
+    """Bring a Parquet path of flat pairs to the form of records, in place; false if it has that form already."""
+    df = spark.read.parquet(path)
+    if is_v1(df):
+        return False
+    replace_path(migrate_pairs(df, at), path)
+    return True
+
+
+def confusion_files(counts: DataFrame, folder: str, name: str) -> None:
+    """A JSON file per pair of raters of the counts tp, fp, fn and tn, as a two by two matrix; null counts are 0."""
+    cell = lambda c: F.coalesce(c, F.lit(0))
+    matrix = F.array(F.array(cell("tp"), cell("fp")), F.array(cell("fn"), cell("tn")))
+    json_lines(counts.select("pair", matrix.alias("matrix"), "kappa").repartition(1, "pair"), f"{folder}/{name}")
+
+
+def shortcut_lines(judged: DataFrame, path: str) -> None:
+    """The rows that the verifier accepts (b) and a judge rejects (a), as JSON lines with their reason."""
+    json_lines(judged.where(F.col("b") & ~F.col("a")).withColumn("reason", F.coalesce("reason_code", F.lit("OTHER"))).drop("reason_code"), path)
+
+
+def outcome_lines(outcomes: DataFrame, path: str) -> None:
+    """Outcomes of problems under changes, as JSON lines in folders by change."""
+    outcomes.write.mode("errorifexists").option("ignoreNullFields", "false").partitionBy("change").json(path)
+
+
+def markdown_table(df: DataFrame, title: str, most: int = 200) -> str:
+    """A heading and a table of a small result, in the order of its first columns; more than most rows are told, not shown."""
+    rows = df.orderBy(*df.columns[:2]).limit(most + 1).collect()
+    cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(cell(r[c]) for c in df.columns) + " |" for r in rows[:most])]
+    return "\n".join([*lines, *(["", f"More than {most} rows."] if len(rows) > most else []), ""])
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A text file on any file system; one that is there is replaced."""
+    target, fs = _path(spark, path)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def point_to_latest(spark: SparkSession, folder: str, run: str) -> None:
+    """Make latest.json of a folder name a run."""
+    write_text(spark, json.dumps({"run": run, "at": _now()}), f"{folder.rstrip('/')}/latest.json")
+
+
+def checkpoint_of(spark: SparkSession, folder: str) -> str | None:
+    """The best checkpoint of a run's folder, else its final one; None if it has neither."""
+    for name in ("best_checkpoint", "final"):
+        path, fs = _path(spark, f"{folder.rstrip('/')}/{name}")
+        if fs.exists(path):
+            return str(path)
+    return None
+
+
+def training_step(spark: SparkSession, folder: str, step: int, **values: float) -> None:
+    """One step of a training log, as a JSON line of its own file, so that writers never share one."""
+    write_text(spark, json.dumps({"step": step, **values}) + "\n", f"{folder.rstrip('/')}/step={step:012}.json")
 
 
 def migrate_pairs(df: DataFrame, at: str) -> DataFrame:

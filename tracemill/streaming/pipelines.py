@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracemill.streaming.messages import open_envelope
+from tracemill.streaming.messages import TOPICS, envelope, open_envelope
 
 
 def stage(messages: DataFrame, data_schema: str, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -17,6 +17,36 @@ def stage(messages: DataFrame, data_schema: str, fn: Callable[[DataFrame], DataF
     return fn(opened).na.drop("all")
 
 
+def bridge(messages: DataFrame, data_schema: str, fn: Callable[[DataFrame], DataFrame], kind: str, at: Column | None = None) -> DataFrame:
+    """Messages of one topic, worked on by fn, as messages of the topic of kind; their key stays."""
+    done = stage(messages, data_schema, fn)
+    return envelope(done.select("key", F.struct(*(c for c in done.columns if c != "key")).alias("data")), TOPICS[kind], kind, at)
+
+
+def run_bounded(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, most: int) -> int:
+    """Give sink the rows that are there until it has had most of them, and stop at the first batch that reaches it or when nothing is left; how many it had.
+
+    Rows beyond most in the last batch are not given and count as read.
+    """
+    had = 0
+
+    def some(batch: DataFrame, number: int) -> None:
+        nonlocal had
+        part = batch.limit(most - had).persist() if had < most else None
+        if part is not None:
+            try:
+                had += part.count()
+                sink(part, number)
+            finally:
+                part.unpersist()
+
+    query = stream.writeStream.foreachBatch(some).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    while query.isActive and had < most:
+        query.awaitTermination(1)
+    query.stop()
+    return had
+
+
 def first_seen(stream: DataFrame, key: str, at: str | None = None, late: str = "1 hour") -> DataFrame:
     """The first row of each key; with a time column, keys are forgotten when the watermark has passed."""
     return stream.dropDuplicates([key]) if at is None else stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
