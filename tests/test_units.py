@@ -14,7 +14,7 @@ from tracemill.operators.components import component_labels
 from tracemill.operators.ranking import place_in_group
 from tracemill.plans import q_custom, q_train
 from tracemill.runtime import table
-from tracemill.sources import readers, sinks
+from tracemill.sources import readers, receipts, sinks
 from tracemill.streaming import messages, pipelines
 
 
@@ -291,3 +291,47 @@ def test_readers_and_sinks(spark, tmp_path):
     run.metrics(a=1.0)
     assert run.finish()["metrics"] == {"a": 1.0} and sinks.flatten_numbers({"a": {"b": 1, "c": True}, "d": 2.5}) == {"a.b": 1.0, "d": 2.5}
     assert [r.output for r in readers.rotating(spark.createDataFrame([(1, "p", "x"), (2, "p", "y")], "ord int, problem string, reasoning string"), spark.createDataFrame([("p",)], "problem string"), 3).orderBy("k").collect()] == ["x", "y", "x"]
+
+
+def test_receipts(spark, tmp_path):
+    good = {"run_id": "r1", "timestamp_utc": "2026-01-02T03:04:05+00:00", "n_problems": 3, "wall_clock_seconds": 1.5}
+    receipts.write_receipt(spark, str(tmp_path / "a.json"), "agreement", **good, pairs=[{"name": "a b", "kappa": 0.5, "low": 0.1, "high": 0.8, "agreement": 0.9}])
+    receipts.write_receipt(spark, str(tmp_path / "b.json"), "replication", **good, seeds=[1, 2], metrics={"pass_at_1": 0.5}, n_samples=8)
+    with pytest.raises(ValueError, match="seeds"):
+        receipts.write_receipt(spark, str(tmp_path / "c.json"), "replication", **good, seeds=[1, 1], metrics={"pass_at_1": 0.5}, n_samples=8)
+    with pytest.raises(ValueError, match="unknown kind"):
+        receipts.write_receipt(spark, str(tmp_path / "d.json"), "dream", **good)
+    (tmp_path / "e.json").write_text("no json")
+    found = {r.path.rsplit("/", 1)[1]: r.faults for r in receipts.read_receipts(spark, str(tmp_path / "*.json")).collect()}
+    assert found["a.json"] == found["b.json"] == [] and found["c.json"] == ["seeds"] and found["e.json"][0] == "kind"
+
+
+def test_stages_and_verifiers(spark, tmp_path):
+    run = sinks.RunRecord(str(tmp_path / "run"), "r")
+    done = []
+    assert sinks.run_stages(run, {"one": lambda: done.append(1), "two": lambda: 1 / 0, "three": lambda: done.append(3)}) == 1
+    assert done == [1, 3] and run.body["status"] == "failed" and "two failed" in run.body["notes"][0] and "three_s" in run.body["metrics"]
+    df = spark.createDataFrame([("#### 4", "4")], "t string, g string")
+    assert [verify.verifier(n)(df, "t", "g").first().status for n in ("Math", "strict")] == ["correct", "correct"]
+    with pytest.raises(ValueError):
+        verify.verifier("magic")
+
+
+def test_pairs_by_key(spark, tmp_path):
+    (tmp_path / "p.jsonl").write_text('{"prompt": "a", "chosen": null, "rejected": "r"}\n{"problem": "b", "chosen": "c", "rejected": "r"}\n{"prompt": "c", "rejected": "r"}\nbroken\n\n')
+    assert [(r.prompt, r.chosen) for r in readers.preference_pairs(spark, str(tmp_path / "p.jsonl")).orderBy("prompt").collect()] == [("a", None), ("b", "c")]
+
+
+def test_bounded_stream(spark, tmp_path):
+    spark.range(100).repartition(5).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = []
+    assert pipelines.run_bounded(stream, lambda b, n: got.extend(r.id for r in b.collect()), str(tmp_path / "s1"), 30) == 30 and len(set(got)) == 30
+    assert pipelines.run_bounded(stream, lambda b, n: None, str(tmp_path / "s2"), 1000) == 100
+
+
+def test_beam_frame(spark):
+    more = lambda p, t: F.when(t == "", F.array(F.lit("ab"), F.lit("abc"))).otherwise(F.array(F.lit("#### 1"), F.lit("x")))
+    got = search.beam_frame(spark.createDataFrame([("p",)], "problem_id string"), more, 2, 5).first()
+    assert (got.text, got.done) == ("ab#### 1", True) and got.score == pytest.approx(10 - 0.008)
+    assert search.beam_frame(spark.createDataFrame([], "problem_id string"), more).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,3 +94,15 @@ def strictly_right(response: Column, gold: Column) -> Column:
     for p in STRICT:
         right = right | F.coalesce(F.abs(_last(bare, p) - target) < 0.01, F.lit(False))
     return F.coalesce(right, F.lit(False))
+
+
+#: Verifiers by name: each adds status and confidence to rows with a text and a gold answer.
+VERIFIERS: dict[str, Callable[[DataFrame, str, str], DataFrame]] = {"math": verified, "strict": lambda df, t, g: df.withColumns({"status": F.when(strictly_right(F.col(t), F.col(g)), "correct").otherwise("incorrect"), "confidence": F.lit(1.0)})}
+
+
+def verifier(name: str) -> Callable[[DataFrame, str, str], DataFrame]:
+    """A verifier by name in any case; ValueError for another."""
+    try:
+        return VERIFIERS[name.lower()]
+    except KeyError:
+        raise ValueError(f"unknown verifier {name!r}; known: {', '.join(VERIFIERS)}") from None

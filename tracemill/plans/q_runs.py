@@ -285,11 +285,47 @@ def oracle_rerank(spark: SparkSession, d: str) -> DataFrame:
     return voting.best_of(s)
 
 
+def hash_split(spark: SparkSession, d: str) -> DataFrame:
+    """A seeded four fifths of the pairs for training, by a hash of their ids, so that it stays the same when pairs come in."""
+    p = table(spark, d, "dpo_pairs_v1").select(F.col("provenance.pair_id").alias("pair_id"), F.lower(F.trim("provenance.source_dataset")).alias("source")).where("pair_id is not null").dropDuplicates(["pair_id"])
+    return p.select("pair_id", F.when(_number(F.concat("pair_id", F.lit(":42"))) % 5 < 4, "train").otherwise("eval").alias("part"))
+
+
+def run_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of the last day of generation against the day before, by backend; only backends that both have."""
+    t = table(spark, d, "reasoning_paths").groupBy("path_id").agg(F.min("generation_metadata.backend").alias("backend"), F.first("is_correct").alias("ok"), F.min("generated_at").alias("at")).where("at is not null")
+    r = t.groupBy(F.date_trunc("day", F.col("at").cast("timestamp")).alias("day"), "backend").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("correct"))
+    days = r.select("day").distinct().orderBy(F.col("day").desc()).limit(2)
+    days = days.withColumn("k", F.row_number().over(Window.orderBy(F.col("day").desc())))
+    j = r.join(F.broadcast(days), "day")
+    a, b = j.where("k = 1").select("backend", F.col("n").alias("current"), F.col("correct").alias("c")), j.where("k = 2").select("backend", F.col("n").alias("previous"), F.col("correct").alias("p"))
+    return a.join(b, "backend").select("backend", "current", "previous", (F.col("current") - F.col("previous")).alias("delta"), (F.col("c") - F.col("p")).alias("correct_delta"))
+
+
+def rejection_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds of rejection sampling: each takes a third of the problems by a hash of problem and round, and from each its first correct trace not taken in a round before."""
+    t = traces_view(spark, d, once=False).where("is_correct").select("problem_id", "ord").dropDuplicates(["ord"])
+    t = voting.sample_index(t, 3)
+    drawn = None
+    for r in range(3):
+        one = t.select("problem_id").distinct().where(_number(F.concat_ws(":", "problem_id", F.lit(str(r)))) % 3 == 0).withColumn("round", F.lit(r))
+        drawn = one if drawn is None else drawn.unionAll(one)
+    # The n-th round that draws a problem takes its n-th correct trace.
+    turn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("problem_id").orderBy("round")) - 1)
+    return turn.join(t, ["problem_id", "k"]).select("round", "problem_id", "ord")
+
+
+def problem_types(spark: SparkSession, d: str) -> DataFrame:
+    """Problems per source by kind: code if they name a function, else math."""
+    kind = F.when(F.col("entry_point").isNotNull(), "code").otherwise("math")
+    return table(spark, d, "problems").groupBy("source_dataset", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         percentile_index, throughput_summary, step_timing, training_log, training_health, plot_sampled, verify_stats, chunk_totals, suite_status, model_metrics, model_delta, heldout_history, pair_margins, step_pairs_by_prompt, dpo_tokens, chat_few_shot,
-        engine_prompts, first_problems, sorted_results, expected_answers, reranked, rerank_modes, early_stop, first_verified, rejected_choice, acceptance_sampling, beam_search, oracle_rerank,
+        engine_prompts, first_problems, sorted_results, expected_answers, reranked, rerank_modes, early_stop, first_verified, rejected_choice, acceptance_sampling, beam_search, oracle_rerank, hash_split, run_diff, rejection_rounds, problem_types,
     )
 }
 
@@ -350,4 +386,8 @@ SQL = {
     "acceptance_sampling": f"WITH l AS (SELECT l_orderkey, l_linenumber, {_HASH("l_orderkey || ':' || l_linenumber")} / 4294967296.0 < least(1.0::DOUBLE, (CAST(l_discount AS DOUBLE) + 0.03::DOUBLE) / (CAST(l_tax AS DOUBLE) + 0.05::DOUBLE)) AS ok FROM lineitem), s AS (SELECT *, min(l_linenumber) FILTER (NOT ok) OVER (PARTITION BY l_orderkey) AS stop FROM l) SELECT l_orderkey, count(*) AS drafted, CAST(count(*) FILTER (stop IS NULL OR l_linenumber < stop) AS INT) AS accepted, round(count(*) FILTER (stop IS NULL OR l_linenumber < stop) / count(*), 9) AS rate FROM s GROUP BY 1",
     "beam_search": _beam_sql(3, 2),
     "oracle_rerank": f"WITH {TRACES}, {_SCORED} SELECT problem_id, ord, round(score + CASE WHEN is_correct THEN 10.0 ELSE 0.0 END, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY round(score + CASE WHEN is_correct THEN 10.0 ELSE 0.0 END, 6) DESC, ord) AS rank FROM scored) WHERE rank = 1",
+    "hash_split": f"SELECT DISTINCT provenance.pair_id AS pair_id, CASE WHEN {_HASH("provenance.pair_id || ':42'")} % 5 < 4 THEN 'train' ELSE 'eval' END AS part FROM dpo_pairs_v1 WHERE provenance.pair_id IS NOT NULL",
+    "run_diff": f"WITH {_P}, r AS (SELECT date_trunc('day', made) AS day, backend, count(*) AS n, count(*) FILTER (ok) AS c FROM paths WHERE made IS NOT NULL GROUP BY 1, 2), k AS (SELECT *, dense_rank() OVER (ORDER BY day DESC) AS k FROM r) SELECT a.backend, a.n AS current, b.n AS previous, a.n - b.n AS delta, a.c - b.c AS correct_delta FROM k a JOIN k b ON a.backend = b.backend AND a.k = 1 AND b.k = 2",
+    "rejection_rounds": f"WITH {TRACES}, t AS (SELECT problem_id, ord, row_number() OVER (PARTITION BY problem_id ORDER BY ord) AS k FROM traces WHERE is_correct), d AS (SELECT problem_id, r, row_number() OVER (PARTITION BY problem_id ORDER BY r) AS k FROM (SELECT DISTINCT problem_id FROM t), range(3) x(r) WHERE {_HASH("problem_id || ':' || r")} % 3 = 0) SELECT CAST(r AS INT) AS round, problem_id, ord FROM d JOIN t USING (problem_id, k)",
+    "problem_types": "SELECT source_dataset, CASE WHEN entry_point IS NOT NULL THEN 'code' ELSE 'math' END AS kind, count(*) AS n FROM problems GROUP BY 1, 2",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.functions.text import first_filled, strip
+from tracemill.operators.ranking import place_in_group
 
 PROBLEM = "id string, problem string, answer string, entry_point string, test string, full_solution string, source_dataset string, source_split string"
 PAIR = "problem_id string, problem string, prompt string, chosen string, rejected string, chosen_answer string, rejected_answer string, expected_answer string"
@@ -21,8 +22,6 @@ def jsonl(spark: SparkSession, path: str, schema: str | T.StructType, strict: bo
 
 def _numbered(df: DataFrame, order: str | None) -> DataFrame:
     """idx from 0 by a column that gives the order of the rows."""
-    from tracemill.operators.ranking import place_in_group
-
     return place_in_group(df.withColumn("_all", F.lit(0)), "_all", order or "ord", place="idx").withColumn("idx", F.col("idx") - 1).drop("_all", "size")
 
 
@@ -64,9 +63,11 @@ def loader(name: str) -> Callable[..., DataFrame]:
 
 
 def preference_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Pairs of prompt, chosen and rejected; records without one of them are left out."""
-    df = jsonl(spark, path, PAIR)
-    return df.withColumn("prompt", first_filled(F.col("prompt"), F.col("problem"))).where("prompt is not null and chosen is not null and rejected is not null")
+    """Pairs of prompt, chosen and rejected; records that lack one of these keys (problem may stand for prompt) are left out, nulls stay, and so are malformed lines."""
+    lines = spark.read.text(path).select("value", F.json_object_keys("value").alias("keys"), F.from_json("value", PAIR).alias("r"))
+    has = lambda k: F.array_contains("keys", k)
+    kept = lines.where((has("prompt") | has("problem")) & has("chosen") & has("rejected")).select("r.*")
+    return kept.withColumn("prompt", first_filled(F.col("prompt"), F.col("problem")))
 
 
 def correct_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -96,6 +97,7 @@ def kafka(spark: SparkSession, servers: str, topics: str, group: str, streaming:
 
 def rotating(traces: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """For each wanted text, n of its stored outputs in turn; empty strings where there is none."""
-    stored = traces.groupBy("problem").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "reasoning"))), lambda s: s["reasoning"]).alias("outs"))
-    k = wanted.select("problem", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).join(stored, "problem", "left")
-    return k.select("problem", "k", F.coalesce(F.try_element_at("outs", F.when(F.size("outs") > 0, F.pmod(F.col("k"), F.size("outs")) + 1).cast("int")), F.lit("")).alias("output"))
+    placed = place_in_group(traces.select("problem", "ord", "reasoning"), "problem", "ord", place="_place", size="_size")
+    sizes = placed.where("_place = 1").select("problem", "_size")
+    k = wanted.select("problem", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).join(sizes, "problem", "left").withColumn("_place", F.pmod("k", "_size") + 1)
+    return k.join(placed.select("problem", "_place", "reasoning"), ["problem", "_place"], "left").select("problem", "k", F.coalesce("reasoning", F.lit("")).alias("output"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import time
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -218,11 +220,26 @@ class RunRecord:
         return self.body
 
 
+def run_stages(record: RunRecord, stages: dict[str, Callable[[], object]]) -> int:
+    """Run stages one after another, each timed; one that fails is noted and the others go on, so that what was made stays. 0 if all went well, else 1."""
+    failed = 0
+    for name, stage in stages.items():
+        began = time.perf_counter()
+        try:
+            stage()
+        except Exception as e:
+            failed = 1
+            record.note(f"{name} failed: {type(e).__name__}: {e}")
+        record.metrics(**{f"{name}_s": round(time.perf_counter() - began, 3)})
+    record.finish("failed" if failed else "success")
+    return failed
+
+
 def _now() -> str:
     return datetime.now(UTC).replace(microsecond=0).isoformat()
 
 
 def newest_summary(spark: SparkSession, glob: str) -> DataFrame:
     """The summary file changed last."""
-    files = spark.read.option("wholetext", True).text(glob).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("at"))
+    files = spark.read.text(glob, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("at"))
     return files.orderBy(F.col("at").desc(), "path").limit(1)
