@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from tracemill.llm import p4_near as p4
+from tracemill.llm import p6_cap as p6
 from tracemill.operators.components import component_labels
 from tracemill.llm.p3_splits import chunks_of, cross_split_overlaps, numbers_of
 from tracemill.llm.p5_consensus import Consensus, usable_votes
@@ -190,7 +191,7 @@ def test_consensus_learns_bad_judges(spark):
     assert Consensus(usable_votes(df.limit(0))).fit().verdicts().count() == 0
 
 
-def test_over_cap_against_brute_force(spark):
+def test_over_cap_against_brute_force(spark, monkeypatch):
     random.seed(9)
     rows = []
     for who, n in (("a", 50), ("b", 8), ("c", 9), ("d", 200), ("e", 12), (None, 20)):
@@ -203,8 +204,10 @@ def test_over_cap_against_brute_force(spark):
         mine = sorted({(i, s if s is not None and s == s else float("-inf")) for i, w, s, _ in rows if w == who and i is not None}, key=lambda r: (-r[1], r[0]))
         expected |= {i for i, _ in mine[8:]}
     df = spark.createDataFrame(rows, "id string, who string, score double, salt int")
-    got = [r.id for r in over_cap(df).collect()]
-    assert len(got) == len(set(got)) and set(got) == expected
+    for part in (p6.PART, 7):
+        monkeypatch.setattr(p6, "PART", part)
+        got = [r.id for r in over_cap(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
     assert over_cap(df.limit(0)).count() == 0
     scores = spark.createDataFrame([("p", 1, 0.9), ("p", 2, None), ("q", 1, 0.1), ("q", 2, 0.2), ("q", None, 0.9)], "pair_id string, scored_at int, diversity_score double")
     assert {r.id: r.score for r in latest_scores(scores).collect()} == {"p": None, "q": 0.2}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.runtime import cut_lineage, interim_table, table
@@ -10,11 +10,16 @@ from tracemill.runtime import cut_lineage, interim_table, table
 CAP = 8
 #: Midpoints of a round per contributor, plus one.
 FAN = 64
-#: Parts into which the rows of one contributor are dealt.
-SALTS = 8
+#: Rows of one contributor that go to one part; a larger contributor is dealt into as many parts as it takes.
+PART = 500_000
 HUGE = 1.7976931348623157e308
 
 
+def _salts() -> Column:
+    """One row for each part of a contributor."""
+    return F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
+
+
 def _cutoffs(scored: DataFrame, cap: int) -> DataFrame:
     """(who, cut, quota): the records above cut are kept, and of those at cut the first quota.
 
@@ -22,21 +27,20 @@ def _cutoffs(scored: DataFrame, cap: int) -> DataFrame:
     every part between the bounds, and goes on in the part that holds the cap-th
     record. A contributor is done when its bounds meet or its part is kept whole.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    active = cut_lineage(scored.groupBy("who").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).where(f"n >= {cap}").select("who", F.lit(cap).cast("long").alias("need"), "n", "lo", "hi"))
+    active = cut_lineage(scored.groupBy("who").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.max("parts").alias("parts")).where(f"n >= {cap}").select("who", F.lit(cap).cast("long").alias("need"), "n", "lo", "hi", "parts"))
     done = None
     while True:
-        ended = active.where("lo = hi or need = n").select("who", F.col("lo").alias("cut"), F.when(F.col("need") == F.col("n"), F.col("n")).otherwise(F.col("need")).alias("quota"))
+        ended = active.where("lo = hi or need = n").select("who", F.col("lo").alias("cut"), F.when(F.col("need") == F.col("n"), F.col("n")).otherwise(F.col("need")).alias("quota"), "parts")
         done = ended if done is None else done.unionAll(ended)
         active = active.where("lo < hi and need < n")
         if active.isEmpty():
             return cut_lineage(done)
-        bounds = active.select("who", "need", "lo", "hi", salts)
-        inside = scored.join(bounds, ["who", "salt"]).where("score >= lo and score <= hi")
+        bounds = active.select("who", "need", "lo", "hi", "parts", _salts())
+        inside = scored.drop("parts").join(bounds, ["who", "salt"]).where("score >= lo and score <= hi")
         part = F.least(F.lit(FAN - 1), F.floor((F.col("score") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * FAN).cast("int"))
-        counts = inside.groupBy("who", "need", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+        counts = inside.groupBy("who", "need", "parts", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
         above = F.sum("n").over(Window.partitionBy("who").orderBy(F.col("part").desc())) - F.col("n")
-        active = cut_lineage(counts.withColumn("above", above).where("above < need and need <= above + n").select("who", (F.col("need") - F.col("above")).alias("need"), "n", "lo", "hi"))
+        active = cut_lineage(counts.withColumn("above", above).where("above < need and need <= above + n").select("who", (F.col("need") - F.col("above")).alias("need"), "n", "lo", "hi", "parts"))
 
 
 def over_cap(records: DataFrame, cap: int = CAP) -> DataFrame:
@@ -51,13 +55,15 @@ def over_cap(records: DataFrame, cap: int = CAP) -> DataFrame:
     """
     score = F.when(F.isnan("score") | F.col("score").isNull(), F.lit(None).cast("double")).otherwise(F.greatest(F.lit(-HUGE), F.least(F.lit(HUGE), F.col("score"))) + F.lit(0.0))
     one = records.where("id is not null").select("id", "who", score.alias("score")).groupBy("id").agg(F.min("who").alias("who"), F.max("score").alias("score")).where("who is not null")
-    crowded = one.groupBy("who").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_scored")).where(f"n > {cap}")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    salted = one.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    rows = interim_table(salted.join(crowded.select("who", "n_scored", salts), ["who", "salt"]), "capped")
-    scored = rows.where("score is not null").select("who", "salt", "score")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    crowded = cut_lineage(one.groupBy("who").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_scored")).where(f"n > {cap}").withColumn("parts", parts))
+    # Contributors of several parts are one for every PART rows of the table at most, so that they may go to all tasks.
+    large = F.broadcast(crowded.where("parts > 1").select("who", F.col("parts").alias("dealt")))
+    salted = one.join(large, "who", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("dealt", F.lit(1))).cast("int")).drop("dealt")
+    rows = interim_table(salted.join(crowded.select("who", "n_scored", "parts", _salts()), ["who", "salt"]), "capped")
+    scored = rows.where("score is not null").select("who", "salt", "score", "parts")
     cuts = _cutoffs(scored, cap)
-    judged = rows.join(cuts.select("*", salts), ["who", "salt"], "left")
+    judged = rows.drop("parts").join(cuts.select("*", _salts()).drop("parts"), ["who", "salt"], "left")
     fate = (
         F.when(F.col("cut").isNull(), F.when(F.col("score").isNull(), "tie").otherwise("keep"))
         .when(F.col("score").isNull() | (F.col("score") < F.col("cut")), "drop")
@@ -72,7 +78,7 @@ def over_cap(records: DataFrame, cap: int = CAP) -> DataFrame:
     return judged.where("fate != 'keep'").join(first, "id", "left_anti").select("id")
 
 
-def contributor(name: str) -> F.Column:
+def contributor(name: str) -> Column:
     return F.lower(F.trim(F.col(name)))
 
 
