@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.llm.p9_visual import visual_form_sql
 from tracemill.llm.visual_form import blocks, to_code_points, unify
 from tracemill.runtime import dealt, interim_table, table
 
@@ -253,4 +254,10 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_longest": p8_longest, "p8_kept": p8_kept}
-SQL: dict[str, str] = {}
+_WORDS = lambda text: f"regexp_extract_all(lower({visual_form_sql(text)}), '[\\p{{L}}\\p{{N}}\\p{{M}}]+')"
+_RUNS = lambda words, key: f"SELECT {key}, md5(array_to_string(w[k:k + 11], ' ')) AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT {key}, {words} AS w FROM @t@))"
+_LEAKS = f"""leaks AS MATERIALIZED (SELECT DISTINCT doc_id, item_id FROM ({_RUNS(_WORDS("text"), "doc_id").replace("@t@", "documents WHERE text IS NOT NULL")}) d JOIN ({_RUNS(_WORDS("item_text"), "item_id").replace("@t@", "eval_items WHERE item_text IS NOT NULL")}) i USING (g))"""
+SQL = {
+    "p8_found": f"WITH {_LEAKS} SELECT * FROM leaks",
+    "p8_kept": f"WITH {_LEAKS} SELECT source, count(*) AS docs FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM leaks) GROUP BY 1",
+}

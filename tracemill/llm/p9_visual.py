@@ -60,4 +60,27 @@ def p9_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_changed": p9_changed}
-SQL: dict[str, str] = {}
+# Fixed values for SQL, written out apart from the tables of the engine: letters borrowed from another script and what they look like, blanks,
+# invisible characters as a class, and joined letters. They cover what SQL can bring together; marks beyond what its normal form composes are left.
+_BORROWED = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναριϲϳАВЕЅІЈКМНОРСТУХҮԌԚԜӀаеорсухѕіјһԁԛԝүӏёЁїЇ", "ABEZHIKMNOPTYXovapicjABESIJKMHOPCTYXYGQWIaeopcyxsijhdqwyleEiI".replace("leEiI", "lëËïÏ"))
+_WIDE = ("".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))))
+_GAPS = "               　\t"
+_UNSEEN = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}]"
+_JOINED = {"ﬃ": "ffi", "ﬄ": "ffl", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def visual_form_sql(text: str) -> str:
+    """The visual form of a text in DuckDB's SQL, for texts whose marks its normal form composes."""
+    quote = lambda x: x.replace("'", "''")
+    form = f"regexp_replace({text}, '{_UNSEEN}', '', 'g')"
+    for one, several in _JOINED.items():
+        form = f"replace({form}, '{one}', '{several}')"
+    form = f"translate({form}, '{quote(_WIDE[0] + _BORROWED[0] + _GAPS)}', '{quote(_WIDE[1] + _BORROWED[1] + ' ' * len(_GAPS))}')"
+    return f"nfc_normalize({form})"
+
+
+SQL = {
+    "p9_found": f"""WITH f AS MATERIALIZED (SELECT doc_id, text, md5({visual_form_sql("text")}) AS v FROM documents WHERE text IS NOT NULL)
+        SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.v = b.v AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    "p9_changed": f"""WITH f AS (SELECT source, text, {visual_form_sql("text")} AS v FROM documents) SELECT source, count(*) AS docs, count(*) FILTER (v <> text) AS changed, CAST(sum(length(text)) AS BIGINT) AS chars_before, CAST(sum(length(v)) AS BIGINT) AS chars_after FROM f GROUP BY 1""",
+}
