@@ -51,6 +51,7 @@ MARKUP = re.compile(r"<\|[^|<>]*\|>|</?[a-zA-Z][^<>]*>|\\[a-zA-Z]+|\[/?INST\]|(?
 TOKEN = re.compile(r"[぀-ヿ一-鿿]|[^\W_]+")
 HAN = re.compile("[一-鿿]")
 WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+LETTERS, NEAR = re.compile(r"[^\W\d_]+"), 200
 SENTENCE_END = re.compile(r"[.!?。！？][\"”’)\]]*$")
 NUMBERS = re.compile(r"\d+(?:[.,]\d+)*")
 VALUE = r"\\?\$?-?\d[\d.,/]*%?"
@@ -147,14 +148,18 @@ class PhraseAutomaton:
 
 
 REFUSAL = PhraseAutomaton(REFUSALS)
-LANGUAGES = {k: frozenset(v.split()) for k, v in STOPWORDS.items()}
+#: The languages that a word votes for.
+VOTES_OF = {w: tuple(k for k, v in STOPWORDS.items() if w in v.split()) for v in STOPWORDS.values() for w in v.split()}
 
 
 def language(text: str, words: list[str] | None = None) -> str | None:
     """The language most words vote for; Cyrillic and Han letters vote by themselves. words are those of the text, if known."""
     if words is None:
         words = words_of(text)
-    votes = {k: sum(map(v.__contains__, words)) for k, v in LANGUAGES.items()}
+    votes = dict.fromkeys(STOPWORDS, 0)
+    for spoken in [VOTES_OF[w] for w in words if w in VOTES_OF]:
+        for k in spoken:
+            votes[k] += 1
     if not text.isascii():
         votes["ru"] = sum("Ѐ" <= w[0] <= "ӿ" for w in words)
         votes["zh"] = len(HAN.findall(text)) // 2
@@ -196,6 +201,17 @@ def open_delimiters(text: str) -> bool:
     return bool(stack) and stack[-1] != "“" or "“" in stack[-1:] and not SENTENCE_END.search(text)
 
 
+def whole_end(body: str) -> bool:
+    """Whether a text ends with one of the forms of WHOLE_END.
+
+    But for what stands in braces, such an end holds three words of letters at
+    most; if the last letters of the text hold more, it begins among them.
+    """
+    if body[-1:] not in ("}", "$") and len(LETTERS.findall(body, max(0, len(body) - NEAR))) > 4:
+        return WHOLE_END.search(body, max(0, len(body) - NEAR)) is not None
+    return WHOLE_END.search(body) is not None
+
+
 def is_truncated(text: str) -> bool:
     """Stops inside a word, expression or statement, or carries a mark of the cut."""
     body = text.rstrip()
@@ -210,7 +226,7 @@ def is_truncated(text: str) -> bool:
         return not re.search(r"(?i)answer: [^\n]{1,80}####$", line)
     if re.search(r"\d \W \d[\d.,]* = [\d.,]*$", line):
         return True
-    return not WHOLE_END.search(body)
+    return not whole_end(body)
 
 
 class Prompt:
