@@ -10,27 +10,52 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import text as X
 from tracemill.operators.components import component_labels
+from tracemill.runtime import compute_once, interim_table
 
 LIKENESS = 0.85
 
 
-def like_pairs(traces: DataFrame, likeness: float = LIKENESS) -> DataFrame:
-    """(a, b, likeness) of the traces (ord, problem_id, reasoning) of a problem whose word sets are alike by more than likeness.
+def word_classes(traces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Traces (ord, problem_id, class) and classes (class, problem_id, set): those of a problem with one set of words are one class, named by its least ord.
+
+    Traces without words are left out. Both are written once.
+    """
+    sets = compute_once(traces.select("ord", "problem_id", "reasoning"), {"set": F.array_sort(F.array_distinct(X.words(F.col("reasoning"))))}).where(F.size("set") > 0).drop("reasoning")
+    keyed = interim_table(sets.withColumn("key", F.md5(F.to_json("set"))), "keyed")
+    classes = keyed.groupBy("problem_id", "key").agg(F.min("ord").alias("class"), F.first("set").alias("set"))
+    members = keyed.select("ord", "problem_id", "key").join(classes.select("problem_id", "key", "class"), ["problem_id", "key"]).select("ord", "problem_id", "class")
+    return interim_table(members, "members"), interim_table(classes.select("class", "problem_id", "set"), "classes")
+
+
+def like_classes(classes: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """(x, y, likeness) of the classes of a problem whose word sets are alike by more than likeness, x < y.
 
     Two sets that alike share one of their rarest words, of which a set of n
     words needs n - ceil(likeness n) + 1; so the join on those loses no pair.
     """
-    t = traces.select("ord", "problem_id", F.array_distinct(X.words(F.col("reasoning"))).alias("set")).where(F.size("set") > 0)
-    w = t.select("ord", "problem_id", F.size("set").alias("n"), F.explode("set").alias("word"))
+    w = classes.select("class", "problem_id", F.size("set").alias("n"), F.explode("set").alias("word"))
     df = w.groupBy("problem_id", "word").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("ord").orderBy("df", "word"))
-    rare = w.join(df, ["problem_id", "word"]).withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.lit(likeness) * F.col("n")) + 1).select("ord", "problem_id", "word", "n")
-    a, b = rare.selectExpr("ord AS a", "problem_id", "word", "n AS na"), rare.selectExpr("ord AS b", "problem_id", "word", "n AS nb")
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") > likeness * F.greatest("na", "nb"))
-    pairs = a.join(b, ["problem_id", "word"]).where(fits).select("a", "b").distinct()
-    sets = t.select("ord", "set")
-    pairs = pairs.join(sets.withColumnsRenamed({"ord": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"ord": "b", "set": "sb"}), "b")
-    return pairs.withColumn("likeness", X.jaccard(F.col("sa"), F.col("sb"))).where(F.col("likeness") > likeness).select("a", "b", "likeness")
+    rank = F.row_number().over(Window.partitionBy("class").orderBy("df", "word"))
+    rare = w.join(df, ["problem_id", "word"]).withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.lit(likeness) * F.col("n")) + 1).select("class", "problem_id", "word", "n")
+    a, b = rare.selectExpr("class AS x", "problem_id", "word", "n AS na"), rare.selectExpr("class AS y", "problem_id", "word", "n AS nb")
+    fits = (F.col("x") < F.col("y")) & (F.least("na", "nb") > likeness * F.greatest("na", "nb"))
+    pairs = a.join(b, ["problem_id", "word"]).where(fits).select("x", "y").distinct()
+    sets = classes.select("class", "set")
+    pairs = pairs.join(sets.withColumnsRenamed({"class": "x", "set": "sx"}), "x").join(sets.withColumnsRenamed({"class": "y", "set": "sy"}), "y")
+    return pairs.withColumn("likeness", X.jaccard(F.col("sx"), F.col("sy"))).where(F.col("likeness") > likeness).select("x", "y", "likeness")
+
+
+def like_pairs(traces: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """(a, b, likeness) of the traces (ord, problem_id, reasoning) of a problem whose word sets are alike by more than likeness; a < b.
+
+    Classes of equal sets are compared; their members come in last.
+    """
+    members, classes = word_classes(traces)
+    links = like_classes(classes, likeness)
+    within = classes.select(F.col("class").alias("x"), F.col("class").alias("y"), F.lit(1.0).alias("likeness")) if likeness < 1 else links.limit(0)
+    one, two = members.select(F.col("class").alias("x"), F.col("ord").alias("p")), members.select(F.col("class").alias("y"), F.col("ord").alias("q"))
+    pairs = links.unionAll(within).join(one, "x").join(two, "y").where("x != y or p < q")
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "likeness")
 
 
 def greedy_dedup(traces: DataFrame, likeness: float = LIKENESS) -> DataFrame:
@@ -39,31 +64,48 @@ def greedy_dedup(traces: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     Each trace is held against those kept so far; the first that is alike
     decides: the more confident of the two stays, and one that takes another's
     place goes to the end. Only traces linked by likeness can affect each other,
-    so each linked group is resolved by itself.
+    so each linked group is resolved by itself, as numbers: its traces pass by in
+    order, and what is held are the links between its classes and what is kept.
+    Traces without words are alike to none and stay.
     """
-    pairs = like_pairs(traces, likeness)
-    labels = component_labels(pairs)
-    slim = traces.select("ord", "confidence", "reasoning").join(labels, F.col("ord") == F.col("node"), "left")
-    linked = slim.where("label is not null")
-
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, float, frozenset[str]]] = []
-        for ord_, conf, text in sorted(zip(group["ord"], group["confidence"], group["reasoning"])):
-            words = frozenset(text.lower().split())
-            for at, (_, other, theirs) in enumerate(kept):
-                if len(words & theirs) > likeness * len(words | theirs):
-                    if conf > other:
-                        del kept[at]
-                        kept.append((ord_, conf, words))
-                    break
-            else:
-                kept.append((ord_, conf, words))
-        return pd.DataFrame({"ord": [k[0] for k in kept]})
-
-    stay = linked.groupBy("label").applyInPandas(resolve, "ord long").unionAll(slim.where("label is null").select("ord"))
+    members, classes = word_classes(traces)
+    links = interim_table(like_classes(classes, likeness).select("x", "y"), "links")
+    labels = component_labels(links, "x", "y")
+    rows = traces.select("ord", "confidence").join(members.select("ord", "class"), "ord").join(labels, F.col("class") == F.col("node"), "left")
+    rows = rows.select(F.coalesce("label", "class").alias("label"), F.lit(1).alias("kind"), "ord", "class", F.lit(None).cast("long").alias("other"), "confidence")
+    edges = links.join(labels, F.col("x") == F.col("node")).select("label", F.lit(0).alias("kind"), F.col("x").alias("ord"), F.col("x").alias("class"), F.col("y").alias("other"), F.lit(0.0).alias("confidence"))
+    ordered = rows.unionAll(edges).repartition("label").sortWithinPartitions("label", "kind", "ord")
+    stay = ordered.mapInPandas(_resolve, "ord long").unionAll(traces.select("ord").join(members, "ord", "left_anti"))
     return traces.join(stay, "ord", "left_semi")
 
 
+def _resolve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The kept ones of rows label, kind, ord, class, other and confidence in this order: links (kind 0) come before the traces of a label."""
+    label = None
+    near: dict[int, list[int]] = {}
+    kept: dict[int, dict[int, tuple[int, float]]] = {}  # by class: ord, with the time it was kept and its confidence
+    for frame in frames:
+        done: list[int] = []
+        for now, kind, ord_, own, other, sure in zip(*(frame[c].tolist() for c in ("label", "kind", "ord", "class", "other", "confidence"))):
+            if now != label:
+                done += [o for c in kept.values() for o in c]
+                label, near, kept, clock = now, {}, {}, 0
+            if kind == 0:
+                near.setdefault(own, []).append(int(other))
+                near.setdefault(int(other), []).append(own)
+                continue
+            clock += 1
+            alike = [(at, o, c, theirs) for c in (own, *near.get(own, ())) for o, (at, theirs) in kept.get(c, {}).items()]
+            if alike:
+                _, o, c, theirs = min(alike)
+                if not sure > theirs:
+                    continue
+                del kept[c][o]
+            kept.setdefault(own, {})[ord_] = (clock, sure)
+        yield pd.DataFrame({"ord": pd.Series(done, dtype="int64")})
+    yield pd.DataFrame({"ord": pd.Series([o for c in kept.values() for o in c], dtype="int64")})
+
+
 def distinct_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_k = 1").drop("_k")
