@@ -208,6 +208,12 @@ def test_hooks(spark):
     assert cache.get([1, 2, 3, 4]) == 3
     cache.put([5, 6, 7, 8])
     assert cache.evicted == 1 and cache.get([1]) == 0
+    often = hooks.PrefixCache(6, "lfu")
+    for tokens in ([1, 2, 3], [1, 2, 3], [4, 5]):
+        if often.get(tokens) < len(tokens):
+            often.put(tokens)
+    often.put([6, 7])
+    assert set(often.held) == {(1, 2, 3), (6, 7)} and often.evicted == 1 and often.get([1, 2, 3, 9]) == 3
     long = hooks.PrefixCache(20_000)
     for k in range(4):
         long.put([k, *range(5000)])

@@ -33,6 +33,7 @@ def last_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 def strip_artifacts(text: Column) -> Column:
     """Without chat tokens, frames and fences, and with single blanks."""
+    # What models leave around an answer.
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"<\|[^>]+?\|>", " ")
     t = F.regexp_replace(t, r"\[/?INST\]", " ")
     t = F.regexp_replace(F.replace(t, F.lit("</s>"), F.lit(" ")), "`{3,}", " ")

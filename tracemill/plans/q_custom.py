@@ -57,6 +57,18 @@ def lru_cache(spark: SparkSession, d: str) -> DataFrame:
     return hooks.simulate_cache(p.select(F.col("id").alias("ord"), tokens.alias("tokens")), 2000)
 
 
+def cache_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Hits and misses of all shards of the prefix cache together, by either way of eviction, asked twice for every problem."""
+    p = compute_once(table(spark, d, "problems").select("id", F.coalesce("problem", F.lit("")).alias("problem")), {"w": X.words(F.col("problem"))})
+    asked = p.select(F.explode(F.array(F.concat("id", F.lit(" 1")), F.concat("id", F.lit(" 2")))).alias("ord"), F.transform("w", lambda w: F.pmod(F.hash(w), F.lit(50_000))).alias("tokens"))
+    out = None
+    for policy in ("lru", "lfu"):
+        stats = hooks.simulate_cache(asked, 2000, policy).agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"), F.sum("evicted").alias("evicted"))
+        one = stats.select(F.lit(policy).alias("policy"), "hits", "misses", "evicted", F.round(F.try_divide("hits", F.col("hits") + F.col("misses")), 9).alias("hit_rate"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 def _events_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -104,7 +116,7 @@ def stream_bridge(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, out).select("topic", "key", F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.data.event_id").cast("long").alias("event_id"), F.get_json_object("value", "$.data.value").cast("double").alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (near_dedup, near_pairs, symbolic_verify, generate_stub, tree_search_stub, lru_cache, stream_windows, stream_first_seen, stream_stage, stream_bridge)}
+QUERIES = {f.__name__: f for f in (near_dedup, near_pairs, symbolic_verify, generate_stub, tree_search_stub, lru_cache, cache_rollup, stream_windows, stream_first_seen, stream_stage, stream_bridge)}
 _SETS = f"sets AS MATERIALIZED (SELECT ord, problem_id, list_distinct({words_sql('reasoning')}) AS s FROM traces)"
 _COMMON = "len(list_intersect(a.s, b.s))"
 SQL = {

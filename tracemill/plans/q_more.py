@@ -71,14 +71,6 @@ def plot_rows(spark: SparkSession, d: str) -> DataFrame:
     return e.crossJoin(F.broadcast(m)).select(F.unix_timestamp("day").alias("day"), "v", F.coalesce(F.floor(F.try_divide((F.col("v") - F.col("lo")) * 11, F.col("hi") - F.col("lo"))), F.lit(0)).cast("long").alias("row"))
 
 
-def health(spark: SparkSession, d: str) -> DataFrame:
-    """What the summary of a run says about it, in bands."""
-    e = table(spark, d, "events").groupBy(F.col("event_type").alias("run")).agg(F.min_by("value", "event_id").alias("a"), F.max_by("value", "event_id").alias("b"), F.avg("value").alias("m"))
-    trend = F.when(F.col("b") < F.col("a"), "improving").when(F.col("b") > F.col("a"), "worsening").otherwise("flat")
-    band = F.when(F.col("m") < 5, "low").when(F.col("m") < 50, "fair").otherwise("high")
-    return e.select("run", trend.alias("trend"), band.alias("band"))
-
-
 def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of each user that end after half an hour without events."""
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -94,7 +86,7 @@ def votes_again(spark: SparkSession, d: str) -> DataFrame:
     return again.groupBy("judge").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.unix_micros(F.col("next").cast("timestamp")) - F.unix_micros(F.col("judged_at").cast("timestamp"))) / 3.6e9), 4).alias("mean_hours"))
 
 
-QUERIES = {f.__name__: f for f in (pairwise_swap, swap_stability, self_preference, truncate_to_shortest, policy_terms, acceptance, plot_rows, health, user_sessions, votes_again)}
+QUERIES = {f.__name__: f for f in (pairwise_swap, swap_stability, self_preference, truncate_to_shortest, policy_terms, acceptance, plot_rows, user_sessions, votes_again)}
 
 _TWICE = """s AS (SELECT pair_id, diversity_score AS v, row_number() OVER (PARTITION BY pair_id ORDER BY scored_at, diversity_score) AS a, row_number() OVER (PARTITION BY pair_id ORDER BY scored_at DESC, diversity_score DESC) AS b FROM sample_pairs WHERE diversity_score IS NOT NULL AND NOT isnan(diversity_score) AND scored_at IS NOT NULL),
 g AS (SELECT pair_id, max(v) FILTER (a = 1) AS f, max(v) FILTER (b = 1) AS r FROM s GROUP BY 1), t AS (SELECT *, CASE WHEN f > 0.6 THEN 'A' WHEN f < 0.4 THEN 'B' ELSE 'TIE' END AS x, CASE WHEN r > 0.6 THEN 'A' WHEN r < 0.4 THEN 'B' ELSE 'TIE' END AS y FROM g)"""
@@ -107,7 +99,6 @@ SQL = {
     "policy_terms": f"WITH {_PATHS}, u AS (SELECT *, avg(ln(c)) OVER (PARTITION BY model) AS old FROM t WHERE model IS NOT NULL AND c > 0), v AS (SELECT model, exp(ln(c) - old) AS ratio, CASE WHEN ok THEN 1.0 ELSE -1.0 END::DOUBLE AS adv, exp(old - ln(c)) - (old - ln(c)) - 1 AS k FROM u) SELECT model, count(*) AS n, round(-avg(least(ratio * adv, least(greatest(ratio, 0.8::DOUBLE), 1.2::DOUBLE) * adv)), 5) AS loss, round(avg(k), 5) AS kl FROM v GROUP BY 1",
     "acceptance": "WITH l AS (SELECT l_linenumber, CAST(sum(least(CAST(l_quantity AS BIGINT) % 6, 5)) AS BIGINT) AS accepted, count(*) * 5 AS drafted FROM lineitem GROUP BY 1) SELECT *, round(accepted / drafted, 9) AS rate, round(5 * accepted / drafted + 1, 6) AS speedup FROM l",
     "plot_rows": "WITH e AS (SELECT date_trunc('day', ts) AS day, round(avg(value), 4) AS v FROM events GROUP BY 1), m AS (SELECT min(v) AS lo, max(v) AS hi FROM e) SELECT CAST(epoch(day) AS BIGINT) AS day, v, CAST(coalesce(floor((v - lo) * 11 / nullif(hi - lo, 0)), 0) AS BIGINT) AS row FROM e, m",
-    "health": "WITH e AS (SELECT event_type AS run, arg_min(value, event_id) AS a, arg_max(value, event_id) AS b, avg(value) AS m FROM events GROUP BY 1) SELECT run, CASE WHEN b < a THEN 'improving' WHEN b > a THEN 'worsening' ELSE 'flat' END AS trend, CASE WHEN m < 5 THEN 'low' WHEN m < 50 THEN 'fair' ELSE 'high' END AS band FROM e",
     "user_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e), g AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest, CAST(sum(n) AS BIGINT) AS events FROM g GROUP BY 1",
     "votes_again": "WITH v AS (SELECT DISTINCT path_id, lower(trim(judge_id)) AS judge, judged_at, coalesce(verdict, '') AS verdict FROM judge_verdicts WHERE judged_at IS NOT NULL), n AS (SELECT *, lead(judged_at) OVER (PARTITION BY path_id, judge ORDER BY judged_at, verdict) AS nx FROM v) SELECT judge, count(*) AS n, round(avg((epoch_us(nx) - epoch_us(judged_at)) / 3.6e9), 4) AS mean_hours FROM n WHERE nx IS NOT NULL GROUP BY 1",
 }
