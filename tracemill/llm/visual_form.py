@@ -28,7 +28,7 @@ LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ӏ": "l",
     "Ս": "U", "Օ": "O", "Տ": "S", "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "յ": "j",
     "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮖ": "I", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
-    "ɑ": "a", "ɡ": "g", "ı": "i", "‐": "-", "‑": "-",
+    "ɑ": "a", "ɡ": "g", "‐": "-", "‑": "-",
 }
 #: Ranges that only hold characters which stand for themselves: Han, private use and what isn't assigned.
 PLAIN = ((0x3400, 0xA000), (0xD800, 0xF900), (0x20000, 0x2F800), (0x2FA20, 0xE0000), (0xE1000, 0x110000))
