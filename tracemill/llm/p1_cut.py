@@ -48,23 +48,20 @@ FIELDS = rf"""
 ENDS = rf"""
     WITH trimmed AS (SELECT id, text_hash, field, fence, dollar, other, length(regexp_extract(tail, r'{MARK}$', 0)) AS mark, tail FROM @fields@ WHERE tail rlike r'\S'),
     bodies AS (SELECT id, text_hash, field, fence, dollar, other, mark > 0 AS marked, {BARE.replace("@text@", "left(tail, length(tail) - mark)")} AS body FROM trimmed),
-    seen AS (SELECT id, text_hash, field, fence, dollar, other, marked, body, v.* FROM bodies
-             LATERAL VIEW inline(array(struct(substring_index(body, char(10), -1) AS line, {WORDS.replace("@text@", LAST)} AS w))) v AS line, w WHERE body != ''),
+    seen AS (SELECT id, text_hash, field, fence, dollar, other, marked, body, v.* FROM bodies LATERAL VIEW inline(array(struct(substring_index(body, char(10), -1) AS line))) v AS line WHERE body != ''),
     judged AS (
         SELECT id, text_hash, field, body, v.* FROM seen LATERAL VIEW inline(array(struct(
                marked OR fence
                OR body rlike r'<<[^>]*>?$'
-               OR line rlike r'^\s*(?:\d+\.|(?i:step) \d+:?|[-*•])\s*$'
-               OR (line rlike r'####$' AND NOT line rlike r'(?i)answer: [^\n]{{1,80}}####$')
+               OR line rlike r'^\s*(?:\d+\.|[-*•])\s*$'
                OR (line rlike r'\d \W \d[\d.,]* = [\d.,]*$' AND NOT body rlike r'[.!?]$')
                OR (dollar AND body rlike r'=[^$=]*\d\.$')
                OR (dollar AND NOT body rlike r'[.!?]$') AS plain_cut,
                line rlike r'(?i)answer: [^\n]{{1,80}}####$' OR body rlike r'[.!?。！？]["”’)\]]*$' AS stopped,
                field = 'final_answer' AND body rlike r'^\W*(?:\\boxed\W*)?-?[\d.,/]*\d(?:\W*|\s+(?:\\text\W*)?\p{{L}}+\W*)$' AND NOT body rlike r'\{{[^}}]*$' AS value,
-               regexp_extract(lower(body), r'\p{{L}}+$', 0) AS part, xxhash64(w[size(w) - 1]) AS w3, xxhash64(CASE WHEN size(w) > 1 THEN w[size(w) - 2] ELSE '' END) AS w2, xxhash64(CASE WHEN size(w) > 2 THEN w[size(w) - 3] ELSE '' END) AS w1,
                CASE WHEN field = 'final_answer' AND instr(other, body) > 0 THEN regexp_extract(substring_index(other, body, -1), r'^[^.\n]*', 0) END AS rest
-        ))) v AS plain_cut, stopped, value, part, w3, w2, w1, rest)
-    SELECT id, text_hash, field, plain_cut, stopped, value, rest, part, body rlike r'\p{{L}}$' AS by_letter, w1, w2, w3 FROM judged
+        ))) v AS plain_cut, stopped, value, rest)
+    SELECT id, text_hash, field, body, plain_cut, stopped, value, rest, body rlike r'\p{{L}}$' AS by_letter FROM judged
 """
 
 #: A value is cut only inside its word; a statement that the reasoning goes on with is cut; the rest is left to the trigrams.
@@ -76,6 +73,14 @@ SETTLED = r"""
          WHEN stopped THEN false END
 """
 
+#: The last words of what is left to the trigrams.
+LASTS = rf"""
+    WITH settled AS (SELECT id, text_hash, field, body, {SETTLED} AS settled FROM @ends@),
+    seen AS (SELECT id, text_hash, field, body, settled, v.* FROM settled LATERAL VIEW inline(array(struct(IF(settled IS NULL, {WORDS.replace("@text@", LAST)}, NULL) AS w))) v AS w)
+    SELECT id, text_hash, field, settled, IF(w IS NULL, NULL, regexp_extract(lower(body), r'\p{{L}}+$', 0)) AS part, xxhash64(w[size(w) - 1]) AS w3,
+           xxhash64(CASE WHEN size(w) > 1 THEN w[size(w) - 2] ELSE '' END) AS w2, xxhash64(CASE WHEN size(w) > 2 THEN w[size(w) - 3] ELSE '' END) AS w1 FROM seen
+"""
+
 #: The beginnings of the words of all texts that some open value ends with.
 BEGINNINGS = r"""
     WITH parts AS (SELECT DISTINCT part FROM @open@ WHERE part != ''),
@@ -137,7 +142,7 @@ def cut_fields(paths: DataFrame, id_col: str = "path_id", text_col: str = "reaso
     spark = paths.sparkSession
     src = paths.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(answer_col).cast("string").alias("a"))
     fields = _sql(spark, FIELDS, texts=src)
-    ends = interim_table(_sql(spark, f"SELECT id, text_hash, field, {SETTLED} AS settled, part, w1, w2, w3 FROM ({ENDS})", fields=fields), "ends")
+    ends = interim_table(_sql(spark, LASTS, ends=_sql(spark, ENDS, fields=fields)), "ends")
     open_ = ends.where("settled IS NULL")
     texts = src.select(F.col("t").alias("text")).where("text is not null")
     counts = interim_table(_sql(spark, COUNTS, texts=texts), "trigrams")
