@@ -259,5 +259,10 @@ _RUNS = lambda words, key: f"SELECT {key}, md5(array_to_string(w[k:k + 11], ' ')
 _LEAKS = f"""leaks AS MATERIALIZED (SELECT DISTINCT doc_id, item_id FROM ({_RUNS(_WORDS("text"), "doc_id").replace("@t@", "documents WHERE text IS NOT NULL")}) d JOIN ({_RUNS(_WORDS("item_text"), "item_id").replace("@t@", "eval_items WHERE item_text IS NOT NULL")}) i USING (g))"""
 SQL = {
     "p8_found": f"WITH {_LEAKS} SELECT * FROM leaks",
+    # A run of n words is n - 11 runs of twelve words, one after another in both texts.
+    "p8_longest": f"""WITH d AS MATERIALIZED ({_RUNS(_WORDS("text"), "doc_id").replace("SELECT doc_id, md5", "SELECT doc_id, k, md5", 1).replace("@t@", "documents WHERE text IS NOT NULL AND doc_id IS NOT NULL")}), i AS MATERIALIZED ({_RUNS(_WORDS("item_text"), "item_id").replace("SELECT item_id, md5", "SELECT item_id, k, md5", 1).replace("@t@", "eval_items WHERE item_text IS NOT NULL")}),
+        m AS (SELECT DISTINCT doc_id, item_id, d.k AS x, d.k - i.k AS shift FROM d JOIN i USING (g)), r AS (SELECT *, x - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY x) AS island FROM m),
+        n AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM r GROUP BY doc_id, item_id, shift, island), b AS (SELECT *, max(n) OVER (PARTITION BY item_id) AS most FROM n)
+        SELECT item_id, count(DISTINCT doc_id) AS docs, max(n) AS longest, min(doc_id) FILTER (n = most) AS doc_id FROM b GROUP BY 1""",
     "p8_kept": f"WITH {_LEAKS} SELECT source, count(*) AS docs FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM leaks) GROUP BY 1",
 }
