@@ -9,6 +9,7 @@ from tracemill.functions import answers as A
 from tracemill.functions import text as X
 from tracemill.functions.symbolic import symbolic_equal
 from tracemill.operators import dedup, hooks, search
+from tracemill.plans.q_text import _NORMAL_ANSWER, _numeric
 from tracemill.plans.views import TRACES, words_sql
 from tracemill.plans.views import traces as traces_view
 from tracemill.runtime import compute_once, interim_path, table
@@ -135,4 +136,7 @@ SQL = {
             UNION ALL SELECT n.problem_id, n.k, (SELECT CASE WHEN hit IS NULL THEN list_append(g.kept, {{'ord': n.ord, 'c': n.c}}) WHEN n.c > hit.c THEN list_append(list_filter(g.kept, lambda z: z.ord <> hit.ord), {{'ord': n.ord, 'c': n.c}}) ELSE g.kept END FROM (SELECT list_filter(g.kept, lambda z: list_contains(n.ys, z.ord))[1] AS hit)) FROM g JOIN n ON n.problem_id = g.problem_id AND n.k = g.k + 1),
         f AS (SELECT problem_id, unnest(kept).ord AS ord FROM g WHERE (problem_id, k) IN (SELECT problem_id, max(k) FROM n GROUP BY 1))
         SELECT problem_id, count(*) AS kept, CAST(sum(ord) AS BIGINT) AS ord_sum FROM f GROUP BY 1""",
+    # No answer of the tables is an expression, so that text and numbers tell all; expressions are tested by themselves.
+    "symbolic_verify": f"""WITH {TRACES}, j AS MATERIALIZED (SELECT ord, {_NORMAL_ANSWER.replace("@x@", "final_answer")} AS a, {_NORMAL_ANSWER.replace("@x@", "answer")} AS b, {_numeric("final_answer")} AS p, {_numeric("answer")} AS g FROM traces t JOIN problems q ON q.id = t.problem_id WHERE final_answer IS NOT NULL AND answer IS NOT NULL)
+        SELECT ord, 'text or number' AS by FROM j WHERE lower(a) = lower(b) OR coalesce(CASE WHEN g = 0 THEN abs(p) < 1e-6 ELSE abs(p - g) / abs(g) < 1e-6 END, false)""",
 }

@@ -190,4 +190,9 @@ SQL = {
         {_bootstrap("run", "id", {"b1": "coalesce(CAST(before AND after IS NOT NULL AS INT), 0)", "a1": "coalesce(CAST(after AND before IS NOT NULL AS INT), 0)"}, "CASE WHEN b1 > 0 THEN a1 / b1 END")},
         st AS (SELECT grp, count(*) AS n, count(*) FILTER (applicable) AS n_applicable, count(*) FILTER (applicable AND before IS NOT NULL AND after IS NOT NULL) AS matched, count(*) FILTER (applicable AND before AND after IS NOT NULL) AS n_before, count(*) FILTER (applicable AND after AND before IS NOT NULL) AS n_after FROM run GROUP BY 1)
         SELECT grp AS change, n, n_applicable, matched, n_before, n_after, round(n_applicable / n, 9) AS applicability, round(CASE WHEN n_before = 0 THEN 0.0 ELSE n_after / n_before END, 9) AS retention, round(low, 6) AS low, round(high, 6) AS high FROM st JOIN boot ON boot."group" = st.grp""",
+    "perturbed": rf"""WITH {_ALL}, sx AS (SELECT p.id, p.problem, w.new_answer, CASE WHEN w.applicable THEN regexp_replace(p.problem, '(^|[^\w.])-?' || replace(ltrim(w.operand, '-'), '.', '\.') || '($|[^\w.])', '\1' || w.new_operand || '\2') ELSE p.problem END AS t FROM swap w JOIN p USING (id)),
+        ux AS (SELECT id, CASE WHEN num IS NOT NULL AND t IS NOT NULL THEN t ELSE problem END AS t, CASE WHEN num IS NOT NULL AND t IS NOT NULL THEN {_SCALED} END AS a FROM (SELECT *, num * f AS v FROM (SELECT *, {_float("answer")} AS num, CASE {_UNIT_TEXT} END AS t, CASE {_UNIT_FACTOR} END AS f FROM p))),
+        tx AS (SELECT id, 'number_swap' AS change, true AS rewrites, t, new_answer AS a FROM sx UNION ALL SELECT id, 'unit_change', true, t, a FROM ux UNION ALL SELECT id, 'irrelevant_context', false, aside, NULL FROM lp UNION ALL SELECT id, 'distractor_sentence', false, distractor, NULL FROM lp
+            UNION ALL SELECT id, 'paraphrase', false, coalesce(paraphrase, problem), NULL FROM lp UNION ALL SELECT lp.id, 'reordering', false, CASE WHEN od.reason IS NULL THEN array_to_string(list_concat([s[2], s[1]], s[3:]), ' ') ELSE problem END, NULL FROM lp JOIN od USING (id))
+        SELECT tx.id, tx.change, rewrites, reason IS NULL AS applicable, reason, coalesce(a, p.answer) AS new_answer, md5(t) AS text_md5 FROM tx JOIN allp ON allp.id = tx.id AND allp.change = tx.change JOIN p ON p.id = tx.id""",
 }
