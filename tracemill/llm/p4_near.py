@@ -360,4 +360,17 @@ def p4_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_sizes": p4_sizes}
-SQL: dict[str, str] = {}
+# Rarest words find every pair, words decide, and groups are what can be reached; copies hang on the least of them.
+_GROUPS = r"""
+    t AS MATERIALIZED (SELECT path_id, list_sort(list_distinct(list_transform(regexp_extract_all(lower(any_value(reasoning)), '[\p{L}\p{N}]+'), lambda x: hash(x)))) AS s FROM reasoning_paths WHERE path_id IS NOT NULL AND reasoning IS NOT NULL GROUP BY 1),
+    m AS MATERIALIZED (SELECT path_id, s, min(path_id) OVER (PARTITION BY s) AS rep FROM t WHERE len(s) > 0), c AS MATERIALIZED (SELECT path_id AS id, s, len(s) AS n FROM m WHERE path_id = rep),
+    w AS MATERIALIZED (SELECT id, n, unnest(s) AS w FROM c), f AS (SELECT w, count(*) AS df FROM w GROUP BY 1), r AS (SELECT id, n, w.w, row_number() OVER (PARTITION BY id ORDER BY df, w.w) AS k FROM w JOIN f USING (w)),
+    p AS MATERIALIZED (SELECT id, n, w FROM r WHERE k <= n - ceil(0.85 * n) + 1), q AS (SELECT DISTINCT a.id AS x, b.id AS y FROM p a JOIN p b ON a.w = b.w AND a.id < b.id AND least(a.n, b.n) > 0.85 * greatest(a.n, b.n)),
+    l AS MATERIALIZED (SELECT x, y FROM (SELECT x, y, len(list_intersect(a.s, b.s)) AS c, a.n + b.n AS n FROM q JOIN c a ON a.id = x JOIN c b ON b.id = y) WHERE c > 0.85 * (n - c)),
+    e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), reach AS (SELECT id AS x, id AS y FROM c UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y), g AS (SELECT x, min(y) AS label FROM reach GROUP BY 1),
+    k AS MATERIALIZED (SELECT path_id, label, count(*) OVER (PARTITION BY label) AS size FROM m JOIN g ON g.x = m.rep)
+"""
+SQL = {
+    "p4_found": f"WITH RECURSIVE {_GROUPS} SELECT label AS path_id_a, path_id AS path_id_b FROM k WHERE path_id <> label",
+    "p4_sizes": f"WITH RECURSIVE {_GROUPS} SELECT size AS members, count(DISTINCT label) AS groups FROM k WHERE size > 1 GROUP BY 1",
+}
