@@ -1,5 +1,6 @@
 """Single operators on small inputs with known results."""
 
+import random
 import statistics
 
 import pandas as pd
@@ -124,6 +125,81 @@ def test_greedy_dedup(spark):
     assert dedup.greedy_dedup(t.limit(0)).count() == 0
 
 
+def _crowd(spark, rows=1100):
+    """Traces of one problem that share their words, in families of near copies, and their bytes of text."""
+    rng = random.Random(7)
+    words = [f"word{k}" for k in range(150)]
+    texts: list[list[str]] = []
+    for k in range(rows):
+        own = rng.sample(words, 60) if k % 5 < 3 else list(texts[rng.randrange(max(0, k - 40), k)])
+        for _ in range(rng.randrange(4) if k % 5 >= 3 else 0):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append(own[: rng.randrange(52, 61)] if k % 5 == 4 else own)
+    made = [(k, "p", " ".join(t), rng.random()) for k, t in enumerate(texts)]
+    return made, spark.createDataFrame(made, "ord long, problem_id string, reasoning string, confidence double").repartition(8), sum(len(r[2]) for r in made)
+
+
+def _alike(rows, likeness=0.85):
+    sets = [(r[0], r[1], set(r[2].split())) for r in rows]
+    return {(a, b) for k, (a, p, s) in enumerate(sets) for b, q, t in sets[k + 1 :] if p == q and s and t and len(s & t) / len(s | t) > likeness}
+
+
+def _greedy(rows):
+    near = _alike(rows)
+    kept: list[tuple] = []
+    for r in rows:
+        hit = next((h for h in kept if (h[0], r[0]) in near or (r[0], h[0]) in near), None)
+        if hit is None or r[3] > hit[3]:
+            kept = [h for h in kept if h is not hit] + [r]
+    return sorted(r[0] for r in kept)
+
+
+def _shuffled(spark):
+    """Bytes that all tasks have shuffled so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(e.totalShuffleWrite() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_greedy_dedup_of_a_crowded_problem(spark, no_broadcasts):
+    rows, t, size = _crowd(spark)
+    before = _shuffled(spark)
+    got = sorted(r.ord for r in dedup.greedy_dedup(t).collect())
+    assert got == _greedy(rows) and len(got) < len(rows)
+    assert _shuffled(spark) - before < 12 * size
+
+
+@pytest.mark.parametrize("likeness", [0.5, 0.85])
+@pytest.mark.parametrize("crowd", [0, 20, 10**6])
+def test_classes_by_keys_or_at_once(spark, crowd, likeness):
+    rng = random.Random(3)
+    rows = []
+    for k in range(400):
+        size = rng.choice((1, 2, 5, 8, 20, 21, 60))
+        old = rng.choice(rows)[2].split() if rows and rng.random() < 0.7 else [f"w{rng.randrange(300)}" for _ in range(size)]
+        rows.append((k, rng.choice("ppppqr"), " ".join(old[: len(old) - rng.randrange(2)] + ["new"] * rng.randrange(2))))
+    t = spark.createDataFrame(rows + [(400, None, rows[0][2]), (401, None, rows[0][2]), (402, "p", None)], "ord long, problem_id string, reasoning string")
+    members, links = dedup.like_classes(t, likeness, crowd)
+    of = {r.ord: getattr(r, "class") for r in members.collect()}
+    first = {}
+    assert of == {k: first.setdefault((p, frozenset(x.split())), k) for k, p, x in rows if x.split()}
+    apart = {(a, b) for a, b in _alike(rows, likeness) if of[a] == a and of[b] == b}
+    got = [(r.x, r.y) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == apart
+
+
+def test_words_part_at_the_same_blanks(spark):
+    every = spark.range(1, 0x110000).where("id not between 55296 and 57343").selectExpr("id", "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') as c")
+    blank = {r.id for r in every.where(F.col("c").rlike(f"^{X.BLANK}$")).collect()}
+    assert blank == {k for k in range(1, 0x110000) if not chr(k).split()}
+
+
 def test_batches():
     frames = [pd.DataFrame({"x": range(a, b)}) for a, b in ((0, 3), (3, 4), (4, 11))]
     assert [f["x"].tolist() for f in dedup.batches_of(iter(frames), 4)] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10]]

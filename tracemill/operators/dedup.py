@@ -2,57 +2,226 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import partial
+from hashlib import blake2b
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as X
 from tracemill.operators.components import component_labels
-from tracemill.runtime import compute_once, interim_table
+from tracemill.runtime import interim_table
 
 LIKENESS = 0.85
+#: Traces of a problem that one task compares as they are; more are dealt out by keys.
+CROWD = 1000
+#: Rows that are compared at once, beside those of an open problem.
+CHUNK = 1000
 
+_FOUND = pa.schema([("kind", pa.int32()), ("problem_id", pa.string()), ("x", pa.int64()), ("y", pa.int64()), ("likeness", pa.float64()), ("words", pa.string())])
+_MEMBER, _LINK, _CROWDED = range(3)
 
-def word_classes(traces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Traces (ord, problem_id, class) and classes (class, problem_id, set): those of a problem with one set of words are one class, named by its least ord.
 
-    Traces without words are left out. Both are written once.
+def like_classes(traces: DataFrame, likeness: float = LIKENESS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Traces (ord, class) and links (x, y, likeness; x < y) of the classes of a problem whose word sets are alike by more than likeness.
+
+    The traces of a problem with one set of words are one class, named by its
+    least ord. Traces without words or without a problem are left out; likeness is
+    above 0. Texts are shuffled once: a problem meets in one task, which compares
+    all its classes; the traces of one with more than crowd are dealt out and
+    linked by keys.
     """
-    sets = compute_once(traces.select("ord", "problem_id", "reasoning"), {"set": F.array_sort(F.array_distinct(X.words(F.col("reasoning"))))}).where(F.size("set") > 0).drop("reasoning")
-    keyed = interim_table(sets.withColumn("key", F.md5(F.to_json("set"))), "keyed")
-    classes = keyed.groupBy("problem_id", "key").agg(F.min("ord").alias("class"), F.first("set").alias("set"))
-    members = keyed.select("ord", "problem_id", "key").join(classes.select("problem_id", "key", "class"), ["problem_id", "key"]).select("ord", "problem_id", "class")
-    return interim_table(members, "members"), interim_table(classes.select("class", "problem_id", "set"), "classes")
+    crowded = traces.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("problem_id", F.lit(True).alias("crowded"))
+    rows = traces.where("problem_id is not null and reasoning is not null").select("ord", "problem_id", F.lower("reasoning").alias("text")).join(F.broadcast(crowded), "problem_id", "left")
+    rows = rows.select("problem_id", F.coalesce("crowded", F.lit(False)).alias("crowded"), "ord", "text").repartition("problem_id", F.when(F.col("crowded"), F.col("ord")))
+    kinds = "kind int, problem_id string, x long, y long, likeness double, words string"
+    found = interim_table(rows.sortWithinPartitions("problem_id", "ord").mapInArrow(partial(_compared, likeness=likeness), kinds), "compared")
+    keyed = found.where(F.col("kind") == _CROWDED).select(F.col("x").alias("ord"), "problem_id", "words", F.md5("words").alias("key"))
+    classes = interim_table(keyed.groupBy("problem_id", "key").agg(F.min("ord").alias("class"), F.first("words").alias("words")), "classes")
+    named = keyed.select("ord", "problem_id", "key").join(classes.select("problem_id", "key", "class"), ["problem_id", "key"]).select("ord", "class")
+    members = found.where(F.col("kind") == _MEMBER).select(F.col("x").alias("ord"), F.col("y").alias("class")).unionAll(named)
+    links = found.where(F.col("kind") == _LINK).select("x", "y", "likeness")
+    links = links.unionAll(_crowded_links(classes, likeness)) if likeness < 1 else links
+    return interim_table(members, "members"), interim_table(links, "links")
 
 
-def like_classes(classes: DataFrame, likeness: float = LIKENESS) -> DataFrame:
-    """(x, y, likeness) of the classes of a problem whose word sets are alike by more than likeness, x < y.
+def _crowded_links(classes: DataFrame, likeness: float) -> DataFrame:
+    """(x, y, likeness) of alike classes (class, problem_id, words) of a problem.
 
-    Two sets that alike share one of their rarest words, of which a set of n
-    words needs n - ceil(likeness n) + 1; so the join on those loses no pair.
+    Sets of a and b words that are alike differ in at most
+    (1 - likeness) / (1 + likeness) * (a + b) words. With the words dealt out to
+    one more part than that, two such sets have a part in common, so that the
+    join on the parts loses no pair. Parts are counted by levels of size: a set
+    has keys at its own level and at those of larger sets that it can be like.
+    Pairs with a key in common are held against each other by their bits before
+    their words are fetched.
     """
-    w = classes.select("class", "problem_id", F.size("set").alias("n"), F.explode("set").alias("word"))
-    df = w.groupBy("problem_id", "word").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("class").orderBy("df", "word"))
-    rare = w.join(df, ["problem_id", "word"]).withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.lit(likeness) * F.col("n")) + 1).select("class", "problem_id", "word", "n")
-    a, b = rare.selectExpr("class AS x", "problem_id", "word", "n AS na"), rare.selectExpr("class AS y", "problem_id", "word", "n AS nb")
-    fits = (F.col("x") < F.col("y")) & (F.least("na", "nb") > likeness * F.greatest("na", "nb"))
-    pairs = a.join(b, ["problem_id", "word"]).where(fits).select("x", "y").distinct()
-    sets = classes.select("class", "set")
-    pairs = pairs.join(sets.withColumnsRenamed({"class": "x", "set": "sx"}), "x").join(sets.withColumnsRenamed({"class": "y", "set": "sy"}), "y")
+    keys = classes.select("class", "problem_id", "words").mapInArrow(partial(_keys, likeness=likeness), "key long, class long, n long, low long, high long")
+    pairs = keys.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_meet, likeness=likeness), "x long, y long").distinct()
+    sets = lambda c: classes.select(F.col("class").alias(c), F.col("problem_id").alias(f"p{c}"), F.split("words", "\n").alias(f"s{c}"))
+    pairs = pairs.join(sets("x"), "x").join(sets("y"), "y").where("px = py")
     return pairs.withColumn("likeness", X.jaccard(F.col("sx"), F.col("sy"))).where(F.col("likeness") > likeness).select("x", "y", "likeness")
 
 
+class _Hashes(dict):
+    """64 bits for each word, the same in all tasks."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = found = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
+        return found
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _sketched(sets: list, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all words, set by set, the size of each set and 128 bits of it in two halves.
+
+    Each word turns one bit over, so two sets differ in at least as many words as their bits differ in.
+    """
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.fromiter(chain.from_iterable(map(hashes.__getitem__, s) for s in sets), np.uint64, int(n.sum()))
+    bit, upper = np.uint64(1) << (flat & np.uint64(63)), (flat & np.uint64(64)) != 0
+    starts = np.cumsum(n) - n
+    low, high = (np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), starts) for half in (~upper, upper))
+    return flat, n, low, high
+
+
+def _close(run: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, likeness: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j), i < j, of equal run, which is sorted, but those that sizes or bits show to be no more alike than likeness."""
+    apart = (1 - likeness) / (1 + likeness)
+    i, step = np.arange(len(run)), 1
+    while True:
+        i = i[: np.searchsorted(i, len(run) - step)]
+        i = i[run[i] == run[i + step]]
+        if not i.size:
+            return
+        j = i + step
+        a, b = n[i], n[j]
+        fits = (np.bitwise_count(low[i] ^ low[j]) + np.bitwise_count(high[i] ^ high[j]) <= apart * (a + b) + 1e-9) & (np.minimum(a, b) > likeness * np.maximum(a, b))
+        yield i[fits], j[fits]
+        step += 1
+
+
+def _compared(batches: Iterable[pa.RecordBatch], likeness: float) -> Iterator[pa.RecordBatch]:
+    """Members and links of problems that aren't crowded, out of rows problem_id, crowded, ord, text by problem and ord; traces of crowded ones with their words."""
+    hashes = _Hashes()
+    held: list[tuple[str, int, frozenset[str]]] = []
+    for batch in batches:
+        dealt = []
+        for problem, crowded, ord_, text in zip(*(c.to_pylist() for c in batch.columns)):
+            words = frozenset(text.split())  # parts at the same blanks as X.words
+            if not words:
+                continue
+            if crowded:
+                dealt.append((_CROWDED, problem, ord_, None, None, "\n".join(sorted(words))))
+                continue
+            if len(held) >= CHUNK and held[-1][0] != problem:
+                yield _found(_within(held, likeness, hashes))
+                held = []
+            held.append((problem, ord_, words))
+        if dealt:
+            yield _found(dealt)
+    if held:
+        yield _found(_within(held, likeness, hashes))
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _FOUND)], schema=_FOUND)
+
+
+def _within(held: list[tuple[str, int, frozenset[str]]], likeness: float, hashes: _Hashes) -> list[tuple]:
+    """Members and links of whole problems."""
+    classes: dict[tuple[str, frozenset[str]], int] = {}
+    rows = [(_MEMBER, None, ord_, classes.setdefault((problem, words), ord_), None, None) for problem, ord_, words in held]
+    sets, names = [words for _, words in classes], list(classes.values())
+    runs: dict[str, int] = {}
+    run = np.array([runs.setdefault(problem, len(runs)) for problem, _ in classes])
+    _, n, low, high = _sketched(sets, hashes)
+    for some in _close(run, n, low, high, likeness):
+        for i, j in zip(*(s.tolist() for s in some)):
+            common = len(sets[i] & sets[j])
+            like = common / (len(sets[i]) + len(sets[j]) - common)
+            if like > likeness:
+                rows.append((_LINK, None, min(names[i], names[j]), max(names[i], names[j]), like, None))
+    return rows
+
+
+def _level(n: np.ndarray, likeness: float) -> np.ndarray:
+    """The level of a size; the largest set that one of n words is like is about one level up."""
+    return np.floor(np.log(n) / -np.log(likeness)).astype(np.int64)
+
+
+def _parts(level: int, likeness: float) -> int:
+    """One part more than alike sets of at most the largest size of a level can differ in."""
+    largest = np.floor(likeness ** -(level + 1)) + 1
+    return int(2 * largest * (1 - likeness) / (1 + likeness)) + 1
+
+
+def _keys(batches: Iterable[pa.RecordBatch], likeness: float) -> Iterator[pa.RecordBatch]:
+    """A row (key, class, n, low, high) for each part of each class (class, problem_id, words) at each of its levels."""
+    hashes = _Hashes()
+    for batch in (b.slice(k, CHUNK) for b in batches for k in range(0, b.num_rows, CHUNK)):
+        name, problems, words = batch.columns
+        flat, n, low, high = _sketched([w.split("\n") for w in words.to_pylist()], hashes)
+        names, problem = name.to_numpy(), np.array([hashes[p] for p in problems.to_pylist()], np.uint64)
+        first, last = _level(n, likeness), _level(np.floor(n / likeness), likeness)
+        owner = np.repeat(np.arange(len(n)), n)
+        for level in range(first.min(), last.max() + 1):
+            own = (first <= level) & (level <= last)
+            if not own.any():
+                continue
+            m, of = _parts(level, likeness), own[owner]
+            part = (((flat[of] >> np.uint64(8)) & np.uint64(0xFFFFFFFF)) * np.uint64(m)) >> np.uint64(32)
+            sums = np.zeros(len(n) * m, np.uint64)
+            np.add.at(sums, owner[of] * m + part.astype(np.int64), _mixed(flat[of]))
+            place = _mixed(np.arange(m, dtype=np.uint64) + np.uint64((level + 1) << 32))
+            key = _mixed(sums.reshape(-1, m)[own] + place + problem[own][:, None]).ravel().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, *(np.repeat(v[own], m).view(np.int64) for v in (names, n, low, high)))], ["key", "class", "n", "low", "high"])
+
+
+def _meet(batches: Iterable[pa.RecordBatch], likeness: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (x, y) of classes that share a key, out of rows key, class, n, low, high by key, but those that can't be alike."""
+
+    def pairs(key: np.ndarray, name: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some, have = [], 0
+        for i, j in chain(_close(key, n, low.view(np.uint64), high.view(np.uint64), likeness), [(None, None)]):
+            if i is not None and i.size:
+                some.append((np.minimum(name[i], name[j]), np.maximum(name[i], name[j])))
+                have += i.size
+            if some and (i is None or have >= 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*some)], ["x", "y"])
+                some, have = [], 0
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        new = [c.to_numpy() for c in batch.columns]
+        held = [np.concatenate(c) for c in zip(held, new)] if held else new
+        cut = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
+        yield from pairs(*(c[:cut] for c in held))
+        held = [c[cut:] for c in held]
+    if held:
+        yield from pairs(*held)
+
+
 def like_pairs(traces: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     """(a, b, likeness) of the traces (ord, problem_id, reasoning) of a problem whose word sets are alike by more than likeness; a < b.
 
     Classes of equal sets are compared; their members come in last.
     """
-    members, classes = word_classes(traces)
-    links = like_classes(classes, likeness)
-    within = classes.select(F.col("class").alias("x"), F.col("class").alias("y"), F.lit(1.0).alias("likeness")) if likeness < 1 else links.limit(0)
+    members, links = like_classes(traces, likeness)
+    many = members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1") if likeness < 1 else members.limit(0)
+    within = many.select(F.col("class").alias("x"), F.col("class").alias("y"), F.lit(1.0).alias("likeness"))
     one, two = members.select(F.col("class").alias("x"), F.col("ord").alias("p")), members.select(F.col("class").alias("y"), F.col("ord").alias("q"))
     pairs = links.unionAll(within).join(one, "x").join(two, "y").where("x != y or p < q")
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "likeness")
@@ -68,10 +237,9 @@ def greedy_dedup(traces: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     order, and what is held are the links between its classes and what is kept.
     Traces without words are alike to none and stay.
     """
-    members, classes = word_classes(traces)
-    links = interim_table(like_classes(classes, likeness).select("x", "y"), "links")
+    members, links = like_classes(traces, likeness)
     labels = component_labels(links, "x", "y")
-    rows = traces.select("ord", "confidence").join(members.select("ord", "class"), "ord").join(labels, F.col("class") == F.col("node"), "left")
+    rows = traces.select("ord", "confidence").join(members, "ord").join(labels, F.col("class") == F.col("node"), "left")
     rows = rows.select(F.coalesce("label", "class").alias("label"), F.lit(1).alias("kind"), "ord", "class", F.lit(None).cast("long").alias("other"), "confidence")
     edges = links.join(labels, F.col("x") == F.col("node")).select("label", F.lit(0).alias("kind"), F.col("x").alias("ord"), F.col("x").alias("class"), F.col("y").alias("other"), F.lit(0.0).alias("confidence"))
     ordered = rows.unionAll(edges).repartition("label").sortWithinPartitions("label", "kind", "ord")
