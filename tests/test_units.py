@@ -175,6 +175,14 @@ def test_greedy_dedup_of_a_crowded_problem(spark, no_broadcasts):
     assert _shuffled(spark) - before < 12 * size
 
 
+def test_like_pairs_of_a_crowded_problem(spark, no_broadcasts):
+    rows, t, size = _crowd(spark)
+    before = _shuffled(spark)
+    got = [(r.a, r.b) for r in dedup.like_pairs(t).collect()]
+    assert len(got) == len(set(got)) and set(got) == _alike(rows)
+    assert _shuffled(spark) - before < 12 * size
+
+
 @pytest.mark.parametrize("likeness", [0.5, 0.85])
 @pytest.mark.parametrize("crowd", [0, 20, 10**6])
 def test_classes_by_keys_or_at_once(spark, crowd, likeness):
