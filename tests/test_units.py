@@ -202,6 +202,37 @@ def test_classes_by_keys_or_at_once(spark, crowd, likeness):
     assert len(got) == len(set(got)) and set(got) == apart
 
 
+@pytest.mark.parametrize("crowd", [0, 10**6])
+def test_like_pairs_with_members(spark, crowd):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base[:k] + [f"x{rng.randrange(9)}"] + base[k + 1 :]) for k in (rng.randrange(60) for _ in range(120))]
+    rows = [(1000 - k, rng.choice("pppq"), rng.choice(texts[: 1 + k])) for k in range(300)] + [(2000, "q", " "), (2001, "p", "")]
+    t = spark.createDataFrame(rows + rows[:20] + [(2002, None, texts[0]), (2003, None, texts[0]), (2004, "p", None)], "ord long, problem_id string, reasoning string").repartition(4)
+    got = {(r.a, r.b): r.likeness for r in dedup.like_pairs(t, crowd=crowd).collect()}
+    sets = {r[0]: set(r[2].split()) for r in rows}
+    expected = {(min(k), max(k)) for k in _alike(rows)}
+    assert dedup.like_pairs(t, crowd=crowd).count() == len(got) and set(got) == expected
+    assert all(like == len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for (a, b), like in got.items())
+
+
+def test_like_pairs_of_a_family_of_near_copies(spark, no_broadcasts):
+    rng = random.Random(11)
+    base = [f"word{k}" for k in range(150)]
+    rows = []
+    for k in range(1200):
+        own = list(base)
+        for _ in range(3):
+            own[rng.randrange(150)] = f"own{rng.randrange(10**6)}"
+        rows.append((k, "p", " ".join(own)))
+    t = spark.createDataFrame(rows, "ord long, problem_id string, reasoning string").repartition(8)
+    got = dedup.like_pairs(t).selectExpr("count(*)", "count(distinct a, b)", "count_if(a < b)").first()
+    assert tuple(got) == (1200 * 1199 // 2,) * 3  # any two differ in at most six of 150 words
+    before = _shuffled(spark)
+    dedup.like_pairs(t).write.format("noop").mode("overwrite").save()
+    assert _shuffled(spark) - before < 12 * sum(len(r[2]) for r in rows)
+
+
 def test_words_part_at_the_same_blanks(spark):
     every = spark.range(1, 0x110000).where("id not between 55296 and 57343").selectExpr("id", "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') as c")
     blank = {r.id for r in every.where(F.col("c").rlike(f"^{X.BLANK}$")).collect()}

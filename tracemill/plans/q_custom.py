@@ -23,7 +23,8 @@ def near_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 def near_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Traces of one problem whose word sets are alike by more than .85."""
-    return dedup.like_pairs(traces_view(spark, d)).select("a", "b", F.round("likeness", 6).alias("likeness"))
+    paths = table(spark, d, "reasoning_paths").select(F.col("path_id").alias("ord"), "problem_id", "reasoning")
+    return dedup.like_pairs(paths).select("a", "b", F.round("likeness", 6).alias("likeness"))
 
 
 def symbolic_verify(spark: SparkSession, d: str) -> DataFrame:
